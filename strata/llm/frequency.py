@@ -139,7 +139,7 @@ def symbol_terms(symbols: DataFrame) -> DataFrame:
         .dropDuplicates(["id"])
         .select(
             "id",
-            F.transform("e", lambda x: F.lower(F.regexp_replace(x["key"], r"^[\s 　]+|[\s 　]+$", ""))).alias("terms"),
+            F.transform("e", lambda x: F.lower(F.regexp_replace(x["key"], r"^[\s\x{00a0}\x{3000}]+|[\s\x{00a0}\x{3000}]+$", ""))).alias("terms"),
             F.transform("e", lambda x: x["value"].cast("bigint")).alias("counts"),
         )
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import cooccurrence, distinctive, frequency, groups
+from strata.llm import cooccurrence, distinctive, frequency, groups, leaks, tokens, vectors
 from strata.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,7 +110,7 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     pairs = cooccurrence.cochanged_files(table(spark, d, "edits", "repo", "commit_id", "path"))
     return pairs.select(
         F.col("grp").alias("repo"), F.col("item_a").alias("path_a"), F.col("item_b").alias("path_b"), "shared", "count_a", "count_b", "baskets",
-        *(F.round(c, 6).alias(c) for c in ("confidence_ab", "confidence_ba", "lift", "conviction")),
+        *(F.round(c, 9).alias(c) for c in ("confidence_ab", "confidence_ba", "lift", "conviction")),
     )
 
 
@@ -128,7 +128,49 @@ p AS (SELECT s.*, a.r AS count_a, c.r AS count_b, n AS baskets FROM s JOIN r a O
 """
 SQL["p5_found"] = f"WITH {_PAIRS} SELECT repo, path_a, path_b FROM p WHERE shared * baskets >= 3 * count_a * count_b"
 SQL["p5_pairs"] = f"""
-WITH {_PAIRS} SELECT repo, path_a, path_b, shared, count_a, count_b, baskets, round(shared / count_a, 6) AS confidence_ab, round(shared / count_b, 6) AS confidence_ba,
-round(shared * baskets / (CAST(count_a AS DOUBLE) * count_b), 6) AS lift,
-CASE WHEN shared < count_a THEN round((1 - count_b / baskets) / (1 - shared / count_a), 6) END AS conviction FROM p
+WITH {_PAIRS} SELECT repo, path_a, path_b, shared, count_a, count_b, baskets, round(shared / count_a, 9) AS confidence_ab, round(shared / count_b, 9) AS confidence_ba,
+round(shared * baskets / (CAST(count_a AS DOUBLE) * count_b), 9) AS lift,
+CASE WHEN shared < count_a THEN round((1 - count_b / baskets) / (1 - shared / count_a), 9) END AS conviction FROM p
 """
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    near = vectors.nearest_vectors(table(spark, d, "emb_cache", "vec_id", "v"))
+    return near.select(F.least("q", "p").alias("a_id"), F.greatest("q", "p").alias("b_id")).distinct()
+
+
+SQL["p6_found"] = """
+WITH u AS (SELECT DISTINCT ON (vec_id) vec_id AS id, CAST(v AS DOUBLE[]) AS v FROM emb_cache
+           WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+s AS (SELECT a.id AS q, b.id AS p, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 12) AS c FROM u a JOIN u b ON a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY c DESC, p) AS k FROM s WHERE c >= 0.85)
+SELECT DISTINCT least(q, p) AS a_id, greatest(q, p) AS b_id FROM r WHERE k <= 5
+"""
+
+
+@query
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode_texts(table(spark, d, "documents", "doc_id", "text"))
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text")).select("doc_id", "item_id")
+
+
+@query
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items with the number of documents that hold them."""
+    found = leaks.leaked_items(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
+    return found.groupBy("item_id").agg(F.count("*").alias("docs"), F.max("shared").alias("most_shared"))
+
+
+_LEAKS = """
+w AS (SELECT 'd' AS k, doc_id AS id, regexp_extract_all(lower(regexp_replace(text, '[^\\x00-\\x7f]', ' ', 'g')), '[a-z0-9]+') AS w FROM documents
+      UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(regexp_replace(text, '[^\\x00-\\x7f]', ' ', 'g')), '[a-z0-9]+') FROM eval_items),
+g AS (SELECT DISTINCT k, id, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i+9], ' '))) AS g FROM w WHERE len(w) >= 10),
+l AS (SELECT a.id AS doc_id, b.id AS item_id, count(*) AS shared FROM g a JOIN g b USING (g) WHERE a.k = 'd' AND b.k = 'i' GROUP BY ALL)
+"""
+SQL["p9_found"] = f"WITH {_LEAKS} SELECT doc_id, item_id FROM l"
+SQL["p9_items"] = f"WITH {_LEAKS} SELECT item_id, count(*) AS docs, max(shared) AS most_shared FROM l GROUP BY item_id"
