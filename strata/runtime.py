@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -60,6 +61,9 @@ class Stage:
 
     def keep(self, df: DataFrame, tag: str = "t") -> DataFrame:
         self.n += 1
+        # Shuffle files of earlier stages that nothing refers to any more are removed once the driver collects garbage.
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
         path = f"{self.root}/{self.n:03d}-{tag}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
