@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import cooccurrence, distinctive, frequency, groups, leaks, tokens, vectors
+from strata.llm import cooccurrence, distinctive, frequency, groups, leaks, similar_sets, tokens, vectors
 from strata.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -174,3 +174,28 @@ l AS (SELECT a.id AS doc_id, b.id AS item_id, count(*) AS shared FROM g a JOIN g
 """
 SQL["p9_found"] = f"WITH {_LEAKS} SELECT doc_id, item_id FROM l"
 SQL["p9_items"] = f"WITH {_LEAKS} SELECT item_id, count(*) AS docs, max(shared) AS most_shared FROM l GROUP BY item_id"
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar_sets.similar_symbols(table(spark, d, "symbols", "id", "wl")).pairs()
+
+
+@query
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every symbol with its group of near-duplicates and its number of links."""
+    return similar_sets.similar_symbols(table(spark, d, "symbols", "id", "wl")).groups()
+
+
+_SETS = """
+s AS (SELECT DISTINCT id, list_sort(list_distinct(list_filter(list_transform(wl, lambda e: e.label), lambda x: x IS NOT NULL))) AS s FROM symbols WHERE id IS NOT NULL AND wl IS NOT NULL),
+l AS (SELECT id, len(s) AS n, unnest(s) AS t FROM s),
+o AS (SELECT a.id AS a_id, b.id AS b_id, a.n AS na, b.n AS nb, count(*) AS o FROM l a JOIN l b ON a.t = b.t AND a.id < b.id GROUP BY ALL),
+p AS (SELECT a_id, b_id FROM o WHERE 4 * o >= 3 * (na + nb - o))
+"""
+SQL["p7_found"] = f"WITH {_SETS} SELECT a_id, b_id FROM p"
+SQL["p7_groups"] = f"""
+WITH RECURSIVE {_SETS}, e AS (SELECT a_id AS a, b_id AS b FROM p UNION ALL SELECT b_id, a_id FROM p),
+r(id, g) AS (SELECT id, id FROM s WHERE len(s) > 0 UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.id)
+SELECT r.id, min(g) AS group_id, any_value(coalesce(c, 0)) AS links FROM r LEFT JOIN (SELECT a, count(*) AS c FROM e GROUP BY a) k ON k.a = r.id GROUP BY r.id
+"""
