@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import cooccurrence, distinctive, frequency, groups, leaks, similar_sets, tokens, vectors
+from strata.llm import cooccurrence, distinctive, frequency, groups, leaks, shape_clusters, similar_sets, tokens, vectors
 from strata.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -199,3 +199,33 @@ WITH RECURSIVE {_SETS}, e AS (SELECT a_id AS a, b_id AS b FROM p UNION ALL SELEC
 r(id, g) AS (SELECT id, id FROM s WHERE len(s) > 0 UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.id)
 SELECT r.id, min(g) AS group_id, any_value(coalesce(c, 0)) AS links FROM r LEFT JOIN (SELECT a, count(*) AS c FROM e GROUP BY a) k ON k.a = r.id GROUP BY r.id
 """
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = shape_clusters.ShapeClusters(table(spark, d, "symbols", "id", "wl")).clusters()
+    return found.select(F.col("id").alias("sym_id"), "cluster_id")
+
+
+@query
+def p3_typical(spark: SparkSession, d: str) -> DataFrame:
+    """Each cluster's size and its three most typical members, as a list of ids."""
+    return shape_clusters.ShapeClusters(table(spark, d, "symbols", "id", "wl")).typical()
+
+
+_SHAPES = """
+v AS (SELECT id, e.label AS t, sum(coalesce(e.w, 0)) AS w FROM (SELECT id, unnest(wl) AS e FROM
+      (SELECT DISTINCT ON (id) id, wl FROM symbols WHERE id IS NOT NULL AND wl IS NOT NULL ORDER BY id, scanned_at)) WHERE e.label IS NOT NULL GROUP BY id, e.label),
+n AS (SELECT id, sum(w * w) AS n FROM v GROUP BY id),
+c AS (SELECT a.id AS a, b.id AS b, sum(a.w * b.w) / sqrt(any_value(x.n) * any_value(y.n)) AS c
+      FROM v a JOIN v b ON a.t = b.t AND a.id < b.id JOIN n x ON a.id = x.id JOIN n y ON b.id = y.id WHERE x.n > 0 AND y.n > 0 GROUP BY ALL),
+e AS (SELECT a, b, c FROM c WHERE c >= 0.60 - 1e-12 UNION ALL SELECT b, a, c FROM c WHERE c >= 0.60 - 1e-12),
+r(id, g) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.id),
+k AS (SELECT id AS sym_id, min(g) AS cluster_id FROM r GROUP BY id)
+"""
+SQL["p3_found"] = f"WITH RECURSIVE {_SHAPES} SELECT sym_id, cluster_id FROM k"
+SQL["p3_typical"] = f"""
+WITH RECURSIVE {_SHAPES}, s AS (SELECT a AS sym_id, round(sum(c), 9) AS s FROM e GROUP BY a),
+o AS (SELECT k.*, row_number() OVER (PARTITION BY cluster_id ORDER BY s DESC, sym_id) AS r FROM k JOIN s USING (sym_id))
+SELECT cluster_id, count(*) AS size, list(sym_id ORDER BY r) FILTER (WHERE r <= 3) AS typical FROM o GROUP BY cluster_id
+"""
