@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import cooccurrence, distinctive, frequency, groups, leaks, shape_clusters, similar_sets, tokens, vectors
+from strata.llm import cooccurrence, distinctive, frequency, garbled, groups, leaks, shape_clusters, similar_sets, tokens, vectors
 from strata.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -229,3 +229,14 @@ WITH RECURSIVE {_SHAPES}, s AS (SELECT a AS sym_id, round(sum(c), 9) AS s FROM e
 o AS (SELECT k.*, row_number() OVER (PARTITION BY cluster_id ORDER BY s DESC, sym_id) AS r FROM k JOIN s USING (sym_id))
 SELECT cluster_id, count(*) AS size, list(sym_id ORDER BY r) FILTER (WHERE r <= 3) AS typical FROM o GROUP BY cluster_id
 """
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.garbled_texts(table(spark, d, "documents", "doc_id", "source", "text")).select("doc_id").distinct()
+
+
+@query
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Garbled documents with the cipher found and the text read back; checked by garbling texts in the tests."""
+    return garbled.garbled_texts(table(spark, d, "documents", "doc_id", "source", "text")).select("doc_id", "cipher", "restored")
