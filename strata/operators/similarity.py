@@ -30,9 +30,9 @@ def tfidf(tf: DataFrame, n: int) -> DataFrame:
     return raw.select("id", "term", "tf", "df", (F.col("r") / length).alias("w"))
 
 
-def df_window(n: int) -> Column:
-    """Terms that may pair records: in two records or more, and in a tenth of them (4 at least) or fewer."""
-    return (F.col("df") >= 2) & (F.col("df") <= max(-(-n // 10), 4))
+def df_most(n: int) -> int:
+    """Terms that may pair records are in two records or more, and in a tenth of them (4 at least) or fewer."""
+    return max(-(-n // 10), 4)
 
 
 def similar_pairs(weights: DataFrame, n: int, theta: float) -> DataFrame:
@@ -51,15 +51,14 @@ def similar_pairs(weights: DataFrame, n: int, theta: float) -> DataFrame:
     vec = vec.withColumn("p", step["p"])
     terms = F.transform("v", lambda e: e["term"])
     ws = F.transform("v", lambda e: e["w"])
-    side = vec.select("id", terms.alias("t"), F.map_from_arrays(terms, ws).alias("m"), F.explode(F.slice("v", 1, F.col("p"))).alias("e")).where("e.df >= 2")
+    side = vec.select("id", terms.alias("t"), F.map_from_arrays(terms, ws).alias("m"), F.explode(F.slice("v", 1, F.col("p"))).alias("e")).where(f"e.df >= 2 AND e.df <= {df_most(n)}")
     a = side.select(F.col("id").alias("a"), F.col("t").alias("ta"), F.col("m").alias("ma"), F.col("e.term").alias("term"))
     b = side.select(F.col("id").alias("b"), F.col("t").alias("tb"), F.col("m").alias("mb"), F.col("e.term").alias("term"))
     common = F.array_intersect("ta", "tb")
     met = a.join(b, "term").where("a < b").withColumn("c", common).where(F.element_at("c", 1) == F.col("term"))
     cos = F.aggregate("c", F.lit(0.0), lambda s, t: s + F.element_at("ma", t) * F.element_at("mb", t))
-    scored = met.select("a", "b", "c", cos.alias("cos")).where(F.col("cos") >= theta)
-    # A pair must share a term of the df window, which its first common (rarest) term decides unless that one is too common.
-    return scored.join(weights.where(df_window(n)).select("term").distinct(), F.element_at("c", 1) == F.col("term"), "left_semi").select("a", "b", "cos")
+    # A pair shares a term of the df window exactly if its first common term, the rarest, is in it.
+    return met.select("a", "b", cos.alias("cos")).where(F.col("cos") >= theta)
 
 
 def shared_terms(pairs: DataFrame, weights: DataFrame) -> DataFrame:
