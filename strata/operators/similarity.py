@@ -35,30 +35,34 @@ def df_most(n: int) -> int:
     return max(-(-n // 10), 4)
 
 
-def similar_pairs(weights: DataFrame, n: int, theta: float) -> DataFrame:
-    """(a, b, cos): pairs a < b that share a term of the df window and whose whole vectors have a cosine of at least theta.
-
-    Prefix filter: with terms ordered rarest first, a pair within the bound shares a term
-    of both prefixes, a prefix being all terms until those left are shorter than theta
-    together. Candidates come from prefixes only; each vector is attached once per
-    candidate, as one map. Pairs of a term are counted on their first common term, so
-    none is scored twice.
+def prefix_join(vectors: DataFrame, theta: float, most: int | None = None) -> DataFrame:
+    """(a, b, dot): pairs a < b of sparse vectors (id, key, w) no longer than 1 whose dot product is at least theta.
+
+    With keys ordered rarest first, such a pair shares a key of both prefixes, a prefix
+    being all keys until those left are shorter than theta together. Candidates come from
+    prefixes only, each pair from its first common key, so none is scored twice. With
+    ``most``, a pair must also share a key of at most so many vectors; its first common
+    key, the rarest, decides that.
     """
-    order = F.array_sort(F.collect_list(F.struct("df", "term", "w")))
-    vec = weights.groupBy("id").agg(order.alias("v"))
-    start = F.struct(F.lit(1.0 + 1e-9).alias("left"), F.lit(0).alias("p"))
+    df = vectors.groupBy("key").agg(F.count("*").alias("df"))
+    vec = vectors.join(df, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "key", "w"))).alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda s, e: s + e["w"] * e["w"])
+    start = F.struct((total + 1e-9).alias("left"), F.lit(0).alias("p"))
     step = F.aggregate("v", start, lambda a, e: F.when(a["left"] >= theta * theta, F.struct((a["left"] - e["w"] * e["w"]).alias("left"), (a["p"] + 1).alias("p"))).otherwise(a))
-    vec = vec.withColumn("p", step["p"])
-    terms = F.transform("v", lambda e: e["term"])
-    ws = F.transform("v", lambda e: e["w"])
-    side = vec.select("id", terms.alias("t"), F.map_from_arrays(terms, ws).alias("m"), F.explode(F.slice("v", 1, F.col("p"))).alias("e")).where(f"e.df >= 2 AND e.df <= {df_most(n)}")
-    a = side.select(F.col("id").alias("a"), F.col("t").alias("ta"), F.col("m").alias("ma"), F.col("e.term").alias("term"))
-    b = side.select(F.col("id").alias("b"), F.col("t").alias("tb"), F.col("m").alias("mb"), F.col("e.term").alias("term"))
-    common = F.array_intersect("ta", "tb")
-    met = a.join(b, "term").where("a < b").withColumn("c", common).where(F.element_at("c", 1) == F.col("term"))
-    cos = F.aggregate("c", F.lit(0.0), lambda s, t: s + F.element_at("ma", t) * F.element_at("mb", t))
-    # A pair shares a term of the df window exactly if its first common term, the rarest, is in it.
-    return met.select("a", "b", cos.alias("cos")).where(F.col("cos") >= theta)
+    keys = F.transform("v", lambda e: e["key"])
+    side = vec.withColumn("p", step["p"]).select("id", keys.alias("t"), F.map_from_arrays(keys, F.transform("v", lambda e: e["w"])).alias("m"), F.explode(F.slice("v", 1, F.col("p"))).alias("e")).where("e.df >= 2")
+    if most is not None:
+        side = side.where(F.col("e.df") <= most)
+    a = side.select(F.col("id").alias("a"), F.col("t").alias("ta"), F.col("m").alias("ma"), F.col("e.key").alias("key"))
+    b = side.select(F.col("id").alias("b"), F.col("t").alias("tb"), F.col("m").alias("mb"), F.col("e.key").alias("key"))
+    met = a.join(b, "key").where("a < b").withColumn("c", F.array_intersect("ta", "tb")).where(F.element_at("c", 1) == F.col("key"))
+    dot = F.aggregate("c", F.lit(0.0), lambda s, t: s + F.element_at("ma", t) * F.element_at("mb", t))
+    return met.select("a", "b", dot.alias("dot")).where(F.col("dot") >= theta)
+
+
+def similar_pairs(weights: DataFrame, n: int, theta: float) -> DataFrame:
+    """(a, b, cos): pairs a < b that share a term of the df window and whose whole vectors have a cosine of at least theta."""
+    return prefix_join(weights.select("id", F.col("term").alias("key"), "w"), theta, df_most(n)).withColumnRenamed("dot", "cos")
 
 
 def shared_terms(pairs: DataFrame, weights: DataFrame) -> DataFrame:
