@@ -16,6 +16,7 @@ from strata.config import MIN_TERMS, REP_RELAX, Config
 from strata.functions.dates import classify
 from strata.functions.text import base_name, is_dunder
 from strata.operators.components import components
+from strata.runtime import Stage
 from strata.operators.similarity import attach, histogram_map, label_weights, map_cosine, near_pairs, prefix_join, similar_pairs, top_shared, shared_terms, vocabulary_quality
 
 
@@ -74,7 +75,7 @@ def _merged(pairs: DataFrame, exact: DataFrame, vectors: DataFrame, least: float
     star = exact.join(exact.groupBy("grp").agg(F.min("id").alias("first")), "grp").select(F.col("first").alias("a"), F.col("id").alias("b"))
     comp = components(pairs.select("a", "b").unionByName(star.where("a <> b")))
     nodes = comp.join(vectors, "id", "left").join(exact, "id", "left").select("root", "id", "k", "w", "grp")
-    edges = pairs.join(comp.withColumnRenamed("id", "a"), "a").select("root", "a", "b", "score")
+    edges = pairs.join(comp.select(F.col("id").alias("a"), F.col("root").alias("of")), "a").select("of", "a", "b", "score")
 
     def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         vec = {i: _unit(k, w) for i, k, w in zip(n["id"], n["k"], n["w"], strict=True) if k is not None}
@@ -85,7 +86,7 @@ def _merged(pairs: DataFrame, exact: DataFrame, vectors: DataFrame, least: float
             out.loc[0, ["made", "refused"]] = [made, refused]
         return out
 
-    return nodes.groupBy("root").cogroup(edges.groupBy("root")).applyInPandas(run, "id bigint, cluster bigint, made int, refused int")
+    return nodes.groupBy("root").cogroup(edges.groupBy("of")).applyInPandas(run, "id bigint, cluster bigint, made int, refused int")
 
 
 def exact_groups(symbols: DataFrame) -> DataFrame:
@@ -99,7 +100,7 @@ def shape_clusters(symbols: DataFrame, cfg: Config = Config()) -> DataFrame:
     Equal structural hashes join at once; near pairs are merged best first where the
     representatives' cosine reaches four fifths of the bound.
     """
-    pairs = near_pairs(symbols, cfg.theta_clone).withColumnRenamed("cos", "score")
+    pairs = Stage(symbols.sparkSession, "shapes").keep(near_pairs(symbols, cfg.theta_clone).withColumnRenamed("cos", "score"), "pairs")
     lw = label_weights(symbols)
     vec = lw.groupBy("id").agg(F.collect_list("label").alias("k"), F.collect_list("w").alias("w"))
     return _merged(pairs, exact_groups(symbols), vec, REP_RELAX * cfg.theta_clone).select("id", "cluster").withColumn("n", F.count("*").over(Window.partitionBy("cluster"))).where("n > 1").drop("n")
@@ -165,7 +166,7 @@ def competing_groups(kept: DataFrame, weights: DataFrame, cfg: Config = Config()
     """(cluster, members, b_max, a_at_best, terms): groups of competing symbols, merged best first on their vocabularies."""
     vec = weights.groupBy("id").agg(F.collect_list("term").alias("k"), F.collect_list("w").alias("w"))
     none = kept.select(F.col("a").alias("id"), F.col("a").alias("grp")).limit(0)
-    m = _merged(kept.select("a", "b", F.col("cos").alias("score")), none, vec, REP_RELAX * cfg.theta_b).select("id", "cluster")
+    m = Stage(kept.sparkSession, "competing").keep(_merged(kept.select("a", "b", F.col("cos").alias("score")), none, vec, REP_RELAX * cfg.theta_b).select("id", "cluster"), "merged")
     inside = kept.join(m.select(F.col("id").alias("a"), "cluster"), "a").join(m.select(F.col("id").alias("b"), F.col("cluster").alias("other")), "b").where("cluster = other")
     best = inside.groupBy("cluster").agg(F.max(F.struct("cos", "a", "b", "a_cos")).alias("p")).select("cluster", F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.col("p.cos").alias("b_max"), F.col("p.a_cos").alias("a_at_best"))
     terms = top_shared(shared_terms(best, weights), 8).groupBy("a", "b").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("terms"))
