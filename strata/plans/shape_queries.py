@@ -208,11 +208,11 @@ def shape_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def families(spark: SparkSession, d: str) -> DataFrame:
-    """Families grown around tight clusters; a plain agglomeration in the tests stands for SQL."""
+    """Families grown around tight clusters, with a vocabulary bound that these tables' random terms reach; a plain agglomeration in the tests stands for SQL."""
     s = symbols(spark, d, *_SHAPE, "qname")
     stage = Stage(spark, "families")
     s, w = stage.keep(s, "symbols"), stage.keep(symbol_weights(spark, d), "weights")
-    f = clustering.families(s, stage.keep(clustering.shape_clusters(s, CFG), "tight"), w, CFG)
+    f = clustering.families(s, stage.keep(clustering.shape_clusters(s, CFG), "tight"), w, Config(theta_b_family=0.005))
     return f.select("family", "id", "is_core", F.round("cos_to_core", 6).alias("cos_to_core"), F.round("b_cos_to_core", 6).alias("b_cos_to_core"))
 
 

@@ -8,6 +8,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,3 +95,25 @@ def empty(df: DataFrame) -> bool:
 def finite(c) -> F.Column:
     """True where a double is neither null, NaN nor infinite."""
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, once per application, so that their Python workers find it wherever they start."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="strata-zip-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "strata.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(at, f)
+                    z.write(full, os.path.join("strata", os.path.relpath(full, root)))
+    spark.sparkContext.addPyFile(path)
