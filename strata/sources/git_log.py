@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
 from dataclasses import dataclass
 
@@ -25,10 +26,13 @@ def git(root: str, *args: str) -> str | None:
 
 
 def history(spark: SparkSession, root: str, repo: str = ".") -> tuple[DataFrame, DataFrame, DataFrame] | None:
-    """(commits, edits, head files) of the first-parent chain; null if the folder is no repository.
+    """(commits, edits, head files) of the first-parent chain; null if the folder is not the root of a repository.
 
     Seconds are local: committer time plus offset. Renames are a removal and an addition.
     """
+    top = git(root, "rev-parse", "--show-toplevel")
+    if top is None or os.path.realpath(top.strip()) != os.path.realpath(root):
+        return None
     text = git(root, "log", "--first-parent", "--reverse", "--no-renames", "--diff-merges=first-parent", "--diff-algorithm=histogram", "--raw", "--no-abbrev", "--numstat", "-z", "--date=raw", "--format=%x02%H%x01%P%x01%cd%x01%ae%x01%B%x03")
     if text is None:
         return None
