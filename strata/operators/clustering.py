@@ -252,7 +252,8 @@ def families(symbols: DataFrame, tight: DataFrame, weights: DataFrame, cfg: Conf
     # A cluster whose members' roles differ has the role of none.
     size = unit.groupBy("unit").agg(F.count("*").alias("n"), F.when(F.min("role") == F.max("role"), F.min("role")).otherwise(F.lit("")).alias("role"), F.bool_or("core").alias("core"))
     mean = unit_l.join(unit.select("id", "unit"), "id").groupBy("unit", "key").agg(F.sum("w").alias("s")).join(size, "unit").select(F.col("unit").alias("id"), "key", (F.col("s") / F.col("n")).alias("w"))
-    comp = components(prefix_join(mean, cfg.theta_family))
+    stage = Stage(symbols.sparkSession, "families")
+    comp = components(stage.keep(prefix_join(stage.keep(mean, "units"), cfg.theta_family), "edges"))
     lists_l = unit_l.groupBy("id").agg(F.collect_list("key").alias("la"), F.collect_list("w").alias("lw"))
     lists_t = weights.groupBy("id").agg(F.collect_list("term").alias("ta"), F.collect_list("w").alias("tw"))
     empty_t, empty_w = F.array().cast("array<string>"), F.array().cast("array<double>")

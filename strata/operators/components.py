@@ -1,4 +1,4 @@
-"""Connected components by smallest labels with shortcuts."""
+"""Connected components by alternating stars."""
 
 from __future__ import annotations
 
@@ -11,21 +11,35 @@ from strata.runtime import Stage
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, root): every linked id with the smallest id it is linked to, directly or through others.
 
-    Each round a node takes the smallest label among its neighbours and itself, and then
-    the label of that label; rounds end when no label moves. Nulls and self-links are
-    ignored.
+    Large stars connect a node's larger neighbours to the smallest id around it, small
+    stars its smaller ones; both keep components as they are, and a number of rounds that
+    grows with the logarithm of the ids leaves one star around each smallest id. Rounds
+    end when the edges no longer change. Nulls and self-links are ignored.
     """
     stage = Stage(links.sparkSession, "components")
-    one = links.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL AND x <> y")
-    edges = stage.keep(one.unionByName(one.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
-    label = stage.keep(edges.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("m")).select("id", F.least("id", "m").alias("root")), "label")
+    start = links.select(F.col(a).alias("p"), F.col(b).alias("q")).where("p IS NOT NULL AND q IS NOT NULL AND p <> q")
+    edges, last = stage.keep(start.select(F.greatest("p", "q").alias("x"), F.least("p", "q").alias("y")).distinct(), "edges"), None
     while True:
-        seen = edges.join(label.select(F.col("id").alias("y"), "root"), "y").groupBy(F.col("x").alias("id")).agg(F.min("root").alias("m"))
-        low = label.join(seen, "id").select("id", F.col("root").alias("old"), F.least("root", "m").alias("root"))
-        short = low.join(label.select(F.col("id").alias("root"), F.col("root").alias("up")), "root").select("id", "old", F.least("root", "up").alias("root"))
-        moved = Observation()
-        new = stage.keep(short.observe(moved, F.max(F.col("root") < F.col("old")).alias("moved")).select("id", "root"), "label")
-        stage.drop(label)
-        label = new
-        if not moved.get["moved"]:
-            return label
+        seen = Observation()
+        out = stage.keep(_small(_large(edges)).observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)")).alias("h")), "stars")
+        stage.drop(edges)
+        edges, now = out, (seen.get["n"], seen.get["h"])
+        if now == last:
+            break
+        last = now
+    return edges.select(F.col("x").alias("id"), F.col("y").alias("root")).unionByName(edges.select(F.col("y").alias("id"), F.col("y").alias("root")).distinct())
+
+
+def _large(edges: DataFrame) -> DataFrame:
+    """Edges (x, y), x > y: each node's larger neighbours joined to the smallest of it and its neighbours."""
+    ends = F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("e")
+    both = edges.select(ends).select("e.x", "e.y")
+    least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+    return both.where("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
+
+
+def _small(edges: DataFrame) -> DataFrame:
+    """Edges (x, y), x > y: each node and its smaller neighbours joined to the smallest of these."""
+    least = edges.groupBy("x").agg(F.min("y").alias("m"))
+    down = edges.join(least, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
+    return down.unionByName(least.select("x", F.col("m").alias("y"))).distinct()

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.config import BUCKET_CAP, LOW_SIGNAL_TERMS, LSH_ROWS, MIN_SHARED_MASS, MIN_SHARED_TERMS, SIZE_RATIO
+from strata.operators.ids import dense_ids
+from strata.operators.postings import cosine_kernel, meet, prefix_length
+from strata.runtime import Stage
 
 
 def term_counts(rows: DataFrame, id_col: str, tf_map: str) -> DataFrame:
@@ -44,20 +47,17 @@ def prefix_join(vectors: DataFrame, theta: float, most: int | None = None) -> Da
     ``most``, a pair must also share a key of at most so many vectors; its first common
     key, the rarest, decides that.
     """
-    df = vectors.groupBy("key").agg(F.count("*").alias("df"))
-    vec = vectors.join(df, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "key", "w"))).alias("v"))
-    total = F.aggregate("v", F.lit(0.0), lambda s, e: s + e["w"] * e["w"])
-    start = F.struct((total + 1e-9).alias("left"), F.lit(0).alias("p"))
-    step = F.aggregate("v", start, lambda a, e: F.when(a["left"] >= theta * theta, F.struct((a["left"] - e["w"] * e["w"]).alias("left"), (a["p"] + 1).alias("p"))).otherwise(a))
-    keys = F.transform("v", lambda e: e["key"])
-    side = vec.withColumn("p", step["p"]).select("id", keys.alias("t"), F.map_from_arrays(keys, F.transform("v", lambda e: e["w"])).alias("m"), F.explode(F.slice("v", 1, F.col("p"))).alias("e")).where("e.df >= 2")
+    stage = Stage(vectors.sparkSession, "prefix")
+    flat = stage.keep(vectors.select(F.col("id").cast("bigint").alias("rep"), "key", F.col("w").cast("double").alias("w")) if dict(vectors.dtypes)["id"] != "string" else vectors.select(F.col("id").alias("rep"), "key", "w"), "vectors")
+    df = flat.groupBy("key").agg(F.count("*").cast("int").alias("df")).where("df > 1")
+    named = dense_ids(df, "df", "key", name="label")
+    toks = flat.join(named, "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "label", "w"))).alias("toks"))
+    p = prefix_length(F.lit(theta * theta * (1 - 1e-9)))
     if most is not None:
-        side = side.where(F.col("e.df") <= most)
-    a = side.select(F.col("id").alias("a"), F.col("t").alias("ta"), F.col("m").alias("ma"), F.col("e.key").alias("key"))
-    b = side.select(F.col("id").alias("b"), F.col("t").alias("tb"), F.col("m").alias("mb"), F.col("e.key").alias("key"))
-    met = a.join(b, "key").where("a < b").withColumn("c", F.array_intersect("ta", "tb")).where(F.element_at("c", 1) == F.col("key"))
-    dot = F.aggregate("c", F.lit(0.0), lambda s, t: s + F.element_at("ma", t) * F.element_at("mb", t))
-    return met.select("a", "b", dot.alias("dot")).where(F.col("dot") >= theta)
+        p = F.least(p, F.size(F.filter("toks", lambda e: e["df"] <= most)))
+    kind = dict(flat.dtypes)["rep"]
+    got = meet(toks.withColumn("p", p).withColumn("n", F.lit(1.0)), ["n"], cosine_kernel(theta), f"a {kind}, b {kind}, x double")
+    return got.select("a", "b", F.col("x").alias("dot"))
 
 
 def similar_pairs(weights: DataFrame, n: int, theta: float) -> DataFrame:

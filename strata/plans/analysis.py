@@ -5,25 +5,17 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.config import Config
 from strata.operators import clustering, graph, history
+from strata.operators.ids import dense_ids
 from strata.operators.similarity import document_frequency, term_counts, tfidf
 from strata.runtime import Stage, ship
 from strata.sources import git_log, python_code
 
 
-def dense_ids(rows: DataFrame, *order: str) -> DataFrame:
-    """Adds ``id``, 0, 1, 2, ... in the given order, without gathering the rows in one task."""
-    ranged = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("n"))
-    before = sizes.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("_b"))  # one row per partition
-    return ranged.join(before, "_p").withColumn("id", F.col("_b") + F.col("_r") - 1).drop("_p", "_r", "_b")
-
-
 @dataclass
 class Analysis:
     root: str

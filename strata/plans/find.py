@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.config import Config
+from strata.operators.ids import dense_ids
 from strata.operators.vectors import top_k
-from strata.plans.analysis import dense_ids
 from strata.runtime import ship
 from strata.sources import python_code
 
