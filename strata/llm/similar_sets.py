@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.groups import group_links
-from strata.llm.postings import ListMatrix, fingerprint, meet, rare_first
+from strata.operators.postings import ListMatrix, fingerprint, meet, rare_first
 from strata.runtime import Stage
 
 SKIP_BLOCK = 64

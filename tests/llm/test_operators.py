@@ -137,7 +137,7 @@ def test_nearest_vectors(spark, monkeypatch, block):
 
 
 def test_similar_sets(spark, monkeypatch):
-    from strata.llm import postings
+    from strata.operators import postings
 
     monkeypatch.setattr(postings, "LIST_BLOCK", 8)
     monkeypatch.setattr(similar_sets, "SKIP_BLOCK", 4)
