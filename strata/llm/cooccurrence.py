@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.runtime import Stage
+
 
 def plain_path(c: F.Column) -> F.Column:
     """A path in its plain spelling: forward slashes, none doubled, no leading ``./``, no blanks at the end; null if nothing is left."""
@@ -78,4 +80,5 @@ def pair_counts(collapsed: DataFrame, min_shared: int = 1) -> DataFrame:
 def cochanged_files(edits: DataFrame, max_paths: int = 30, min_shared: int = 5) -> DataFrame:
     """``pair_counts`` of the paths changed by the same commit of a repo, at least ``min_shared`` times."""
     rows = edits.select("repo", "commit_id", plain_path(F.col("path")).alias("path"))
-    return pair_counts(baskets(rows, "repo", "commit_id", "path", max_paths), min_shared)
+    collapsed = Stage(edits.sparkSession, "baskets").keep(baskets(rows, "repo", "commit_id", "path", max_paths), "baskets")
+    return pair_counts(collapsed, min_shared)
