@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strata.operators.postings import fingerprint
+from strata.runtime import Stage
+
 FIT_ROWS = 16384
 """Vectors, the first by hash of their id, on which the list centres are fitted; all vectors are indexed."""
 MOST_LISTS = 1024
@@ -99,11 +102,12 @@ def nearest_vectors(
     Returns (q, p, cos): ids of a vector and of its neighbour.
     """
     spark = rows.sparkSession
-    every = usable_vectors(rows, id_col, vector, dim)
-    group = every.select("id", "v", F.xxhash64("v").alias("h"))
-    reps = group.groupBy("h", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    member = group.join(reps.where("copies > 1").select("h", "v", "rep"), ["h", "v"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
-    vectors = reps.select(F.col("rep").alias("id"), "v")
+    stage = Stage(spark, "vectors")
+    every = stage.keep(usable_vectors(rows, id_col, vector, dim).select("id", "v", *fingerprint("v")), "usable")
+    group = every.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    member = stage.keep(every.select("id", "f1", "f2").join(group, ["f1", "f2"]).select("id", "rep", "copies"), "members")
+    reps = member.where("id = rep")
+    vectors = stage.keep(every.select("id", "v").join(reps.select("id"), "id"), "distinct")
     n = vectors.count()
     centres = _centres(spark, vectors, n)
     listed = _listed(vectors, centres, lists_per_vector)
