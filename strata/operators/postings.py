@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.operators.ids import dense_ids
+from strata.runtime import Stage
+
 LIST_BLOCK = 512
 """Entries of a block of a long posting list; blocks meet pairwise, in tasks of their own."""
 
@@ -35,34 +38,36 @@ def labels_of(wl: str = "wl") -> Column:
     return F.when(distinct, plain).otherwise(F.aggregate(pairs, start, add))
 
 
-def rare_first(rows: DataFrame, measure: str) -> DataFrame:
-    """(rep, measure, toks): each row's elements that also occur in another row, rarest first.
+def rare_first(flat: DataFrame, stage: Stage) -> DataFrame:
+    """(rep, n, toks): each row's elements that also occur in another row, rarest first.
 
-    ``rows`` has (rep, toks array<struct<label, w>>, measure). Elements of one row only
-    can link nothing; they count in ``measure`` alone. Rows left without elements are
-    left out.
+    ``flat`` has a row (rep, n, label, w) for each element of each row. Elements are
+    numbered from the rarest on, so that lists hold small numbers whatever the labels
+    are. Elements of one row only can link nothing; they count in n alone. Rows left
+    without elements are left out.
     """
-    flat = rows.select("rep", measure, F.explode("toks").alias("e")).select("rep", measure, "e.label", "e.w")
-    df = flat.groupBy("label").agg(F.count("*").cast("int").alias("df")).where("df > 1")
-    return flat.join(df, "label").groupBy("rep").agg(F.max(measure).alias(measure), F.sort_array(F.collect_list(F.struct("df", "label", "w"))).alias("toks"))
+    df = stage.keep(flat.groupBy("label").agg(F.count("*").cast("int").alias("df")).where("df > 1"), "df")
+    named = dense_ids(df, "df", "label", name="no")
+    return flat.join(named, "label").groupBy("rep").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", F.col("no").alias("label"), "w"))).alias("toks"))
 
 
-def meet(prefixed: DataFrame, payload: list[str], kernel: Callable, out: str) -> DataFrame:
+def meet(prefixed: DataFrame, kernel: Callable, out: str, weighted: bool = True) -> DataFrame:
     """Runs ``kernel`` over every posting list, or pair of blocks of a long list.
 
-    ``prefixed`` has rep, toks (rarest first), p (how many of them are indexed) and the
-    payload columns. A list is cut by the number of rows its element occurs in. The
+    ``prefixed`` has rep, n, toks (rarest first) and p (how many of them are indexed);
+    weights travel along only if ``weighted``. A list is cut by the number of rows its element occurs in. The
     kernel gets the columns of one list's entries as numpy arrays and yields result
     batches; a list's entries are contiguous in a sorted partition, so no list is ever
     gathered beyond two blocks.
     """
     entry = F.posexplode(F.slice("toks", 1, F.col("p"))).alias("pos", "e")
-    posted = prefixed.where("p > 0").select("rep", *payload, F.transform("toks", lambda x: x["label"]).alias("labels"), F.transform("toks", lambda x: x["w"]).alias("ws"), entry)
+    ws = F.transform("toks", lambda x: x["w"]) if weighted else F.array().cast("array<double>")
+    posted = prefixed.where("p > 0").select("rep", "n", F.transform("toks", lambda x: x["label"]).alias("labels"), ws.alias("ws"), entry)
     blocks = F.ceil(F.col("e.df") / LIST_BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     met = (
-        posted.select("rep", *payload, "labels", "ws", "pos", F.col("e.label").alias("tok"), own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        .select("tok", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("right"), "rep", "pos", *payload, "labels", "ws")
+        posted.select("rep", "n", "labels", "ws", "pos", F.col("e.label").alias("tok"), own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        .select("tok", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("right"), "rep", "pos", "n", "labels", "ws")
         .repartition("tok", "x", "y")
         .sortWithinPartitions("tok", "x", "y", "pos")
     )
@@ -75,12 +80,12 @@ def meet(prefixed: DataFrame, payload: list[str], kernel: Callable, out: str) ->
                 t = pa.concat_tables([rest, t])
             t = t.combine_chunks()
             starts = _starts(t)
-            yield from _lists(t, starts[:-1], starts[1:], payload, kernel)
+            yield from _lists(t, starts[:-1], starts[1:], kernel)
             rest = t.slice(int(starts[-1])) if t.num_rows else None
         if rest is not None:
             rest = rest.combine_chunks()
             starts = _starts(rest)
-            yield from _lists(rest, starts, np.r_[starts[1:], rest.num_rows].astype(int), payload, kernel)
+            yield from _lists(rest, starts, np.r_[starts[1:], rest.num_rows].astype(int), kernel)
 
     return met.mapInArrow(run, out)
 
@@ -95,10 +100,10 @@ def _starts(t: pa.Table) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _lists(t: pa.Table, starts: np.ndarray, ends: np.ndarray, payload: list[str], kernel: Callable) -> Iterator[pa.RecordBatch]:
+def _lists(t: pa.Table, starts: np.ndarray, ends: np.ndarray, kernel: Callable) -> Iterator[pa.RecordBatch]:
     if not len(starts):
         return
-    column = {k: t.column(k).combine_chunks() for k in ("rep", "pos", "right", "x", "y", *payload)}
+    column = {k: t.column(k).combine_chunks() for k in ("rep", "pos", "right", "x", "y", "n")}
     value = {k: v.to_numpy(zero_copy_only=False) for k, v in column.items()}
     lists = t.column("labels").combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
@@ -118,7 +123,7 @@ def _lists(t: pa.Table, starts: np.ndarray, ends: np.ndarray, payload: list[str]
         if not same and (right.all() or not right.any()):
             continue
         sizes = np.diff(at[s : e + 1])
-        part = {k: value[k][s:e] for k in ("rep", "pos", *payload)}
+        part = {k: value[k][s:e] for k in ("rep", "pos", "n")}
         got = kernel(part, sizes, labels[at[s] : at[e]], weights[w_at[s] : w_at[e]], None if same else right)
         if got is not None:
             found.append(got)

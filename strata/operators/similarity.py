@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.config import BUCKET_CAP, LOW_SIGNAL_TERMS, LSH_ROWS, MIN_SHARED_MASS, MIN_SHARED_TERMS, SIZE_RATIO
-from strata.operators.ids import dense_ids
-from strata.operators.postings import cosine_kernel, meet, prefix_length
+from strata.operators.postings import cosine_kernel, meet, prefix_length, rare_first
 from strata.runtime import Stage
 
 
@@ -48,15 +47,13 @@ def prefix_join(vectors: DataFrame, theta: float, most: int | None = None) -> Da
     key, the rarest, decides that.
     """
     stage = Stage(vectors.sparkSession, "prefix")
-    flat = stage.keep(vectors.select(F.col("id").cast("bigint").alias("rep"), "key", F.col("w").cast("double").alias("w")) if dict(vectors.dtypes)["id"] != "string" else vectors.select(F.col("id").alias("rep"), "key", "w"), "vectors")
-    df = flat.groupBy("key").agg(F.count("*").cast("int").alias("df")).where("df > 1")
-    named = dense_ids(df, "df", "key", name="label")
-    toks = flat.join(named, "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "label", "w"))).alias("toks"))
+    flat = stage.keep(vectors.select(F.col("id").alias("rep"), F.lit(1.0).alias("n"), F.col("key").alias("label"), "w"), "vectors")
+    toks = rare_first(flat, stage)
     p = prefix_length(F.lit(theta * theta * (1 - 1e-9)))
     if most is not None:
         p = F.least(p, F.size(F.filter("toks", lambda e: e["df"] <= most)))
     kind = dict(flat.dtypes)["rep"]
-    got = meet(toks.withColumn("p", p).withColumn("n", F.lit(1.0)), ["n"], cosine_kernel(theta), f"a {kind}, b {kind}, x double")
+    got = meet(toks.withColumn("p", p), cosine_kernel(theta), f"a {kind}, b {kind}, x double")
     return got.select("a", "b", F.col("x").alias("dot"))
 
 
