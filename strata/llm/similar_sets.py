@@ -97,10 +97,11 @@ class SimilarSets:
         )
         sets = stage.keep(every.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"), F.any_value("s").alias("s")), "reps")
         self.members = stage.keep(every.select("id", "f1", "f2").distinct().join(sets.select("f1", "f2", "rep", "copies"), ["f1", "f2"]).select("id", "rep", "copies"), "members")
-        tokens = rare_first(sets.select("rep", F.size("s").alias("n"), F.transform("s", lambda x: F.struct(x.alias("label"), F.lit(None).cast("float").alias("w"))).alias("toks")), "n")
+        flat = sets.select("rep", F.size("s").alias("n"), F.explode("s").alias("label"), F.lit(None).cast("double").alias("w"))
+        tokens = rare_first(flat, stage)
         need = F.ceil(F.col("n") * num / den - 1e-9)
         p = F.col("n") - need + 1 - (F.col("n") - F.size("toks"))
-        pairs = meet(tokens.withColumn("p", F.least(F.greatest(p, F.lit(0)), F.size("toks")).cast("int")), ["n"], _similar(num, den), "a bigint, b bigint, x bigint")
+        pairs = meet(tokens.withColumn("p", F.least(F.greatest(p, F.lit(0)), F.size("toks")).cast("int")), _similar(num, den), "a bigint, b bigint, x bigint", weighted=False)
         self.links = stage.keep(pairs, "links")
         self.stage = stage
 
