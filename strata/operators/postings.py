@@ -38,8 +38,8 @@ def labels_of(wl: str = "wl") -> Column:
     return F.when(distinct, plain).otherwise(F.aggregate(pairs, start, add))
 
 
-def rare_first(flat: DataFrame, stage: Stage) -> DataFrame:
-    """(rep, n, toks): each row's elements that also occur in another row, rarest first.
+def rare_first(flat: DataFrame, stage: Stage, *carry: str) -> DataFrame:
+    """(rep, n, toks, carried columns): each row's elements that also occur in another row, rarest first.
 
     ``flat`` has a row (rep, n, label, w) for each element of each row. Elements are
     numbered from the rarest on, so that lists hold small numbers whatever the labels
@@ -48,10 +48,10 @@ def rare_first(flat: DataFrame, stage: Stage) -> DataFrame:
     """
     df = stage.keep(flat.groupBy("label").agg(F.count("*").cast("int").alias("df")).where("df > 1"), "df")
     named = dense_ids(df, "df", "label", name="no")
-    return flat.join(named, "label").groupBy("rep").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", F.col("no").alias("label"), "w"))).alias("toks"))
+    return flat.join(named, "label").groupBy("rep").agg(*(F.max(c).alias(c) for c in ("n", *carry)), F.sort_array(F.collect_list(F.struct("df", F.col("no").alias("label"), "w"))).alias("toks"))
 
 
-def meet(prefixed: DataFrame, kernel: Callable, out: str, weighted: bool = True) -> DataFrame:
+def meet(prefixed: DataFrame, kernel: Callable, out: str, weighted: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """Runs ``kernel`` over every posting list, or pair of blocks of a long list.
 
     ``prefixed`` has rep, n, toks (rarest first) and p (how many of them are indexed);
@@ -60,14 +60,15 @@ def meet(prefixed: DataFrame, kernel: Callable, out: str, weighted: bool = True)
     batches; a list's entries are contiguous in a sorted partition, so no list is ever
     gathered beyond two blocks.
     """
+    kept = ["n", *carry]
     entry = F.posexplode(F.slice("toks", 1, F.col("p"))).alias("pos", "e")
     ws = F.transform("toks", lambda x: x["w"]) if weighted else F.array().cast("array<double>")
-    posted = prefixed.where("p > 0").select("rep", "n", F.transform("toks", lambda x: x["label"]).alias("labels"), ws.alias("ws"), entry)
+    posted = prefixed.where("p > 0").select("rep", *kept, F.transform("toks", lambda x: x["label"]).alias("labels"), ws.alias("ws"), entry)
     blocks = F.ceil(F.col("e.df") / LIST_BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     met = (
-        posted.select("rep", "n", "labels", "ws", "pos", F.col("e.label").alias("tok"), own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        .select("tok", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("right"), "rep", "pos", "n", "labels", "ws")
+        posted.select("rep", *kept, "labels", "ws", "pos", F.col("e.label").alias("tok"), own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        .select("tok", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("right"), "rep", "pos", *kept, "labels", "ws")
         .repartition("tok", "x", "y")
         .sortWithinPartitions("tok", "x", "y", "pos")
     )
@@ -80,12 +81,12 @@ def meet(prefixed: DataFrame, kernel: Callable, out: str, weighted: bool = True)
                 t = pa.concat_tables([rest, t])
             t = t.combine_chunks()
             starts = _starts(t)
-            yield from _lists(t, starts[:-1], starts[1:], kernel)
+            yield from _lists(t, starts[:-1], starts[1:], kept, kernel)
             rest = t.slice(int(starts[-1])) if t.num_rows else None
         if rest is not None:
             rest = rest.combine_chunks()
             starts = _starts(rest)
-            yield from _lists(rest, starts, np.r_[starts[1:], rest.num_rows].astype(int), kernel)
+            yield from _lists(rest, starts, np.r_[starts[1:], rest.num_rows].astype(int), kept, kernel)
 
     return met.mapInArrow(run, out)
 
@@ -100,10 +101,10 @@ def _starts(t: pa.Table) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _lists(t: pa.Table, starts: np.ndarray, ends: np.ndarray, kernel: Callable) -> Iterator[pa.RecordBatch]:
+def _lists(t: pa.Table, starts: np.ndarray, ends: np.ndarray, kept: list[str], kernel: Callable) -> Iterator[pa.RecordBatch]:
     if not len(starts):
         return
-    column = {k: t.column(k).combine_chunks() for k in ("rep", "pos", "right", "x", "y", "n")}
+    column = {k: t.column(k).combine_chunks() for k in ("rep", "pos", "right", "x", "y", *kept)}
     value = {k: v.to_numpy(zero_copy_only=False) for k, v in column.items()}
     lists = t.column("labels").combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
@@ -123,7 +124,7 @@ def _lists(t: pa.Table, starts: np.ndarray, ends: np.ndarray, kernel: Callable)
         if not same and (right.all() or not right.any()):
             continue
         sizes = np.diff(at[s : e + 1])
-        part = {k: value[k][s:e] for k in ("rep", "pos", "n")}
+        part = {k: value[k][s:e] for k in ("rep", "pos", *kept)}
         got = kernel(part, sizes, labels[at[s] : at[e]], weights[w_at[s] : w_at[e]], None if same else right)
         if got is not None:
             found.append(got)
