@@ -165,7 +165,21 @@ def test_similar_sets(spark, monkeypatch):
     assert similar_sets.SimilarSets(df.limit(0), "id", "labels").pairs().collect() == []
 
 
-def test_shape_clusters(spark):
+def test_a_crowded_list_keeps_its_connections():
+    rng = np.random.default_rng(2)
+    m = 120
+    i, j = np.triu_indices(m, 1)
+    apart = (i < 70) == (j < 70)
+    i, j = i[apart], j[apart]
+    x = rng.random(len(i))
+    for keep in (shape_clusters._forest(i, j, m), shape_clusters._strongest(i, j, x, m) | shape_clusters._forest(i, j, m)):
+        assert set(union_find(zip(i[keep], j[keep])).values()) == {0, 70} and keep.sum() < 20 * m
+    assert shape_clusters._forest(i, j, m).sum() == m - 2
+
+
+@pytest.mark.parametrize("keep", [0, 16])
+def test_shape_clusters(spark, monkeypatch, keep):
+    monkeypatch.setattr(shape_clusters, "KEEP", keep)
     rng = random.Random(7)
     base = [rng.sample(range(10**6), 15) for _ in range(8)]
     rows, vec = [], {}
