@@ -62,7 +62,7 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 9) for c in columns})
 
 
-@query(f"WITH {TXN}, {_coupled('t')} SELECT repo, a, b, shared, {_ROUND}, row_number() OVER (PARTITION BY repo ORDER BY greatest(round(confidence_ab, 9), round(confidence_ba, 9)) DESC, a, b) AS place FROM cp")
+@query(f"WITH {TXN}, {_coupled('t')} SELECT repo, a, b, shared, {_ROUND}, CAST(row_number() OVER (PARTITION BY repo ORDER BY greatest(round(confidence_ab, 9), round(confidence_ba, 9)) DESC, a, b) AS INT) AS place FROM cp")
 def cochange_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Coupled pairs with their place in the repo's report: the larger confidence first, then by name."""
     from pyspark.sql import Window
