@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import copy
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,23 @@ RARE = 0.02
 EM_ROUNDS = 3
 LEAST = 6.0
 """Log odds from which a document is garbled."""
+FIT = -3.5
+"""Mean log probability of a bigram from which a reading looks like the texts."""
+LETTERS, EACH = 12, 6
+"""A table of letters is learnt where at least so many letters stand, each in so many bigrams on average; fewer do not determine it."""
+WORSE = 1.25
+"""How far the mean log probability of a bigram under a learnt table may stay below that of the texts."""
+COVER = 0.8
+"""Share of the bigrams with a letter of a learnt table that it has to read whole."""
+MORE = 2.5
+"""How much more likely, in log units a bigram, a learnt table has to make what it reads."""
+LEARN_ROUNDS = 30
+NOISE = -6.0
+"""Log probability of a bigram with a character that is no letter of the table."""
+LEARNT = "learnt"
+
+# Code pages whose letters a learnt table may lead to. Which character stands for which letter is learnt.
+ALPHABETS = ["cp1251", "mac_cyrillic", "latin-1", "cp1250", "cp1253", "cp1254", "cp1257", "cp1255"]
 
 RUN = re.compile("[^\x00-\x7f]+")
 LOST = re.compile("\ufffd(?=\\w)|(?<=\\w)\ufffd|\ufffd\ufffd")
@@ -50,6 +69,10 @@ def _slot(a: np.ndarray, bits: int) -> np.ndarray:
     return ((a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _pair_slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _slot(a.astype(np.uint64) << np.uint64(21) | b.astype(np.uint64), PAIR_BITS)
+
+
 def pair_slots(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where a bigram with a character beyond ASCII begins, its slot, and the slot of its first character."""
     at = np.flatnonzero((c[:-1] > 127) | (c[1:] > 127))
@@ -76,6 +99,21 @@ class Bigrams:
         _, p, f = pair_slots(c)
         return float(np.log((self.pair[p] + 0.02) / (self.first[f] + 40)).sum())
 
+    def without(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Bigrams:
+        """The model less so many texts with each bigram."""
+        out = copy.copy(self)
+        out.pair, out.first = self.pair.copy(), self.first.copy()
+        pair, first = _pair_slot(a, b), _slot(a.astype(np.uint64), CHAR_BITS)
+        np.subtract.at(out.pair, pair, n)
+        np.subtract.at(out.first, first, n)
+        np.maximum(out.pair, 0, out=out.pair)
+        np.maximum(out.first, 0, out=out.first)
+        return out
+
+    def table(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Log probabilities of each of ``b`` after each of ``a``."""
+        return np.log((self.pair[_pair_slot(a[:, None], b[None, :])] + 0.02) / (self.first[_slot(a, CHAR_BITS)] + 40)[:, None])
+
     def rare(self, c: np.ndarray) -> np.ndarray:
         """Places in a text whose bigram is in few texts."""
         at, p, _ = pair_slots(c)
@@ -162,8 +200,11 @@ def readings(run: str) -> Iterator[tuple[str, str]]:
                 yield f"{key[0]}>{key[1]}", plain
 
 
-def gains(text: str, model: Bigrams, known: dict) -> dict[str, tuple[float, int]]:
-    """For each cipher by how much it makes the suspicious runs of a text more likely, and how many runs."""
+def gains(text: str, model: Bigrams, known: dict, odd: set | None = None) -> dict[str, tuple[float, int]]:
+    """For each cipher by how much it makes the suspicious runs of a text more likely, and how many runs.
+
+    ``odd`` gets the bigrams of runs that are rare for the most part and that no cipher makes look like the texts.
+    """
     c = folded(text)
     rare = model.rare(c)
     if not len(rare):
@@ -180,24 +221,184 @@ def gains(text: str, model: Bigrams, known: dict) -> dict[str, tuple[float, int]
             if len(known) > 1 << 17:
                 known.clear()
             base = model.score(key)
-            got = []
+            got, best = [], -np.inf
             for name, plain in readings(m.group()):
-                gain = model.score(key[0] + plain + key[-1]) - base - (3.0 if "~" in name else 0.0)
+                after = model.score(key[0] + plain + key[-1])
+                gain = after - base - (3.0 if "~" in name else 0.0)
                 if gain > 0:
                     got.append((name, gain))
-            known[key] = got
-        for name, gain in known[key]:
+                    best = max(best, after / (len(plain) + 1))
+            known[key] = got, best < FIT
+        if odd is not None and known[key][1] and 2 * (np.searchsorted(rare, e, "right") - i) > e - s + 1:
+            w = c[s : e + 2].astype(np.int64)
+            odd.update((w[:-1] << 21 | w[1:]).tolist())
+        for name, gain in known[key][0]:
             g, n = out.get(name, (0.0, 0))
             out[name] = (g + gain, n + 1)
     return out
 
 
-def restore(text: str, cipher: str, model: Bigrams) -> str:
+def _em(a: np.ndarray, b: np.ndarray, n: np.ndarray, log_p: np.ndarray, unit: np.ndarray, emit: np.ndarray) -> np.ndarray:
+    """Expectation-maximisation of a letter table: expected counts of (plain letter, character).
+
+    ``a`` and ``b`` number the characters of bigrams seen ``n`` times, ``log_p`` has the log
+    probabilities of plain bigrams, ``unit`` those of plain letters, ``emit`` those of a letter's characters.
+    """
+    joint, may = np.exp(log_p) * unit[:, None], emit > 0
+    count = emit
+    is_a, is_b = np.zeros((len(n), emit.shape[1])), np.zeros((len(n), emit.shape[1]))
+    is_a[np.arange(len(n)), a] = is_b[np.arange(len(n)), b] = 1
+    for _ in range(LEARN_ROUNDS):
+        left, right = joint @ emit, joint.T @ emit
+        pa, pb = emit[:, a] * left[:, b], emit[:, b] * right[:, a]
+        pa *= n / np.maximum(pa.sum(0), 1e-300)
+        pb *= n / np.maximum(pb.sum(0), 1e-300)
+        count = pa @ is_a + pb @ is_b
+        emit = (count + 1e-3) * may
+        emit /= np.maximum(emit.sum(1, keepdims=True), 1e-300)
+    return count
+
+
+def _climb(a: np.ndarray, b: np.ndarray, n: np.ndarray, log_p: np.ndarray, to: np.ndarray, free: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """Moves and swaps of single letters of a table, as long as one makes the bigrams more likely."""
+    best, moved = float((n * log_p[to[a], to[b]]).sum()), True
+    while moved:
+        moved = False
+        for c in free:
+            start, stop = (a == c) & (b != c), (b == c) & (a != c)
+            rough = (n[start] * log_p[:, to[b[start]]]).sum(1) + (n[stop] * log_p[to[a[stop]], :].T).sum(1)
+            for p in np.r_[letters[np.argsort(-rough[letters])][:12], len(log_p) - 1]:
+                if p == to[c]:
+                    continue
+                new = to.copy()
+                if p < len(log_p) - 1:
+                    new[free[to[free] == p]] = to[c]
+                new[c] = p
+                got = float((n * log_p[new[a], new[b]]).sum())
+                if got > best + 1e-6:
+                    best, to, moved = got, new, True
+    return to
+
+
+def learn_letters(a: np.ndarray, b: np.ndarray, n: np.ndarray, model: Bigrams) -> dict[int, str]:
+    """The letter table of an unknown code-page swap, from how many texts of a source have each bigram no listed cipher explains.
+
+    The characters beyond ASCII are cipher letters, those of ASCII stand for themselves.
+    For the letters of every alphabet the model knows, the table is learnt by
+    expectation-maximisation, from a blank start and from every listed swap that covers
+    most of the characters, and settled by single moves. A character that fits no letter
+    is left out, with its bigrams at ``NOISE``. The most likely table counts if its
+    bigrams are about as likely as those of the texts themselves, which a language that
+    is only rare does not reach; otherwise there is none.
+    """
+    chars, at = np.unique(np.r_[a, b], return_inverse=True)
+    total = np.bincount(at, np.r_[n, n])
+    seen = chars[(chars > 127) & (total >= 3)]
+    ok = ((a < 128) | np.isin(a, seen)) & ((b < 128) | np.isin(b, seen))
+    if len(seen) < LETTERS or n[ok].sum() < EACH * LETTERS:
+        return {}
+    model = model.without(a, b, n)
+    a, b, n = a[ok], b[ok], n[ok].astype(float)
+    base = np.log((model.pair[_pair_slot(a, b)] + 0.02) / (model.first[_slot(a, CHAR_BITS)] + 40))
+    marks = np.unique(np.r_[a[a < 128], b[b < 128]])
+    m, cipher = len(marks), np.r_[marks, seen]
+    ia, ib = np.searchsorted(cipher, a), np.searchsorted(cipher, b)
+    free = np.arange(m, len(cipher))
+    often = np.bincount(np.r_[ia, ib], np.r_[n, n], len(cipher))[m:]
+    best: tuple[float, dict[int, str]] = (-np.inf, {})
+    for page in ALPHABETS:
+        abc = np.array(sorted({ord(ch) for i in range(128, 256) if (ch := bytes([i]).decode(page, "ignore")) and ch.isalpha()}))
+        abc = abc[model.first[_slot(abc, CHAR_BITS)] >= 20]
+        k = len(abc)
+        if k < LETTERS:
+            continue
+        plain = np.r_[marks, abc]
+        log_p, pairs = model.table(plain, plain), model.pair[_pair_slot(plain[:, None], plain[None, :])].astype(float)
+        log_p[:m, :m], pairs[:m, :m] = -12.0, 0.0  # bigrams of ASCII alone are not counted
+        typical = float((pairs * log_p).sum() / max(pairs.sum(), 1))
+        log_p = np.pad(log_p, (0, 1), constant_values=NOISE)  # the last plain letter is none
+        unit = np.r_[np.maximum(pairs.sum(1), 0.02), pairs.sum() / 20]
+        unit /= unit.sum()
+        blank = np.zeros((m + k + 1, len(cipher)))
+        blank[np.arange(m), np.arange(m)] = 1
+        rank = np.argsort(np.argsort(-unit[m : m + k])) / k
+        blank[m : m + k, m:] = np.exp(-2 * np.abs(rank[:, None] - (np.argsort(np.argsort(-often)) / len(free))[None, :]))
+        blank[-1, m:] = 1
+        starts = [blank]
+        for t in TABLES.values():
+            hit = [(int(p[0]), c) for c in free if (q := t.get(int(cipher[c]))) and len(p := np.flatnonzero(abc == ord(q)))]
+            if 2 * len(hit) >= min(len(free), k):
+                start = blank.copy()
+                for p, c in hit:
+                    start[m + p, c] += 20
+                starts.append(start)
+        for start in starts:
+            count = _em(ia, ib, n, log_p, unit, start / np.maximum(start.sum(1, keepdims=True), 1e-300))
+            to = np.r_[np.arange(m), np.full(len(free), m + k)]
+            for x in np.argsort(-count[m : m + k, m:], axis=None):
+                p, c = divmod(int(x), len(free))
+                if count[m + p, m + c] >= 1 and to[m + c] == m + k and m + p not in to[m:]:
+                    to[m + c] = m + p
+            read = (to[ia] < m + k) & (to[ib] < m + k)
+            if (n * (log_p[to[ia], to[ib]] - base))[read].sum() <= 0:
+                continue  # right tables are far above before their last letters are settled
+            to = _climb(ia, ib, n, log_p, to, free, np.arange(m, m + k))
+            got = log_p[to[ia], to[ib]]
+            read = (to[ia] < m + k) & (to[ib] < m + k)
+            letters = free[to[free] < m + k]
+            if len(letters) < LETTERS or n[read].sum() < EACH * len(letters):
+                continue
+            gain = float((n * (got - base))[read].sum()) - len(letters) * np.log(k)
+            touched = np.isin(ia, letters) | np.isin(ib, letters)
+            if n[read].sum() < COVER * n[touched].sum():
+                continue
+            if np.average(got[read], weights=n[read]) >= typical - WORSE and gain > max(best[0], MORE * n[read].sum()):
+                near = [read & ((ia == c) | (ib == c)) for c in letters]
+                best = gain, {int(cipher[c]): chr(plain[to[c]]) for c, r in zip(letters, near, strict=True) if r.any() and np.average(got[r], weights=n[r]) >= typical - 2 * WORSE}
+    return best[1]
+
+
+class Learnt:
+    """A source's learnt letters, and the model without what they are learnt from."""
+
+    def __init__(self, letters: dict[int, str], a: np.ndarray, b: np.ndarray, n: np.ndarray, model: Bigrams):
+        self.letters, self.model = letters, model.without(a, b, n)
+
+    def reading(self, before: str, run: str, after: str) -> tuple[str, float] | None:
+        """The plain text of a run and how much more likely it is; null if the table lacks a character or the text is unlike the texts."""
+        if not all(ord(ch) in self.letters for ch in run):
+            return None
+        plain = run.translate(self.letters)
+        got = self.model.score(before + plain + after)
+        gain = got - self.model.score(before + run + after)
+        return (plain, gain) if gain > 0 and got / (len(plain) + 1) >= FIT else None
+
+    def gain(self, text: str) -> tuple[float, int]:
+        """Summed over the runs of a text, and how many runs."""
+        read = (self.reading(text[m.start() - 1 : m.start()] or " ", m.group(), text[m.end() : m.end() + 1] or " ") for m in RUN.finditer(text))
+        got = [r[1] for r in read if r]
+        return float(sum(got)), len(got)
+
+    @staticmethod
+    def of(source: str, tables: dict, model: Bigrams, last: dict) -> Learnt | None:
+        """That of a source; ``last`` keeps the latest one only, as rows come sorted by source."""
+        if source not in tables:
+            return None
+        if source not in last:
+            last.clear()
+            last[source] = Learnt(*tables[source], model)
+        return last[source]
+
+
+def restore(text: str, cipher: str, model: Bigrams, learnt: Learnt | None = None) -> str:
     """The text with each run read back where the cipher makes it more likely; a run with lost bytes stays as it is."""
 
     def back(m: re.Match) -> str:
         s, e = m.span()
         a, b = text[s - 1 : s] or " ", text[e : e + 1] or " "
+        if cipher == LEARNT:
+            got = learnt.reading(a, m.group(), b) if learnt else None
+            return got[0] if got else m.group()
         base = model.score(a + m.group() + b)
         for name, plain in readings(m.group()):
             if name == cipher and "~" not in name and model.score(a + plain + b) > base:
@@ -215,7 +416,9 @@ def garbled_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s
     bigrams are rare are read under every cipher; the gain in log likelihood, summed over
     the text, is its evidence. Expectation-maximisation learns for each source how common
     each cipher is there: the expectation is a text's posterior over the ciphers, the
-    maximisation their shares by source. A text is garbled if the posterior odds of all
+    maximisation their shares by source. What no listed cipher makes look like the texts
+    goes into a table of letters learnt for its source (``learn_letters``), one cipher
+    more there. A text is garbled if the posterior odds of all
     ciphers together exceed ``LEAST``.
 
     Some damage shows without a model: control characters of the C1 range, replacement
@@ -225,7 +428,8 @@ def garbled_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s
     Null ids and texts give no rows; a null source is a source of its own; repeated rows
     give repeated rows. No documents, no rows. Whole texts are read.
 
-    Returns (doc_id, cipher, score, restored): cipher is null where only damage shows,
+    Returns (doc_id, cipher, score, restored): cipher is null where only damage shows and
+    ``learnt`` where a source's own table was used,
     restored is null where it is not known.
     """
     spark = docs.sparkSession
@@ -239,14 +443,29 @@ def garbled_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s
             rows = []
             for i, s, t in zip(f["doc_id"], f["source"], f["t"], strict=True):
                 damage = bool(CONTROL.search(t) or LOST.search(t) or t.startswith(MARK))
-                got = gains(t, model.value, known)
-                if damage or got:
-                    rows.append((i, s, t, damage, [{"cipher": c, "gain": g, "runs": n} for c, (g, n) in got.items()]))
-            yield pd.DataFrame(rows, columns=["doc_id", "source", "t", "damage", "got"])
+                odd: set[int] = set()
+                got = gains(t, model.value, known, odd)
+                if damage or got or odd:
+                    rows.append((i, s, t, damage, [{"cipher": c, "gain": g, "runs": n} for c, (g, n) in got.items()], list(odd)))
+            yield pd.DataFrame(rows, columns=["doc_id", "source", "t", "damage", "got", "odd"])
 
-    schema = f"doc_id {pick.schema[0].dataType.simpleString()}, source string, t string, damage boolean, got array<struct<cipher:string,gain:double,runs:int>>"
+    schema = f"doc_id {pick.schema[0].dataType.simpleString()}, source string, t string, damage boolean, got array<struct<cipher:string,gain:double,runs:int>>, odd array<bigint>"
     scored = stage.keep(pick.where(F.col("t").rlike("[^\\x00-\\x7f]")).mapInPandas(score, schema), "scored").withColumn("source", F.coalesce("source", F.lit("")))
     evidence = scored.select("doc_id", "source", F.xxhash64("t").alias("h"), F.explode("got").alias("g")).select("doc_id", "source", "h", "g.cipher", "g.gain")
+    tables, own = _learn_tables(scored, model), None
+    if tables:
+        own = spark.sparkContext.broadcast(tables)
+
+        def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            last: dict = {}
+            for f in frames:
+                got = [Learnt.of(s, own.value, model.value, last).gain(t)[0] for s, t in zip(f["source"], f["t"], strict=True)]
+                f["cipher"], f["gain"] = LEARNT, np.array(got, float)
+                yield f.loc[f["gain"] > 0, ["doc_id", "source", "h", "cipher", "gain"]]
+
+        some = scored.where(F.col("source").isin(list(tables))).select("doc_id", "source", F.xxhash64("t").alias("h"), "t").repartition("source").sortWithinPartitions("source")
+        more = some.mapInPandas(read, evidence.schema)
+        evidence = evidence.unionByName(stage.keep(more, "learnt"))
     size = pick.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("n"))
     share = size.select("source", "n")
     shares: DataFrame | None = None
@@ -258,12 +477,34 @@ def garbled_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s
     out = scored.withColumn("h", F.xxhash64("t")).join(best, ["doc_id", "h"], "left").where(F.col("damage") | (F.col("score") >= LEAST))
 
     def read_back(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: dict = {}
         for f in frames:
-            f["restored"] = [restore(t, c, model.value) if isinstance(c, str) and s >= LEAST else None for t, c, s in zip(f["t"], f["cipher"], f["score"], strict=True)]
+            f["restored"] = [
+                restore(t, c, model.value, Learnt.of(source, own.value, model.value, last) if own else None) if isinstance(c, str) and s >= LEAST else None
+                for t, c, s, source in zip(f["t"], f["cipher"], f["score"], f["source"], strict=True)
+            ]
             f["restored"] = [r if r != t else None for r, t in zip(f["restored"], f["t"], strict=True)]
             yield f[["doc_id", "cipher", "score", "restored"]]
 
-    return out.select("doc_id", "t", "cipher", "score").mapInPandas(read_back, f"doc_id {pick.schema[0].dataType.simpleString()}, cipher string, score double, restored string")
+    out = out.select("doc_id", "source", "t", "cipher", "score")
+    if own:
+        out = out.repartition("source").sortWithinPartitions("source")
+    return out.mapInPandas(read_back, f"doc_id {pick.schema[0].dataType.simpleString()}, cipher string, score double, restored string")
+
+
+def _learn_tables(scored: DataFrame, model: Broadcast) -> dict[str, tuple]:
+    """For each source with an unknown swap its letters, and the bigrams (a, b, n) they are learnt from."""
+    pairs = scored.select("source", F.xxhash64("t").alias("h"), F.explode("odd").alias("pair")).distinct().groupBy("source", "pair").agg(F.count("*").cast("double").alias("n"))
+
+    def learn(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("pair")
+        pair, n = f["pair"].to_numpy(), f["n"].to_numpy()
+        a, b = pair >> 21, pair & ((1 << 21) - 1)
+        got = learn_letters(a, b, n, model.value)
+        return pd.DataFrame([(f["source"].iloc[0], list(got), list(got.values()), a, b, n)] if got else [], columns=["source", "read", "plain", "a", "b", "n"])
+
+    rows = pairs.repartition(4 * scored.sparkSession.sparkContext.defaultParallelism, "source").groupBy("source").applyInPandas(learn, "source string, read array<int>, plain array<string>, a array<bigint>, b array<bigint>, n array<double>").collect()
+    return {r["source"]: (dict(zip(r["read"], r["plain"], strict=True)), *(np.array(r[c]) for c in "abn")) for r in rows}
 
 
 def _posterior(evidence: DataFrame, shares: DataFrame | None) -> DataFrame:

@@ -285,3 +285,18 @@ def test_garbled(spark):
     back = sum(rows[i]["restored"] == t for i, t in plain.items())
     assert back >= 0.9 * len(plain)
     assert garbled.garbled_texts(df.limit(0)).collect() == []
+
+
+def test_garbled_unlisted(spark):
+    """A swap that is not listed: its letters are learnt from the source; a language that is only rare is none."""
+    rng = random.Random(3)
+    clean, greek = CLEAN["ru"].replace(".", "").split(" "), "Από την έκδοση αυτή ο συλλέκτης χάνει άδεια αρχεία και ξεχνά τα ονόματα των κόμβων".split(" ")
+    page, read = "koi8-r", "mac_roman"
+    assert (page, read) not in garbled.SWAPS
+    rows = [(i, f"s{i % 7}", " ".join(rng.sample(clean, 10))) for i in range(1500)]
+    plain = {9000 + i: " ".join(rng.sample(clean, 12)) for i in range(25)}
+    rows += [(i, "odd", t.encode(page).decode(read)) for i, t in plain.items()] + [(8000 + i, "greek", " ".join(rng.sample(greek, 10))) for i in range(25)]
+    got = {r["doc_id"]: r for r in garbled.garbled_texts(spark.createDataFrame(rows, "doc_id bigint, source string, text string")).collect()}
+    assert set(got) == set(plain)
+    same = sum(x == y for i, t in plain.items() for x, y in zip(got[i]["restored"] or "", t))
+    assert same >= 0.9 * sum(map(len, plain.values()))
