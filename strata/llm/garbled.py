@@ -29,6 +29,8 @@ PAIR_BITS, CHAR_BITS = 20, 16
 RARE = 0.02
 """A run of characters is scored if one of its bigrams is in a smaller share of the texts."""
 EM_ROUNDS = 3
+FIRST_SHARE = 0.002
+"""Share of a cipher before any is learnt."""
 LEAST = 6.0
 """Log odds from which a document is garbled."""
 FIT = -3.5
@@ -390,8 +392,8 @@ class Learnt:
         return last[source]
 
 
-def restore(text: str, cipher: str, model: Bigrams, learnt: Learnt | None = None) -> str:
-    """The text with each run read back where the cipher makes it more likely; a run with lost bytes stays as it is."""
+def _read_back(text: str, cipher: str, model: Bigrams, learnt: Learnt | None, first: bool) -> str:
+    """The text with each run read back once where the cipher makes it more likely, but for the ``first`` cipher only if none reads it better; a run with lost bytes stays as it is."""
 
     def back(m: re.Match) -> str:
         s, e = m.span()
@@ -400,14 +402,37 @@ def restore(text: str, cipher: str, model: Bigrams, learnt: Learnt | None = None
             got = learnt.reading(a, m.group(), b) if learnt else None
             return got[0] if got else m.group()
         base = model.score(a + m.group() + b)
-        for name, plain in readings(m.group()):
-            if name == cipher and "~" not in name and model.score(a + plain + b) > base:
-                return plain
-        return m.group()
+        if first:
+            plain = next((plain for name, plain in readings(m.group()) if name == cipher), None)
+            return m.group() if plain is None or model.score(a + plain + b) <= base else plain
+        scored = [(model.score(a + plain + b) - (3.0 if "~" in name else 0.0), name, plain) for name, plain in readings(m.group())]
+        scored = [x for x in scored if x[1].startswith("utf-8")] or scored  # bytes that form UTF-8, even with some lost, hardly are anything else
+        best = max((x[0] for x in scored), default=base)
+        return next((plain for got, name, plain in scored if name == cipher and base < got >= best), m.group())
 
     return RUN.sub(back, text)
 
 
+def restore(text: str, cipher: str, model: Bigrams, learnt: Learnt | None = None) -> str:
+    """The text read back under its cipher, again and again, then under any other that is as sure in what is left, until nothing changes."""
+    if "~" in cipher:  # bytes are lost: what is left of them would be read under any cipher that takes them
+        return text
+    known: dict = {}
+    start, seen, idle = text, {text}, set()
+    while True:
+        plain = _read_back(text, cipher, model, learnt, text is start and not idle)
+        if plain in seen:
+            idle.add(cipher)
+            sure = [(g, name) for name, (g, _) in gains(text, model, known).items() if "~" not in name and name not in idle and g + np.log(FIRST_SHARE) >= LEAST]
+            if not sure:
+                return text
+            cipher = max(sure)[1]
+        else:
+            text = plain
+            seen.add(text)
+            idle.clear()
+
+
 def garbled_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Documents with a passage that was decoded otherwise than it was written, and their text read back.
 
@@ -510,7 +535,7 @@ def _learn_tables(scored: DataFrame, model: Broadcast) -> dict[str, tuple]:
 def _posterior(evidence: DataFrame, shares: DataFrame | None) -> DataFrame:
     """Evidence with the log odds of each cipher in its text and its posterior p. Without shares each has one in 500."""
     if shares is None:
-        rated = evidence.withColumn("share", F.lit(0.002))
+        rated = evidence.withColumn("share", F.lit(FIRST_SHARE))
     else:
         rated = evidence.join(shares, ["source", "cipher"], "left").withColumn("share", F.coalesce("share", F.lit(1e-4)))
     odds = rated.withColumn("odds", F.col("gain") + F.log("share"))

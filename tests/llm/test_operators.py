@@ -287,6 +287,35 @@ def test_garbled(spark):
     assert garbled.garbled_texts(df.limit(0)).collect() == []
 
 
+def test_garbled_again(spark):
+    """Texts garbled twice, and texts with passages of two ciphers."""
+    rng = random.Random(5)
+    fr, ru = (CLEAN[k].split(" ") for k in ("fr", "ru"))
+    rows = [(i, k, " ".join(rng.sample(w, len(w)))) for i, (k, w) in enumerate(rng.choices([("fr", fr), ("ru", ru)], k=600))]
+
+    def once(t):
+        return t.encode().decode("cp1252")
+
+    west = [w for w in fr if not any(once_fails(c) for c in w)]
+    plain = {9000 + i: " ".join(rng.sample(west, len(west))) for i in range(6)}
+    rows += [(i, "fr", once(once(t))) for i, t in plain.items()]
+    for i in range(9100, 9106):
+        a, b = " ".join(rng.sample(west, len(west))), " ".join(rng.sample(ru, len(ru)))
+        plain[i] = f"{a} | {b}"
+        rows.append((i, "fr", f"{once(a)} | {b.encode('koi8-r').decode('cp1251')}"))
+    got = {r["doc_id"]: r["restored"] for r in garbled.garbled_texts(spark.createDataFrame(rows, "doc_id bigint, source string, text string")).collect()}
+    assert got == plain
+
+
+def once_fails(c: str) -> bool:
+    """Whether a letter has no reading as cp1252 twice."""
+    try:
+        c.encode().decode("cp1252").encode().decode("cp1252")
+    except UnicodeDecodeError:
+        return True
+    return False
+
+
 def test_garbled_unlisted(spark):
     """A swap that is not listed: its letters are learnt from the source; a language that is only rare is none."""
     rng = random.Random(3)
