@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.runtime import Stage
 
-def dense_ids(rows: DataFrame, *order: str, name: str = "id") -> DataFrame:
-    """Adds ``name``, 0, 1, 2, ... in the given order, without gathering the rows in one task."""
-    ranged = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("n"))
-    before = sizes.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("_b"))  # one row per partition
-    return ranged.join(before, "_p").withColumn(name, F.col("_b") + F.col("_r") - 1).drop("_p", "_r", "_b")
+
+def dense_ids(rows: DataFrame, *order: str, name: str = "id", stage: Stage | None = None) -> DataFrame:
+    """Adds ``name``, 0, 1, 2, ... in the given order, without gathering the rows in one task.
+
+    Rows are sorted by range and written once together with their place, a partition and
+    a row of it; the sizes of the partitions are read from what was written, so both
+    always speak of the same partitions. Ties in ``order`` are numbered in any order, nulls come first.
+    An empty input gives no rows.
+    """
+    stage = stage or Stage(rows.sparkSession, "ids")
+    placed = stage.keep(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()), "placed")
+    # monotonically_increasing_id() has the partition above bit 33 and the row within it below.
+    sizes = placed.groupBy(F.shiftright("_m", 33).alias("_p")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"))  # one row per partition
+    number = (F.col("_b") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).alias(name)
+    return placed.withColumn("_p", F.shiftright("_m", 33)).join(F.broadcast(before), "_p").select(*rows.columns, number)

@@ -23,7 +23,7 @@ def fingerprint(*cols: str) -> list[Column]:
 
 def labels_of(wl: str = "wl") -> Column:
     """The label weights of a ``wl`` array as (label, w) sorted by label: weights of a label add up, null labels are left out, a null weight is 0."""
-    pairs = F.array_sort(F.filter(F.col(wl), lambda e: e.isNotNull() & e["label"].isNotNull()))
+    pairs = F.sort_array(F.filter(F.col(wl), lambda e: e.isNotNull() & e["label"].isNotNull()))
     start = F.array().cast("array<struct<label:bigint,w:double>>")
 
     def add(acc: Column, e: Column) -> Column:
@@ -47,7 +47,7 @@ def rare_first(flat: DataFrame, stage: Stage, *carry: str) -> DataFrame:
     without elements are left out.
     """
     df = stage.keep(flat.groupBy("label").agg(F.count("*").cast("int").alias("df")).where("df > 1"), "df")
-    named = dense_ids(df, "df", "label", name="no")
+    named = dense_ids(df, "df", "label", name="no", stage=stage)
     return flat.join(named, "label").groupBy("rep").agg(*(F.max(c).alias(c) for c in ("n", *carry)), F.sort_array(F.collect_list(F.struct("df", F.col("no").alias("label"), "w"))).alias("toks"))
 
 

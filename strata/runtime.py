@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,10 +36,13 @@ def session(name: str = "strata", cores: int | str = "*", **conf: str) -> SparkS
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, or where that is unset (tests) an own one."""
+    """The folder all executors share: the session's spark.checkpoint.dir, or where that is unset (tests, on a local master only) an own one."""
     own = spark.conf.get("spark.checkpoint.dir", None)
     if own:
         return own.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir is not set: on {master} it has to name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         path = tempfile.mkdtemp(prefix="strata-")
@@ -58,33 +63,44 @@ class Stage:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/strata/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
-        atexit.register(self._clean)
+        path, fs = self._at(self.root)
+        fs.deleteOnExit(path)  # by whatever file system holds it, when the driver's JVM ends
 
     def keep(self, df: DataFrame, tag: str = "t") -> DataFrame:
         self.n += 1
-        # Shuffle files of earlier stages that nothing refers to any more are removed once the driver collects garbage.
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
         path = f"{self.root}/{self.n:03d}-{tag}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        with _free_shuffles(self.spark):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._strata_path = path
         return out
 
     def drop(self, *dfs: DataFrame) -> None:
         for df in dfs:
-            if path := getattr(df, "_strata_path", None):
-                self._delete(path)
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-    def _clean(self) -> None:
-        path = self.root.removeprefix("file://").removeprefix("file:")
-        if os.path.isdir(path):
-            shutil.rmtree(path, ignore_errors=True)
+            if at := getattr(df, "_strata_path", None):
+                path, fs = self._at(at)
+                fs.delete(path, True)
+
+    def _at(self, at: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _free_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Lets the shuffle files of what runs inside be removed as soon as it ends: a kept table is read, never the shuffles it came from."""
+    was = spark.conf.get(FREE, None)
+    spark.conf.set(FREE, "true")
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(FREE)
+        else:
+            spark.conf.set(FREE, was)
 
 
 def empty(df: DataFrame) -> bool:
