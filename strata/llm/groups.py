@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -34,26 +35,25 @@ def group_links(links: DataFrame, a: str = "a", b: str = "b", stage: Stage | Non
 
     Returns (id, group_id).
     """
-    spark = links.sparkSession
-    stage = stage or Stage(spark, "groups")
-    edges = stage.keep(
+    stage = stage or Stage(links.sparkSession, "groups")
+    edges, left = _edges(
         links.select(F.col(a).alias("_a"), F.col(b).alias("_b"))
         .where("_a IS NOT NULL AND _b IS NOT NULL AND _a <> _b")
         .select(F.least("_a", "_b").alias("u"), F.greatest("_a", "_b").alias("v"))
         .distinct(),
-        "edges",
+        stage,
     )
     maps: list[DataFrame] = []
-    while not edges.isEmpty():
-        parent = _collapse(_hook(edges), stage)
+    while left:
+        parent = _collapse(edges, stage)
         maps.append(parent)
-        relabelled = stage.keep(
+        relabelled, left = _edges(
             edges.join(parent.select(F.col("id").alias("u"), F.col("p").alias("pu")), "u")
             .join(parent.select(F.col("id").alias("v"), F.col("p").alias("pv")), "v")
             .where("pu <> pv")
             .select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v"))
             .distinct(),
-            "edges",
+            stage,
         )
         stage.drop(edges)
         edges = relabelled
@@ -68,31 +68,51 @@ def group_links(links: DataFrame, a: str = "a", b: str = "b", stage: Stage | Non
     return final.withColumnRenamed("p", "group_id")
 
 
+def _edges(edges: DataFrame, stage: Stage) -> tuple[DataFrame, int]:
+    """The edges, written, and how many there are."""
+    seen = Observation()
+    kept = stage.keep(edges.observe(seen, F.count("*").alias("n")), "edges")
+    return kept, seen.get["n"]
+
+
 def _hook(edges: DataFrame) -> DataFrame:
-    """(id, p): the smallest neighbour of every component, before roots are told apart."""
-    both = edges.select(F.col("u").alias("id"), F.col("v").alias("n")).unionByName(
-        edges.select(F.col("v").alias("id"), F.col("u").alias("n"))
-    )
-    return both.groupBy("id").agg(F.min("n").alias("p"))
+    """(id, p): the smallest neighbour of every component; of two that chose each other the smaller is its own, a root."""
+    both = edges.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("n")), F.struct(F.col("v").alias("id"), F.col("u").alias("n")))).alias("e")).select("e.id", "e.n")
+    chosen = both.groupBy("id").agg(F.min("n").alias("p"))
+    back = chosen.select(F.col("id").alias("p"), F.col("p").alias("q"))
+    return chosen.join(back, "p").select("id", F.when((F.col("q") == F.col("id")) & (F.col("id") < F.col("p")), F.col("id")).otherwise(F.col("p")).alias("p"))
 
 
-def _collapse(hooks: DataFrame, stage: Stage) -> DataFrame:
-    """Parents pointing at roots. In the first pass a component whose choice chose it back, and is larger, becomes a root."""
-    parent, first = stage.keep(hooks, "hook"), True
+def _collapse(edges: DataFrame, stage: Stage) -> DataFrame:
+    """(id, p): parents pointing at roots. Each pass goes up four steps, two doublings, and ends where the last of them led nowhere."""
+    parent = stage.keep(_hook(edges), "hook")
     while True:
-        up = parent.select(F.col("id").alias("p"), F.col("p").alias("q"))
-        step = parent.join(up, "p")
-        if first:
-            step = step.select("id", F.when((F.col("q") == F.col("id")) & (F.col("id") < F.col("p")), F.col("id")).otherwise(F.col("p")).alias("n"), F.lit(True).alias("moved"))
-        else:
-            step = step.select("id", F.col("q").alias("n"), (F.col("q") != F.col("p")).alias("moved"))
-        seen = Observation()
-        out = stage.keep(step.observe(seen, F.max("moved").alias("moved")).select("id", F.col("n").alias("p")), "parent")
+        seen, step = Observation(), parent
+        for k in range(3):
+            step = step.withColumnRenamed("p", f"p{k}").join(parent.select(F.col("id").alias(f"p{k}"), "p"), f"p{k}")
+        moved = F.max(F.col("p") != F.col("p2")).alias("moved")
+        out = stage.keep(step.observe(seen, moved).select("id", "p"), "parent")
         stage.drop(parent)
         parent = out
-        if not first and not seen.get["moved"]:
+        if not seen.get["moved"]:
             return parent
-        first = False
+
+
+def local_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every end of the links and the smallest id it is linked to by these links: roots hook to smaller roots, paths are halved, until none is left."""
+    ids, at = np.unique(np.r_[a, b], return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while len(i):
+        x, y = root[i], root[j]
+        apart = x != y
+        i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+        up = np.arange(len(ids))
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up, up[up]):
+            up = up[up]
+        root = up[root]
+    return ids, ids[root]
 
 
 def match_groups(uf_parent: DataFrame, repeated_clusters: DataFrame) -> DataFrame:

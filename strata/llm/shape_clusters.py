@@ -5,42 +5,50 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from strata.llm.groups import group_links
+from strata.llm.groups import group_links, local_stars
 from strata.operators.postings import cosine_kernel, fingerprint, labels_of, meet, prefix_length, rare_first
 from strata.runtime import Stage
 
 VECTORS = 3
 """Vectors that are iterated together."""
-ROUNDS = 4
-FIT_ROWS = 16384
+ROUNDS, TURNS = 4, 2
+"""Rounds of power iteration between two orthogonalisations, and how often both are done."""
+FIT_ROWS = 65536
 """Rows of the embedding, the first by hash of their id, on which k-means is fitted; every row is assigned."""
-CELLS = 256
+CELL_ROWS = 512
+"""Shapes of a cell on average, as far as the sample can tell so many cells apart (one in four of its rows)."""
+SPLIT_ROWS = 1 << 16
+"""Shapes of a cell that are looked at together; a larger cell is split by hash."""
 KEEP = 16
-"""Strongest links of a shape that a crowded posting list gives besides a spanning forest; sums and clusters are those of all links."""
+"""Strongest links of a shape within one posting list, besides a spanning forest; the rest of its links add up to one weight."""
+BLOCK_LINKS = 1 << 20
+"""Links held in memory to find what they connect; only speed depends on it."""
 
 
 def sparse_affinities(least: float):
     """The kernel of one posting list: links that keep what is connected connected, and sums over those left out.
 
-    Of the links of a list of m entries all are given if there are at most ``KEEP`` * m;
-    of more, each entry's ``KEEP`` strongest and a spanning forest, so that a hot list of
-    like shapes gives rows in proportion to its entries, not to its pairs. A row (a, a, x)
-    then holds what a's links left out add up to, each times the copies it leads to.
+    A link of a list is given if it is among the ``KEEP`` strongest of one of its ends or
+    in a spanning forest, so that a hot list of like shapes gives rows in proportion to
+    its entries, not to its pairs; a list in which no entry has more links gives all. A
+    row (a, a, x) holds what a's links left out add up to, each times the copies it leads to.
     """
     every = cosine_kernel(least)
 
     def kernel(e: dict, sizes: np.ndarray, labels: np.ndarray, weights: np.ndarray, right: np.ndarray | None):
         got = every(e, sizes, labels, weights, right)
         m = len(sizes)
-        if got is None or len(got[0]) <= KEEP * m:
+        if got is None or len(got[0]) <= KEEP:
             return got
         a, b, x = got
         order = np.argsort(e["rep"])
         i, j = order[np.searchsorted(e["rep"], a, sorter=order)], order[np.searchsorted(e["rep"], b, sorter=order)]
+        if np.bincount(np.r_[i, j]).max() <= KEEP:
+            return got
         keep = _strongest(i, j, x, m) | _forest(i, j, m)
         i, j, y = i[~keep], j[~keep], x[~keep]
         rest = np.bincount(i, y * e["copies"][j], m) + np.bincount(j, y * e["copies"][i], m)
@@ -91,15 +99,19 @@ class ShapeClusters:
     1. Affinities: pairs of shapes with a cosine of at least ``least``, by posting lists
        of the rarest labels. A shape's labels are indexed, rarest first, until those left
        cannot reach the bound together. All pairs are scored and summed; a crowded list
-       gives the strongest and a spanning forest (``sparse_affinities``).
+       gives the strongest and a spanning forest (``sparse_affinities``), and what it
+       leaves out stays with the shape as a weight of its own.
     2. Power iteration: affinities with copies as weights are normalised by their row
        sums, and ``VECTORS`` vectors of hashed start values are iterated, all as columns
-       of one table.
-    3. k-means on the iterated vectors assigns every shape to one of ``CELLS`` cells;
-       shapes of a cell that are linked within it form a part.
-    4. The check that makes the result exact: links that lead from one part to another
-       join these parts. What comes out are the records that are linked, directly or
-       through others.
+       of one table; after ``ROUNDS`` rounds they are made orthogonal again, by the
+       Cholesky factor of their weighted moments, which come with the table.
+    3. Two-level k-means of the iterated vectors gives every shape a cell; the number of
+       cells grows with that of the shapes. Within what is linked the vectors converge to
+       one point, so a cluster lies in one cell, or in few.
+    4. Clusters come out of the cells: each cell's links are merged to stars in one task,
+       a crowded cell's in several. The check that makes the result exact joins stars
+       that share a shape, with the p1 operator; where the vectors have converged there
+       are none. What comes out are the records that are linked, directly or through others.
 
     ``members`` is (id, rep), ``links`` (a, b, x) with the cosine x, ``rest`` (rep, w)
     the affinity of links left out; ``clusters()`` gives all records of clusters of two or more.
@@ -133,58 +145,72 @@ class ShapeClusters:
         return weighted
 
     def embedding(self) -> DataFrame:
-        """(rep, v): the iterated vectors of every shape that has a link."""
-        edges = self.stage.keep(self.affinities(), "affinities")
-        copies = self.shapes.select(F.col("rep").alias("src"), F.col("copies").cast("double").alias("own"))
-        x = self.stage.keep(
-            edges.groupBy("src").agg(F.sum("w").alias("d")).join(copies, "src").select(
-                F.col("src").alias("rep"), (F.col("d") + F.col("own")).alias("d"), "own",
-                *((F.pmod(F.xxhash64("src", F.lit(k)), F.lit(1 << 20)) / (1 << 20)).alias(f"x{k}") for k in range(VECTORS)),
-            ),
-            "x",
-        )
+        """(rep, x0, x1, ...): the iterated vectors of every shape that has a link."""
+        edges = self.affinities().repartition("dst")
+        own = self.shapes.join(self.rest.groupBy("rep").agg(F.sum("w").alias("rest")), "rep", "left")
+        own = own.select(F.col("rep").alias("src"), (F.col("copies") + F.coalesce("rest", F.lit(0.0))).alias("own"))
         xs = [f"x{k}" for k in range(VECTORS)]
-        for _ in range(ROUNDS):
-            pulled = edges.join(x.select(F.col("rep").alias("dst"), *xs), "dst").groupBy(F.col("src").alias("rep")).agg(*(F.sum(F.col("w") * F.col(c)).alias(f"s{c}") for c in xs))
-            y = self.stage.keep(x.join(pulled, "rep").select("rep", "d", "own", *(((F.col(f"s{c}") + F.col("own") * F.col(c)) / F.col("d")).alias(c) for c in xs)), "x")
-            self.stage.drop(x)
-            x = y
-        return x.select("rep", F.array(*xs).alias("v"))
+        x = edges.groupBy("src").agg(F.sum("w").alias("d")).join(own, "src").select(
+            F.col("src").alias("rep"), (F.col("d") + F.col("own")).alias("d"), "own",
+            *((F.pmod(F.xxhash64("src", F.lit(k)), F.lit(1 << 20)) / (1 << 20)).alias(c) for k, c in enumerate(xs)),
+        )
+        for _ in range(TURNS):
+            for _ in range(ROUNDS):
+                pulled = edges.join(x.select(F.col("rep").alias("dst"), *xs), "dst").groupBy(F.col("src").alias("rep")).agg(*(F.sum(F.col("w") * F.col(c)).alias(f"s{c}") for c in xs))
+                x = x.join(pulled, "rep").select("rep", "d", "own", *(((F.col(f"s{c}") + F.col("own") * F.col(c)) / F.col("d")).alias(c) for c in xs))
+            seen = Observation()
+            moments = [F.sum("d").alias("d"), *(F.sum(F.col("d") * F.col(c)).alias(c) for c in xs), *(F.sum(F.col("d") * F.col(c) * F.col(e)).alias(c + e) for c in xs for e in xs)]
+            x = self.stage.keep(x.observe(seen, *moments), "x")
+            mean, turn = _orthogonal(seen.get, xs)
+            x = x.select("rep", "d", "own", *(sum(((F.col(e) - mean[j]) * turn[i, j] for j, e in enumerate(xs)), F.lit(0.0)).alias(c) for i, c in enumerate(xs)))
+        return x.select("rep", *xs)
 
     def cells(self) -> DataFrame:
         """(rep, cell): k-means of the embedding."""
         x = self.embedding()
-        got = x.select("v", F.xxhash64("rep").alias("o"), "rep").orderBy("o", "rep").limit(FIT_ROWS).select("v").toPandas()
-        if len(got):
-            sample = np.stack(got["v"].to_numpy())
-            centres = _kmeans(sample, min(CELLS, len(sample)))
-        else:
-            centres = np.zeros((1, VECTORS))
-
-        def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                if len(f):
-                    v = np.stack(f["v"].to_numpy())
-                    yield pd.DataFrame({"rep": f["rep"], "cell": ((v[:, None, :] - centres[None]) ** 2).sum(2).argmin(1).astype("int32")})
-
-        return x.mapInPandas(assign, "rep bigint, cell int")
-
-    def solve(self) -> tuple[DataFrame, DataFrame]:
-        """(parts, clusters) of shapes: (rep, cell, part) and (rep, cluster_id)."""
+        xs = x.columns[1:]
+        got = x.select(*xs, F.xxhash64("rep").alias("o"), "rep").orderBy("o", "rep").limit(FIT_ROWS).select(*xs).toArrow()
+        sample = np.stack([got.column(c).to_numpy() for c in xs], 1)
+        share = self.shapes.count() // CELL_ROWS
+        tree = _Cells(sample, max(1, min(share, len(sample) // 4)))
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for f in batches:
+                cell = tree(np.stack([f.column(c).to_numpy(zero_copy_only=False) for c in xs], 1))
+                yield pa.RecordBatch.from_arrays([f.column("rep"), pa.array(cell.astype(np.int32))], names=["rep", "cell"])
+
+        return x.mapInArrow(assign, "rep bigint, cell int")
+
+    def solve(self) -> DataFrame:
+        """(rep, cluster_id) of the shapes that have a link."""
         cells = self.stage.keep(self.cells(), "cells")
-        ends = self.links.join(cells.select(F.col("rep").alias("a"), F.col("cell").alias("ca")), "a").join(cells.select(F.col("rep").alias("b"), F.col("cell").alias("cb")), "b")
-        ends = self.stage.keep(ends.select("a", "b", (F.col("ca") == F.col("cb")).alias("inside")), "ends")
-        part = group_links(ends.where("inside"), "a", "b", self.stage)
-        parts = self.stage.keep(cells.join(part.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "cell", F.coalesce("group_id", "rep").alias("part")), "parts")
-        across = ends.where("NOT inside").join(parts.select(F.col("rep").alias("a"), F.col("part").alias("pa")), "a").join(parts.select(F.col("rep").alias("b"), F.col("part").alias("pb")), "b")
-        joined = group_links(across, "pa", "pb", self.stage)
-        clusters = parts.join(joined.withColumnRenamed("id", "part"), "part", "left").select("rep", F.coalesce("group_id", "part").alias("cluster_id"))
-        return parts, clusters
+        splits = cells.groupBy("cell").agg(F.ceil(F.count("*") / SPLIT_ROWS).alias("splits"))  # a row per cell, at most FIT_ROWS / 4
+        placed = cells.join(F.broadcast(splits), "cell").select(F.col("rep").alias("a"), "cell", F.pmod(F.xxhash64("rep"), "splits").alias("split"))
+        inside = self.links.select("a", "b").join(placed, "a").repartition("cell", "split").select("a", "b")
+
+        def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, n = [], 0
+            for batch in batches:
+                held.append(batch)
+                n += batch.num_rows
+                if n >= BLOCK_LINKS:
+                    yield star(held)
+                    held, n = [], 0
+            if n:
+                yield star(held)
+
+        def star(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in local_stars(t.column("a").to_numpy(), t.column("b").to_numpy())], names=["rep", "root"])
+
+        of = self.stage.keep(inside.mapInArrow(stars, "rep bigint, root bigint").groupBy("rep").agg(F.min("root").alias("root"), F.max("root").alias("other"), F.collect_set("root").alias("roots")), "stars")
+        several = of.where("root <> other").select("root", F.explode("roots").alias("other"))
+        joined = group_links(several, "root", "other", self.stage)
+        return of.select("rep", "root").join(joined.withColumnRenamed("id", "root"), "root", "left").select("rep", F.coalesce("group_id", "root").alias("cluster_id"))
 
     def clusters(self) -> DataFrame:
         """(id, rep, cluster_id) of the records of clusters of two or more; ``cluster_id`` is the smallest id."""
-        _, clusters = self.solve()
-        return self.members.join(clusters, "rep", "left").where("cluster_id IS NOT NULL OR copies > 1").select("id", "rep", F.coalesce("cluster_id", "rep").alias("cluster_id"))
+        return self.members.join(self.solve(), "rep", "left").where("cluster_id IS NOT NULL OR copies > 1").select("id", "rep", F.coalesce("cluster_id", "rep").alias("cluster_id"))
 
     def typical(self, k: int = 3) -> DataFrame:
         """(cluster_id, size, typical): each cluster's size and its ``k`` members of highest internal affinity, ties to the smaller id.
@@ -198,11 +224,52 @@ class ShapeClusters:
         return member.groupBy("cluster_id").agg(F.count("*").alias("size")).join(top, "cluster_id")
 
 
-def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
+def _orthogonal(moments: dict, xs: list[str]) -> tuple[list[float], np.ndarray]:
+    """Means, and the inverse of the Cholesky factor of the covariance; a vector that depends on those before it becomes 0."""
+    k = len(xs)
+    total = moments["d"]
+    if not total:
+        return [0.0] * k, np.eye(k)
+    mean = [moments[c] / total for c in xs]
+    cov = np.array([[moments[c + e] / total - mean[i] * mean[j] for j, e in enumerate(xs)] for i, c in enumerate(xs)])
+    out, least = np.zeros((k, k)), 1e-14 * max(np.trace(cov), 1e-300)
+    for i in range(k):
+        row = np.eye(k)[i]
+        for r in out[:i]:
+            row = row - (row @ cov @ r) * r
+        size = row @ cov @ row
+        if size > least:
+            out[i] = row / np.sqrt(size)
+    return mean, out
+
+
+class _Cells:
+    """Two levels of k-means: about the square root of ``k`` centres, and under each its share of ``k``."""
+
+    def __init__(self, sample: np.ndarray, k: int):
+        self.top = _kmeans(sample, max(1, round(k**0.5))) if len(sample) else np.zeros((1, VECTORS))
+        near = _nearest(sample, self.top)
+        self.below = [_kmeans(part, max(1, round(k * len(part) / len(sample)))) if len(part := sample[near == t]) else self.top[t : t + 1] for t in range(len(self.top))]
+        self.first = np.cumsum([0, *map(len, self.below)])
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        near = _nearest(x, self.top)
+        out = np.empty(len(x), np.int64)
+        for t in np.unique(near):
+            at = np.flatnonzero(near == t)
+            out[at] = self.first[t] + _nearest(x[at], self.below[t])
+        return out
+
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.concatenate([((x[i : i + 1024, None, :] - c[None]) ** 2).sum(2).argmin(1) for i in range(0, len(x), 1024)] or [np.zeros(0, np.int64)])
+
+
+def _kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """Lloyd's k-means, started from rows spread evenly along the first coordinate."""
     c = x[np.argsort(x[:, 0], kind="stable")][np.linspace(0, len(x) - 1, k).astype(int)].copy()
     for _ in range(rounds):
-        near = np.concatenate([((x[i : i + 1024, None, :] - c[None]) ** 2).sum(2).argmin(1) for i in range(0, len(x), 1024)])
+        near = _nearest(x, c)
         order = np.argsort(near, kind="stable")
         ids, at, size = np.unique(near[order], return_index=True, return_counts=True)
         c[ids] = np.add.reduceat(x[order], at, axis=0) / size[:, None]
