@@ -146,23 +146,22 @@ class ShapeClusters:
 
     def embedding(self) -> DataFrame:
         """(rep, x0, x1, ...): the iterated vectors of every shape that has a link."""
-        edges = self.affinities().repartition("dst")
-        own = self.shapes.join(self.rest.groupBy("rep").agg(F.sum("w").alias("rest")), "rep", "left")
-        own = own.select(F.col("rep").alias("src"), (F.col("copies") + F.coalesce("rest", F.lit(0.0))).alias("own"))
+        own = self.shapes.select(F.col("rep").alias("src"), F.col("rep").alias("dst"), F.col("copies").cast("double").alias("w"))
+        rest = self.rest.select(F.col("rep").alias("src"), F.col("rep").alias("dst"), "w")
+        linked = self.affinities()
+        every = linked.unionByName(rest).unionByName(own.join(linked.select("src").distinct(), "src", "left_semi"))
+        sums = every.groupBy("src").agg(F.sum("w").alias("d"))
+        edges = self.stage.keep(every.join(sums, "src").select("src", "dst", (F.col("w") / F.col("d")).alias("w"), "d"), "affinities")
         xs = [f"x{k}" for k in range(VECTORS)]
-        x = edges.groupBy("src").agg(F.sum("w").alias("d")).join(own, "src").select(
-            F.col("src").alias("rep"), (F.col("d") + F.col("own")).alias("d"), "own",
-            *((F.pmod(F.xxhash64("src", F.lit(k)), F.lit(1 << 20)) / (1 << 20)).alias(c) for k, c in enumerate(xs)),
-        )
+        x = edges.select(F.col("src").alias("rep")).distinct().select("rep", *((F.pmod(F.xxhash64("rep", F.lit(k)), F.lit(1 << 20)) / (1 << 20)).alias(c) for k, c in enumerate(xs)))
         for _ in range(TURNS):
             for _ in range(ROUNDS):
-                pulled = edges.join(x.select(F.col("rep").alias("dst"), *xs), "dst").groupBy(F.col("src").alias("rep")).agg(*(F.sum(F.col("w") * F.col(c)).alias(f"s{c}") for c in xs))
-                x = x.join(pulled, "rep").select("rep", "d", "own", *(((F.col(f"s{c}") + F.col("own") * F.col(c)) / F.col("d")).alias(c) for c in xs))
+                x = edges.join(x.select(F.col("rep").alias("dst"), *xs), "dst").groupBy(F.col("src").alias("rep")).agg(F.max("d").alias("degree"), *(F.sum(F.col("w") * F.col(c)).alias(c) for c in xs))
             seen = Observation()
-            moments = [F.sum("d").alias("d"), *(F.sum(F.col("d") * F.col(c)).alias(c) for c in xs), *(F.sum(F.col("d") * F.col(c) * F.col(e)).alias(c + e) for c in xs for e in xs)]
+            moments = [F.sum("degree").alias("d"), *(F.sum(F.col("degree") * F.col(c)).alias(c) for c in xs), *(F.sum(F.col("degree") * F.col(c) * F.col(e)).alias(c + e) for c in xs for e in xs)]
             x = self.stage.keep(x.observe(seen, *moments), "x")
             mean, turn = _orthogonal(seen.get, xs)
-            x = x.select("rep", "d", "own", *(sum(((F.col(e) - mean[j]) * turn[i, j] for j, e in enumerate(xs)), F.lit(0.0)).alias(c) for i, c in enumerate(xs)))
+            x = x.select("rep", *(sum(((F.col(e) - mean[j]) * turn[i, j] for j, e in enumerate(xs)), F.lit(0.0)).alias(c) for i, c in enumerate(xs)))
         return x.select("rep", *xs)
 
     def cells(self) -> DataFrame:
