@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.config import BUCKET_CAP, LOW_SIGNAL_TERMS, LSH_ROWS, MIN_SHARED_MASS, MIN_SHARED_TERMS, SIZE_RATIO
-from strata.operators.postings import cosine_kernel, meet, prefix_length, rare_first
+from strata.operators.postings import cosine_kernel, meet, rare_first
 from strata.runtime import Stage
 
 
@@ -49,11 +49,7 @@ def prefix_join(vectors: DataFrame, theta: float, most: int | None = None) -> Da
     stage = Stage(vectors.sparkSession, "prefix")
     flat = stage.keep(vectors.select(F.col("id").alias("rep"), F.lit(1.0).alias("n"), F.col("key").alias("label"), "w"), "vectors")
     toks = rare_first(flat, stage)
-    p = prefix_length(F.lit(theta * theta * (1 - 1e-9)))
-    if most is not None:
-        p = F.least(p, F.size(F.filter("toks", lambda e: e["df"] <= most)))
-    kind = dict(flat.dtypes)["rep"]
-    got = meet(toks.withColumn("p", p), cosine_kernel(theta), f"a {kind}, b {kind}, x double")
+    got = meet(toks.withColumn("ratio", F.lit(theta * theta * (1 - 1e-9))), cosine_kernel(theta), most=most)
     return got.select("a", "b", F.col("x").alias("dot"))
 
 
