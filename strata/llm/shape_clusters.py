@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from strata.llm.groups import group_links, local_stars
-from strata.operators.postings import cosine_kernel, fingerprint, labels_of, meet, prefix_length, rare_first
+from strata.operators.postings import SHORT, cosine_kernel, label_vectors, meet, rare_first
 from strata.runtime import Stage
 
 VECTORS = 3
 """Vectors that are iterated together."""
-ROUNDS, TURNS = 4, 2
+ROUNDS, TURNS = 3, 2
 """Rounds of power iteration between two orthogonalisations, and how often both are done."""
 FIT_ROWS = 65536
 """Rows of the embedding, the first by hash of their id, on which k-means is fitted; every row is assigned."""
@@ -44,17 +44,17 @@ def sparse_affinities(least: float):
         m = len(sizes)
         if got is None or len(got[0]) <= KEEP:
             return got
-        a, b, x = got
-        order = np.argsort(e["rep"])
-        i, j = order[np.searchsorted(e["rep"], a, sorter=order)], order[np.searchsorted(e["rep"], b, sorter=order)]
+        i, j, x = got
         if np.bincount(np.r_[i, j]).max() <= KEEP:
             return got
         keep = _strongest(i, j, x, m) | _forest(i, j, m)
-        i, j, y = i[~keep], j[~keep], x[~keep]
-        rest = np.bincount(i, y * e["copies"][j], m) + np.bincount(j, y * e["copies"][i], m)
-        own = e["rep"][rest > 0]
-        return np.r_[a[keep], own], np.r_[b[keep], own], np.r_[x[keep], rest[rest > 0]]
+        p, q, y = i[~keep], j[~keep], x[~keep]
+        rest = np.bincount(p, y * e["copies"][q], m) + np.bincount(q, y * e["copies"][p], m)
+        own = np.flatnonzero(rest)
+        return np.r_[i[keep], own], np.r_[j[keep], own], np.r_[x[keep], rest[own]]
 
+    if KEEP >= SHORT:  # in a short list no entry has more links
+        kernel.pairs = every.pairs
     return kernel
 
 
@@ -119,47 +119,38 @@ class ShapeClusters:
 
     def __init__(self, rows: DataFrame, id_col: str = "id", wl: str = "wl", least: float = 0.60):
         stage = self.stage = Stage(rows.sparkSession, "shapes")
-        every = stage.keep(
-            rows.where(F.col(id_col).isNotNull() & F.col(wl).isNotNull())
-            .select(F.col(id_col).alias("id"), labels_of(wl).alias("s"))
-            .withColumn("n", F.aggregate("s", F.lit(0.0), lambda acc, e: acc + e["w"] * e["w"]))
-            .where("n > 0 AND n < double('infinity')")
-            .select("id", "s", "n", *fingerprint("s")),
-            "vectors",
-        )
-        shapes = stage.keep(every.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"), F.max("n").alias("n"), F.any_value("s").alias("s")), "shapes")
+        every = stage.keep(label_vectors(rows, id_col, wl), "vectors")
+        shapes = stage.keep(every.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"), F.max("n").alias("n"), F.any_value("labels").alias("labels"), F.any_value("ws").alias("ws")), "shapes")
         self.shapes = shapes.select("rep", "copies")
         self.members = stage.keep(every.select("id", "f1", "f2").distinct().join(shapes.select("f1", "f2", "rep", "copies"), ["f1", "f2"]).select("id", "rep", "copies"), "members")
         stage.drop(every)
-        tokens = rare_first(shapes.select("rep", "n", "copies", F.explode("s").alias("e")).select("rep", "n", "copies", "e.label", "e.w"), stage, "copies")
-        p = prefix_length(F.col("n") * (least * least * (1 - 1e-9)))
-        found = stage.keep(meet(tokens.withColumn("p", p), sparse_affinities(least), "a bigint, b bigint, x double", carry=("copies",)), "links")
+        flat = shapes.select("rep", "n", "copies", F.explode(F.arrays_zip("labels", "ws")).alias("e")).select("rep", "n", "copies", F.col("e.labels").alias("label"), F.col("e.ws").alias("w"))
+        tokens = rare_first(flat, stage, "copies").withColumn("ratio", F.lit(least * least * (1 - 1e-9)))
+        found = stage.keep(meet(tokens, sparse_affinities(least), carry=("copies",)), "links")
         self.links = found.where("a <> b")
         self.rest = found.where("a = b").select(F.col("a").alias("rep"), F.col("x").alias("w"))
 
     def affinities(self) -> DataFrame:
-        """(src, dst, w): links in both directions, weighted by the copies at ``dst``, and each shape's own copies."""
-        copies = self.shapes
-        both = self.links.select(F.col("a").alias("src"), F.col("b").alias("dst"), "x").unionByName(self.links.select(F.col("b").alias("src"), F.col("a").alias("dst"), "x"))
-        weighted = both.join(copies.select(F.col("rep").alias("dst"), "copies"), "dst").select("src", "dst", (F.col("x") * F.col("copies")).alias("w"))
-        return weighted
+        """(src, dst, w, own): links in both directions, weighted by the copies at ``dst``, with the copies at ``src``."""
+        ends = F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("copies_b").alias("k"), F.col("copies_a").alias("own")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), F.col("copies_a").alias("k"), F.col("copies_b").alias("own"))))
+        return self.links.select(ends.alias("e"), "x").select("e.src", "e.dst", (F.col("x") * F.col("e.k")).alias("w"), "e.own")
 
     def embedding(self) -> DataFrame:
         """(rep, x0, x1, ...): the iterated vectors of every shape that has a link."""
-        own = self.shapes.select(F.col("rep").alias("src"), F.col("rep").alias("dst"), F.col("copies").cast("double").alias("w"))
-        rest = self.rest.select(F.col("rep").alias("src"), F.col("rep").alias("dst"), "w")
         linked = self.affinities()
-        every = linked.unionByName(rest).unionByName(own.join(linked.select("src").distinct(), "src", "left_semi"))
-        sums = every.groupBy("src").agg(F.sum("w").alias("d"))
-        edges = self.stage.keep(every.join(sums, "src").select("src", "dst", (F.col("w") / F.col("d")).alias("w"), "d"), "affinities")
+        own = linked.groupBy("src").agg(F.max("own").cast("double").alias("w")).unionByName(self.rest.withColumnRenamed("rep", "src")).select("src", F.col("src").alias("dst"), "w")
+        edges = self.stage.keep(linked.select("src", "dst", "w").unionByName(own), "affinities")
         xs = [f"x{k}" for k in range(VECTORS)]
-        x = edges.select(F.col("src").alias("rep")).distinct().select("rep", *((F.pmod(F.xxhash64("rep", F.lit(k)), F.lit(1 << 20)) / (1 << 20)).alias(c) for k, c in enumerate(xs)))
+        x = edges.where("src = dst").select(F.col("src").alias("rep")).distinct().select("rep", *((F.pmod(F.xxhash64("rep", F.lit(k)), F.lit(1 << 20)) / (1 << 20)).alias(c) for k, c in enumerate(xs)))
         for _ in range(TURNS):
             for _ in range(ROUNDS):
-                x = edges.join(x.select(F.col("rep").alias("dst"), *xs), "dst").groupBy(F.col("src").alias("rep")).agg(F.max("d").alias("degree"), *(F.sum(F.col("w") * F.col(c)).alias(c) for c in xs))
+                # A partition of the vectors is far smaller than one of the affinities: it fits in memory, and no affinity has to be sorted.
+                met = edges.join(x.select(F.col("rep").alias("dst"), *xs).hint("shuffle_hash"), "dst")
+                x = met.groupBy(F.col("src").alias("rep")).agg(F.sum("w").alias("degree"), *((F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c) for c in xs))
             seen = Observation()
-            moments = [F.sum("degree").alias("d"), *(F.sum(F.col("degree") * F.col(c)).alias(c) for c in xs), *(F.sum(F.col("degree") * F.col(c) * F.col(e)).alias(c + e) for c in xs for e in xs)]
+            moments = [F.count("*").alias("n"), F.sum("degree").alias("d"), *(F.sum(F.col("degree") * F.col(c)).alias(c) for c in xs), *(F.sum(F.col("degree") * F.col(c) * F.col(e)).alias(c + e) for c in xs for e in xs)]
             x = self.stage.keep(x.observe(seen, *moments), "x")
+            self.linked = seen.get["n"]
             mean, turn = _orthogonal(seen.get, xs)
             x = x.select("rep", *(sum(((F.col(e) - mean[j]) * turn[i, j] for j, e in enumerate(xs)), F.lit(0.0)).alias(c) for i, c in enumerate(xs)))
         return x.select("rep", *xs)
@@ -170,8 +161,7 @@ class ShapeClusters:
         xs = x.columns[1:]
         got = x.select(*xs, F.xxhash64("rep").alias("o"), "rep").orderBy("o", "rep").limit(FIT_ROWS).select(*xs).toArrow()
         sample = np.stack([got.column(c).to_numpy() for c in xs], 1)
-        share = self.shapes.count() // CELL_ROWS
-        tree = _Cells(sample, max(1, min(share, len(sample) // 4)))
+        tree = _Cells(sample, max(1, min(self.linked // CELL_ROWS, len(sample) // 4)))
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for f in batches:

@@ -25,8 +25,8 @@ def _similar(num: int, den: int):
     """
 
     def kernel(e: dict, sizes: np.ndarray, labels: np.ndarray, _w, right: np.ndarray | None):
-        n, rep, pos = e["n"].astype(np.int64), e["rep"], e["pos"]
-        m = len(rep)
+        n, pos = e["n"].astype(np.int64), e["pos"]
+        m = len(pos)
         mat = ListMatrix(sizes, labels, pos)
         has = mat.has
         left_over = sizes - pos  # of the elements that can be shared, from the list's element on
@@ -68,8 +68,7 @@ def _similar(num: int, den: int):
             return None
         i, j, o = np.concatenate(out_i), np.concatenate(out_j), np.concatenate(out_o)
         keep = mat.first(i, j)
-        i, j, o = i[keep], j[keep], o[keep]
-        return np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j]), o.astype(np.int64)
+        return i[keep], j[keep], o[keep].astype(np.int64)
 
     return kernel
 
@@ -101,7 +100,7 @@ class SimilarSets:
         tokens = rare_first(flat, stage)
         need = F.ceil(F.col("n") * num / den - 1e-9)
         p = F.col("n") - need + 1 - (F.col("n") - F.size("toks"))
-        pairs = meet(tokens.withColumn("p", F.least(F.greatest(p, F.lit(0)), F.size("toks")).cast("int")), _similar(num, den), "a bigint, b bigint, x bigint", weighted=False)
+        pairs = meet(tokens.withColumn("p", F.least(F.greatest(p, F.lit(0)), F.size("toks")).cast("int")), _similar(num, den), "bigint", weighted=False)
         self.links = stage.keep(pairs, "links")
         self.stage = stage
 
