@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import copy
+import functools
 import re
+from collections import Counter
 from collections.abc import Iterator
+from encodings.aliases import aliases
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.runtime import Stage
@@ -27,14 +31,20 @@ SWAPS = [
 PAIR_BITS, CHAR_BITS = 20, 16
 """Slots, as powers of two, of the hashed tables of bigrams and of first characters; fixed, whatever the corpus."""
 RARE = 0.02
-"""A run of characters is scored if one of its bigrams is in a smaller share of the texts."""
+"""A bigram in a smaller share of the texts is rare; letters are learnt from runs that are rare for the most part."""
+SOME = 2.0
+"""Log likelihood gained from which a cipher of a text counts as evidence."""
 EM_ROUNDS = 3
-FIRST_SHARE = 0.002
-"""Share of a cipher before any is learnt."""
-LEAST = 6.0
-"""Log odds from which a document is garbled."""
+FIRST_UTF8, FIRST_SHARE, WEIGHT = 0.02, 0.002, 500
+"""Share of a cipher, of UTF-8 or another, in a source before any is learnt, and how many texts that belief weighs."""
+LEAST = 0.0
+"""Log odds from which a document is garbled: it is more likely than not."""
+FAINT = 1.5
+"""Log likelihood that a run has to gain to count: what the model itself may be wrong by, which long texts would add up."""
 FIT = -3.5
 """Mean log probability of a bigram from which a reading looks like the texts."""
+STRANGE = -5.0
+"""Mean log probability of a character's bigrams in the other sources below which it may stand for another letter."""
 LETTERS, EACH = 12, 6
 """A table of letters is learnt where at least so many letters stand, each in so many bigrams on average; fewer do not determine it."""
 WORSE = 1.25
@@ -52,6 +62,8 @@ LEARNT = "learnt"
 ALPHABETS = ["cp1251", "mac_cyrillic", "latin-1", "cp1250", "cp1253", "cp1254", "cp1257", "cp1255"]
 
 RUN = re.compile("[^\x00-\x7f]+")
+RUNS = re.compile("(?s)(?<=(.))([^\x00-\x7f]+)(?=(.))")
+"""Runs with their neighbours, in a text with blanks around it."""
 LOST = re.compile("\ufffd(?=\\w)|(?<=\\w)\ufffd|\ufffd\ufffd")
 CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
 MARK = "\xef\xbb\xbf"
@@ -112,32 +124,36 @@ class Bigrams:
         np.maximum(out.first, 0, out=out.first)
         return out
 
+    def log_p(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.log((self.pair[_pair_slot(a, b)] + 0.02) / (self.first[_slot(a, CHAR_BITS)] + 40))
+
     def table(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Log probabilities of each of ``b`` after each of ``a``."""
         return np.log((self.pair[_pair_slot(a[:, None], b[None, :])] + 0.02) / (self.first[_slot(a, CHAR_BITS)] + 40)[:, None])
 
-    def rare(self, c: np.ndarray) -> np.ndarray:
-        """Places in a text whose bigram is in few texts."""
-        at, p, _ = pair_slots(c)
-        return at[self.pair[p] < RARE * self.texts + 1]
+
+def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``folded`` of all texts, one after the other, and where each ends."""
+    return folded("  ".join(texts)), np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 2)
 
 
 def fit_bigrams(texts: DataFrame, text: str) -> Bigrams:
     """Counts in how many distinct texts each bigram occurs. Copies of a text count once."""
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            pair, first = np.zeros(1 << PAIR_BITS, np.int64), np.zeros(1 << CHAR_BITS, np.int64)
-            for t in f["t"]:
-                _, p, c = pair_slots(folded(t))
-                p, at = np.unique(p, return_index=True)
-                pair[p] += 1
-                np.add.at(first, c[at], 1)
-            p, c = np.flatnonzero(pair), np.flatnonzero(first)
-            yield pd.DataFrame({"slot": np.r_[p, -1 - c].astype("int32"), "n": np.r_[pair[p], first[c]]})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, first = np.zeros(1 << PAIR_BITS, np.int64), np.zeros(1 << CHAR_BITS, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                c, ends = joined(batch.column(0).slice(at, 256).to_pylist())
+                where, p, f = pair_slots(c)
+                once, index = np.unique(np.searchsorted(ends, where, "right") << PAIR_BITS | p, return_index=True)
+                np.add.at(pair, once & (1 << PAIR_BITS) - 1, 1)
+                np.add.at(first, f[index], 1)
+        p, c = np.flatnonzero(pair), np.flatnonzero(first)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[p, -1 - c].astype(np.int32)), pa.array(np.r_[pair[p], first[c]])], names=["slot", "n"])
 
     distinct = texts.where(F.col(text).rlike("[^\\x00-\\x7f]")).select(F.col(text).alias("t")).distinct()
-    got = distinct.mapInPandas(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    got = distinct.mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most a row per slot
     return Bigrams(texts.count(), got["slot"].to_numpy(), got["n"].to_numpy())
 
 
@@ -202,42 +218,63 @@ def readings(run: str) -> Iterator[tuple[str, str]]:
                 yield f"{key[0]}>{key[1]}", plain
 
 
-def gains(text: str, model: Bigrams, known: dict, odd: set | None = None) -> dict[str, tuple[float, int]]:
-    """For each cipher by how much it makes the suspicious runs of a text more likely, and how many runs.
+class Reader:
+    """What each run of characters beyond ASCII, between its neighbours, reads as; kept for runs that come again."""
+
+    def __init__(self, model: Bigrams):
+        self.model, self.known = model, {}
+
+    def __call__(self, key: tuple[str, str, str]) -> tuple[float, list, list, list]:
+        """(log probability, readings, gains, odd): readings are (log probability, cipher, plain text), gains (cipher, gain), odd
+        the bigrams of a run that is rare for the most part and that no cipher makes look like the texts."""
+        got = self.known.get(key)
+        if got is None:
+            if len(self.known) > 1 << 17:
+                self.known.clear()
+            got = self.known[key] = self._read(*key)
+        return got
+
+    def _read(self, a: str, run: str, b: str) -> tuple[float, list, list, list]:
+        base = self.model.score(a + run + b)
+        read = [(self.model.score(a + plain + b) - (3.0 if "~" in name else 0.0), name, plain) for name, plain in readings(run)]
+        gain = [(name, after - base) for after, name, _ in read if after - base >= FAINT]
+        likely = max((after / (len(plain) + 1) for after, name, plain in read if after > base), default=-np.inf)
+        odd: list[int] = []
+        if likely < FIT:
+            c = folded(a + run + b)[1:-1].astype(np.int64)
+            rare = self.model.pair[_pair_slot(c[:-1], c[1:])] < RARE * self.model.texts + 1
+            if 2 * rare.sum() > len(rare):
+                odd = (c[:-1] << 21 | c[1:]).tolist()
+        return base, read, gain, odd
+
+
+def runs_of(text: str) -> Counter:
+    return Counter(RUNS.findall(f" {text} "))
+
+
+def gains(text: str, reader: Reader, odd: set | None = None) -> dict[str, float]:
+    """For each cipher by how much it makes the runs of a text more likely. ``odd`` gets the bigrams of runs that stay unlikely."""
+    out: dict[str, float] = {}
+    for key, n in runs_of(text).items():
+        _, _, gain, strange = reader(key)
+        for name, g in gain:
+            out[name] = out.get(name, 0.0) + n * g
+        if odd is not None and strange:
+            odd.update(strange)
+    return out
+
 
-    ``odd`` gets the bigrams of runs that are rare for the most part and that no cipher makes look like the texts.
-    """
-    c = folded(text)
-    rare = model.rare(c)
-    if not len(rare):
-        return {}
-    out: dict[str, tuple[float, int]] = {}
-    for m in RUN.finditer(text):
-        s, e = m.span()
-        # folded() put a blank in front, so the bigrams of the run begin at s .. e
-        i = np.searchsorted(rare, s)
-        if i == len(rare) or rare[i] > e:
+@functools.cache
+def single_byte() -> np.ndarray:
+    """The characters beyond ASCII that some page of single bytes has: no other comes out of a swap of such pages."""
+    out: set[int] = set()
+    for page in set(aliases.values()):
+        try:
+            if bytes(range(32, 127)).decode(page) == "".join(map(chr, range(32, 127))):
+                out.update(ord(ch) for b in range(128, 256) if len(ch := bytes([b]).decode(page, "ignore")) == 1)
+        except (LookupError, UnicodeDecodeError, TypeError, ValueError):
             continue
-        key = (text[s - 1 : s] or " ") + m.group() + (text[e : e + 1] or " ")
-        if key not in known:
-            if len(known) > 1 << 17:
-                known.clear()
-            base = model.score(key)
-            got, best = [], -np.inf
-            for name, plain in readings(m.group()):
-                after = model.score(key[0] + plain + key[-1])
-                gain = after - base - (3.0 if "~" in name else 0.0)
-                if gain > 0:
-                    got.append((name, gain))
-                    best = max(best, after / (len(plain) + 1))
-            known[key] = got, best < FIT
-        if odd is not None and known[key][1] and 2 * (np.searchsorted(rare, e, "right") - i) > e - s + 1:
-            w = c[s : e + 2].astype(np.int64)
-            odd.update((w[:-1] << 21 | w[1:]).tolist())
-        for name, gain in known[key][0]:
-            g, n = out.get(name, (0.0, 0))
-            out[name] = (g + gain, n + 1)
-    return out
+    return np.array(sorted(c for c in out if c > 127))
 
 
 def _em(a: np.ndarray, b: np.ndarray, n: np.ndarray, log_p: np.ndarray, unit: np.ndarray, emit: np.ndarray) -> np.ndarray:
@@ -293,15 +330,16 @@ def learn_letters(a: np.ndarray, b: np.ndarray, n: np.ndarray, model: Bigrams) -
     bigrams are about as likely as those of the texts themselves, which a language that
     is only rare does not reach; otherwise there is none.
     """
+    model = model.without(a, b, n)
     chars, at = np.unique(np.r_[a, b], return_inverse=True)
     total = np.bincount(at, np.r_[n, n])
-    seen = chars[(chars > 127) & (total >= 3)]
+    base = model.log_p(a, b)
+    strange = np.bincount(at, np.r_[n * base, n * base]) < STRANGE * total
+    seen = chars[strange & (total >= 3) & np.isin(chars, single_byte())]
     ok = ((a < 128) | np.isin(a, seen)) & ((b < 128) | np.isin(b, seen))
     if len(seen) < LETTERS or n[ok].sum() < EACH * LETTERS:
         return {}
-    model = model.without(a, b, n)
-    a, b, n = a[ok], b[ok], n[ok].astype(float)
-    base = np.log((model.pair[_pair_slot(a, b)] + 0.02) / (model.first[_slot(a, CHAR_BITS)] + 40))
+    a, b, n, base = a[ok], b[ok], n[ok].astype(float), base[ok]
     marks = np.unique(np.r_[a[a < 128], b[b < 128]])
     m, cipher = len(marks), np.r_[marks, seen]
     ia, ib = np.searchsorted(cipher, a), np.searchsorted(cipher, b)
@@ -364,22 +402,27 @@ class Learnt:
     """A source's learnt letters, and the model without what they are learnt from."""
 
     def __init__(self, letters: dict[int, str], a: np.ndarray, b: np.ndarray, n: np.ndarray, model: Bigrams):
-        self.letters, self.model = letters, model.without(a, b, n)
+        self.letters, self.model, self.known = letters, model.without(a, b, n), {}
 
-    def reading(self, before: str, run: str, after: str) -> tuple[str, float] | None:
+    def reading(self, key: tuple[str, str, str]) -> tuple[str, float] | None:
         """The plain text of a run and how much more likely it is; null if the table lacks a character or the text is unlike the texts."""
+        if key not in self.known:
+            if len(self.known) > 1 << 17:
+                self.known.clear()
+            self.known[key] = self._read(*key)
+        return self.known[key]
+
+    def _read(self, before: str, run: str, after: str) -> tuple[str, float] | None:
         if not all(ord(ch) in self.letters for ch in run):
             return None
         plain = run.translate(self.letters)
         got = self.model.score(before + plain + after)
         gain = got - self.model.score(before + run + after)
-        return (plain, gain) if gain > 0 and got / (len(plain) + 1) >= FIT else None
+        return (plain, gain) if gain >= FAINT and got / (len(plain) + 1) >= FIT else None
 
-    def gain(self, text: str) -> tuple[float, int]:
-        """Summed over the runs of a text, and how many runs."""
-        read = (self.reading(text[m.start() - 1 : m.start()] or " ", m.group(), text[m.end() : m.end() + 1] or " ") for m in RUN.finditer(text))
-        got = [r[1] for r in read if r]
-        return float(sum(got)), len(got)
+    def gain(self, text: str) -> float:
+        """Summed over the runs of a text."""
+        return float(sum(n * r[1] for key, n in runs_of(text).items() if (r := self.reading(key))))
 
     @staticmethod
     def of(source: str, tables: dict, model: Bigrams, last: dict) -> Learnt | None:
@@ -392,38 +435,35 @@ class Learnt:
         return last[source]
 
 
-def _read_back(text: str, cipher: str, model: Bigrams, learnt: Learnt | None, first: bool) -> str:
+def _read_back(text: str, cipher: str, reader: Reader, learnt: Learnt | None, first: bool) -> str:
     """The text with each run read back once where the cipher makes it more likely, but for the ``first`` cipher only if none reads it better; a run with lost bytes stays as it is."""
 
     def back(m: re.Match) -> str:
-        s, e = m.span()
-        a, b = text[s - 1 : s] or " ", text[e : e + 1] or " "
+        key = m.groups()
+        run = key[1]
         if cipher == LEARNT:
-            got = learnt.reading(a, m.group(), b) if learnt else None
-            return got[0] if got else m.group()
-        base = model.score(a + m.group() + b)
+            got = learnt.reading(key) if learnt else None
+            return got[0] if got else run
+        base, read, _, _ = reader(key)
         if first:
-            plain = next((plain for name, plain in readings(m.group()) if name == cipher), None)
-            return m.group() if plain is None or model.score(a + plain + b) <= base else plain
-        scored = [(model.score(a + plain + b) - (3.0 if "~" in name else 0.0), name, plain) for name, plain in readings(m.group())]
-        scored = [x for x in scored if x[1].startswith("utf-8")] or scored  # bytes that form UTF-8, even with some lost, hardly are anything else
-        best = max((x[0] for x in scored), default=base)
-        return next((plain for got, name, plain in scored if name == cipher and base < got >= best), m.group())
+            return next((plain for after, name, plain in read if name == cipher and after > base), run)
+        sure = [x for x in read if x[1].startswith("utf-8")] or read  # bytes that form UTF-8, even with some lost, hardly are anything else
+        best = max((x[0] for x in sure), default=base)
+        return next((plain for got, name, plain in sure if name == cipher and base < got >= best), run)
 
-    return RUN.sub(back, text)
+    return RUNS.sub(back, f" {text} ")[1:-1]
 
 
-def restore(text: str, cipher: str, model: Bigrams, learnt: Learnt | None = None) -> str:
+def restore(text: str, cipher: str, reader: Reader, learnt: Learnt | None = None) -> str:
     """The text read back under its cipher, again and again, then under any other that is as sure in what is left, until nothing changes."""
     if "~" in cipher:  # bytes are lost: what is left of them would be read under any cipher that takes them
         return text
-    known: dict = {}
     start, seen, idle = text, {text}, set()
     while True:
-        plain = _read_back(text, cipher, model, learnt, text is start and not idle)
+        plain = _read_back(text, cipher, reader, learnt, text is start and not idle)
         if plain in seen:
             idle.add(cipher)
-            sure = [(g, name) for name, (g, _) in gains(text, model, known).items() if "~" not in name and name not in idle and g + np.log(FIRST_SHARE) >= LEAST]
+            sure = [(g, name) for name, g in gains(text, reader).items() if "~" not in name and name not in idle and g + np.log(FIRST_UTF8 if name.startswith("utf-8") else FIRST_SHARE) >= LEAST]
             if not sure:
                 return text
             cipher = max(sure)[1]
@@ -437,8 +477,8 @@ def garbled_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s
     """Documents with a passage that was decoded otherwise than it was written, and their text read back.
 
     Every code-page swap is a substitution cipher. Bigrams of characters over all distinct
-    texts are the language model. The runs of characters beyond ASCII of a text whose
-    bigrams are rare are read under every cipher; the gain in log likelihood, summed over
+    texts are the language model. The runs of characters beyond ASCII of a text
+    are read under every cipher, each distinct run once a task; the gain in log likelihood, summed over
     the text, is its evidence. Expectation-maximisation learns for each source how common
     each cipher is there: the expectation is a text's posterior over the ciphers, the
     maximisation their shares by source. What no listed cipher makes look like the texts
@@ -462,20 +502,27 @@ def garbled_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s
     pick = docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("t"))
     model = spark.sparkContext.broadcast(fit_bigrams(pick, "t"))
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict = {}
-        for f in frames:
-            rows = []
-            for i, s, t in zip(f["doc_id"], f["source"], f["t"], strict=True):
-                damage = bool(CONTROL.search(t) or LOST.search(t) or t.startswith(MARK))
-                odd: set[int] = set()
-                got = gains(t, model.value, known, odd)
-                if damage or got or odd:
-                    rows.append((i, s, t, damage, [{"cipher": c, "gain": g, "runs": n} for c, (g, n) in got.items()], list(odd)))
-            yield pd.DataFrame(rows, columns=["doc_id", "source", "t", "damage", "got", "odd"])
-
-    schema = f"doc_id {pick.schema[0].dataType.simpleString()}, source string, t string, damage boolean, got array<struct<cipher:string,gain:double,runs:int>>, odd array<bigint>"
-    scored = stage.keep(pick.where(F.col("t").rlike("[^\\x00-\\x7f]")).mapInPandas(score, schema), "scored").withColumn("source", F.coalesce("source", F.lit("")))
+    kind = pick.schema[0].dataType.simpleString()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(model.value)
+        for batch in batches:
+            keep, damage, got, odd = [], [], [], []
+            for k, t in enumerate(batch.column(2).to_pylist()):
+                hurt = bool(CONTROL.search(t) or LOST.search(t) or t.startswith(MARK))
+                strange: set[int] = set()
+                gain = [{"cipher": c, "gain": g} for c, g in gains(t, reader, strange).items() if g >= SOME]
+                if hurt or gain or strange:
+                    keep.append(k)
+                    damage.append(hurt)
+                    got.append(gain)
+                    odd.append(list(strange))
+            kept = batch.take(pa.array(keep, pa.int64()))
+            types = pa.list_(pa.struct([("cipher", pa.string()), ("gain", pa.float64())])), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(damage, pa.bool_()), pa.array(got, types[0]), pa.array(odd, types[1])], names=["doc_id", "source", "t", "damage", "got", "odd"])
+
+    schema = f"doc_id {kind}, source string, t string, damage boolean, got array<struct<cipher:string,gain:double>>, odd array<bigint>"
+    scored = stage.keep(pick.where(F.col("t").rlike("[^\\x00-\\x7f]")).mapInArrow(score, schema), "scored").withColumn("source", F.coalesce("source", F.lit("")))
     evidence = scored.select("doc_id", "source", F.xxhash64("t").alias("h"), F.explode("got").alias("g")).select("doc_id", "source", "h", "g.cipher", "g.gain")
     tables, own = _learn_tables(scored, model), None
     if tables:
@@ -484,7 +531,7 @@ def garbled_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s
         def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             last: dict = {}
             for f in frames:
-                got = [Learnt.of(s, own.value, model.value, last).gain(t)[0] for s, t in zip(f["source"], f["t"], strict=True)]
+                got = [Learnt.of(s, own.value, model.value, last).gain(t) for s, t in zip(f["source"], f["t"], strict=True)]
                 f["cipher"], f["gain"] = LEARNT, np.array(got, float)
                 yield f.loc[f["gain"] > 0, ["doc_id", "source", "h", "cipher", "gain"]]
 
@@ -492,20 +539,20 @@ def garbled_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s
         more = some.mapInPandas(read, evidence.schema)
         evidence = evidence.unionByName(stage.keep(more, "learnt"))
     size = pick.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("n"))
-    share = size.select("source", "n")
     shares: DataFrame | None = None
     for _ in range(EM_ROUNDS):
         post = _posterior(evidence, shares)
-        shares = stage.keep(post.groupBy("source", "cipher").agg(F.sum("p").alias("m")).join(share, "source").select("source", "cipher", ((F.col("m") + 0.05) / (F.col("n") + 50)).alias("share")), "shares")
+        shares = stage.keep(post.groupBy("source", "cipher").agg(F.sum("p").alias("m")).join(size, "source").select("source", "cipher", ((F.col("m") + WEIGHT * _first()) / (F.col("n") + WEIGHT)).alias("share")), "shares")
     final = _posterior(evidence, shares)
     best = final.groupBy("doc_id", "h").agg(F.max("odds").alias("score"), F.max_by("cipher", F.struct("odds", "cipher")).alias("cipher"))
     out = scored.withColumn("h", F.xxhash64("t")).join(best, ["doc_id", "h"], "left").where(F.col("damage") | (F.col("score") >= LEAST))
 
     def read_back(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: dict = {}
+        reader = Reader(model.value)
         for f in frames:
             f["restored"] = [
-                restore(t, c, model.value, Learnt.of(source, own.value, model.value, last) if own else None) if isinstance(c, str) and s >= LEAST else None
+                restore(t, c, reader, Learnt.of(source, own.value, model.value, last) if own else None) if isinstance(c, str) and s >= LEAST else None
                 for t, c, s, source in zip(f["t"], f["cipher"], f["score"], f["source"], strict=True)
             ]
             f["restored"] = [r if r != t else None for r, t in zip(f["restored"], f["t"], strict=True)]
@@ -532,12 +579,13 @@ def _learn_tables(scored: DataFrame, model: Broadcast) -> dict[str, tuple]:
     return {r["source"]: (dict(zip(r["read"], r["plain"], strict=True)), *(np.array(r[c]) for c in "abn")) for r in rows}
 
 
+def _first() -> Column:
+    return F.when(F.col("cipher").startswith("utf-8>"), FIRST_UTF8).otherwise(FIRST_SHARE)
+
+
 def _posterior(evidence: DataFrame, shares: DataFrame | None) -> DataFrame:
-    """Evidence with the log odds of each cipher in its text and its posterior p. Without shares each has one in 500."""
-    if shares is None:
-        rated = evidence.withColumn("share", F.lit(FIRST_SHARE))
-    else:
-        rated = evidence.join(shares, ["source", "cipher"], "left").withColumn("share", F.coalesce("share", F.lit(1e-4)))
+    """Evidence with the log odds of each cipher in its text and its posterior p."""
+    rated = evidence.withColumn("share", _first()) if shares is None else evidence.join(shares, ["source", "cipher"])
     odds = rated.withColumn("odds", F.col("gain") + F.log("share"))
     total = odds.groupBy("doc_id", "h").agg(F.sum(F.exp(F.least("odds", F.lit(500.0)))).alias("z"))
     return odds.join(total, ["doc_id", "h"]).withColumn("p", F.exp(F.least("odds", F.lit(500.0))) / (1 + F.col("z")))

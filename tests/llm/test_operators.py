@@ -131,7 +131,7 @@ def test_nearest_vectors(spark, monkeypatch, block):
     c = np.round(u @ u.T, 12)
     want = {(i, j) for i in range(len(x)) for j in sorted((j for j in range(len(x)) if j != i and c[i, j] >= 0.85), key=lambda j: (-c[i, j], j))[:5]}
     got = [(r["q"], r["p"]) for r in vectors.nearest_vectors(df).collect()]
-    assert len(got) == len(set(got)) and set(got) <= want | {(i, j) for i in range(len(x)) for j in range(len(x))}
+    assert len(got) == len(set(got)) and all(i != j and c[i, j] >= 0.85 for i, j in got)
     assert len(want & set(got)) >= 0.99 * len(want) and len(set(got) - want) <= 0.01 * len(want)
     assert vectors.nearest_vectors(df.limit(0)).collect() == []
 
@@ -329,3 +329,15 @@ def test_garbled_unlisted(spark):
     assert set(got) == set(plain)
     same = sum(x == y for i, t in plain.items() for x, y in zip(got[i]["restored"] or "", t))
     assert same >= 0.9 * sum(map(len, plain.values()))
+    assert {r["cipher"] for r in got.values()} == {"learnt"}  # nothing but the learnt table finds them
+
+
+def test_garbled_faint(spark):
+    """One garbled letter in a text is found; runs that are only a little unusual do not add up, however long the text."""
+    rng = random.Random(4)
+    fr = [w for w in CLEAN["fr"].split(" ") if not any(map(once_fails, w))]
+    rows = [(i, f"s{i % 5}", " ".join(rng.sample(fr, len(fr)))) for i in range(900)]
+    rows += [(8000 + i, "s1", " ".join(rng.choice(fr) for _ in range(4000))) for i in range(3)]
+    rows += [(9000 + i, f"s{i % 5}", " ".join(rng.sample(fr, 9)) + " le modÃ¨le") for i in range(10)]
+    got = {r["doc_id"]: r for r in garbled.garbled_texts(spark.createDataFrame(rows, "doc_id bigint, source string, text string")).collect()}
+    assert set(got) == {9000 + i for i in range(10)} and all(r["restored"].endswith(" le modèle") for r in got.values())
