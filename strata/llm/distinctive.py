@@ -44,7 +44,7 @@ def two_poisson(term: np.ndarray, tf: np.ndarray, records: np.ndarray, n: int, n
     return share, elite, plain
 
 
-def term_weights(records: DataFrame, id_col: str, terms: str, counts: str, n: int) -> DataFrame:
+def term_weights(records: DataFrame, id_col: str, terms: str, counts: str, n: int, mixture: bool = False) -> DataFrame:
     """Scores each term of each record by how characteristic it is there.
 
     ``records`` has one row per record with parallel arrays of terms and counts; entries
@@ -52,18 +52,21 @@ def term_weights(records: DataFrame, id_col: str, terms: str, counts: str, n: in
     a record add up. ``n`` is the number of all records, also those without terms.
     Nothing is returned for records without terms; an empty input gives no rows.
 
-    ``elite`` is the posterior probability that the occurrence count comes from the elite
-    component of the term's mixture, ``weight`` is tf * ln(1 + n / df) to 9 decimals;
-    both come from the same per-term model table, which is built from the histogram of
-    counts, so a hot term is one small row before anything is joined.
+    ``weight`` is tf * ln(1 + n / df) to 9 decimals. With ``mixture``, ``elite`` is the
+    posterior probability that the occurrence count comes from the elite component of the
+    term's mixture. Both come from a table with a row per term, built from the histogram
+    of counts, so a hot term is one small row before anything is joined.
 
-    Returns (id_col, term, tf, df, elite, weight).
+    Returns (id_col, term, tf, df, weight), with ``mixture`` also elite.
     """
     occ = (
         records.select(id_col, F.explode(F.filter(F.arrays_zip(F.col(terms).alias("t"), F.col(counts).alias("c")), lambda e: e["t"].isNotNull() & (e["c"] >= 1))).alias("e"))
         .groupBy(id_col, F.col("e.t").alias("term"))
         .agg(F.sum("e.c").alias("tf"))
     )
+    weight = F.round(F.col("tf") * F.log(1 + F.lit(n) / F.col("df")), 9).alias("weight")
+    if not mixture:
+        return occ.join(occ.groupBy("term").agg(F.count("*").alias("df")), "term").select(id_col, "term", "tf", "df", weight)
     hist = occ.groupBy("term", "tf").agg(F.count("*").alias("records")).groupBy("term").agg(F.collect_list(F.struct("tf", "records")).alias("h"))
 
     def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,14 +81,8 @@ def term_weights(records: DataFrame, id_col: str, terms: str, counts: str, n: in
 
     model = hist.mapInPandas(fit, "term string, df bigint, share double, elite_rate double, plain_rate double")
     odds = F.log("share") - F.log1p(-F.col("share")) - F.col("elite_rate") + F.col("plain_rate") + F.col("tf") * (F.log("elite_rate") - F.log("plain_rate"))
-    return occ.join(model, "term").select(
-        id_col,
-        "term",
-        "tf",
-        "df",
-        (1 / (1 + F.exp(-F.greatest(F.least(odds, F.lit(500.0)), F.lit(-500.0))))).alias("elite"),
-        F.round(F.col("tf") * F.log(1 + F.lit(n) / F.col("df")), 9).alias("weight"),
-    )
+    elite = 1 / (1 + F.exp(-F.greatest(F.least(odds, F.lit(500.0)), F.lit(-500.0))))
+    return occ.join(model, "term").select(id_col, "term", "tf", "df", weight, elite.alias("elite"))
 
 
 def top_terms(weights: DataFrame, id_col: str, k: int = 3, by: str = "weight") -> DataFrame:
@@ -94,7 +91,7 @@ def top_terms(weights: DataFrame, id_col: str, k: int = 3, by: str = "weight") -
     return weights.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def symbol_term_weights(symbols: DataFrame) -> DataFrame:
+def symbol_term_weights(symbols: DataFrame, mixture: bool = False) -> DataFrame:
     """``term_weights`` of the identifier terms of symbols, over all distinct ids."""
     n = symbols.where("id IS NOT NULL").select("id").distinct().count()
-    return term_weights(symbol_terms(symbols), "id", "terms", "counts", n)
+    return term_weights(symbol_terms(symbols), "id", "terms", "counts", n, mixture)

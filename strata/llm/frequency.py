@@ -14,43 +14,63 @@ BLOCK_TOKENS = 1 << 20
 """Tokens gathered for one suffix array; only memory depends on it, never a count. A longer record makes a longer block."""
 
 
+def suffix_array(codes: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
+    """Where the suffixes begin, in order of their first ``depth`` tokens, by prefix doubling. ``left`` tokens of its record follow from each place on; a suffix that ends comes first."""
+    rank, known = np.unique(codes, return_inverse=True)[1].astype(np.int64), 1
+    while known < depth:
+        step = np.zeros(len(codes), np.int64)
+        step[: max(0, len(codes) - known)] = rank[known:] + 1
+        step[left <= known] = 0
+        key = rank * (int(rank.max()) + 2) + step
+        rank, known = np.unique(key, return_inverse=True)[1].astype(np.int64), 2 * known
+        if rank.max() == len(codes) - 1:
+            break
+    return np.argsort(rank, kind="stable")
+
+
+def common_prefixes(codes: np.ndarray, left: np.ndarray, suffixes: np.ndarray, depth: int) -> np.ndarray:
+    """Tokens that each suffix has in common with the one before it in the array, counted up to ``depth``; 0 for the first."""
+    out = np.zeros(len(suffixes), np.int64)
+    at = np.arange(1, len(suffixes))
+    for k in range(depth):
+        x, y = suffixes[at], suffixes[at - 1]
+        on = (left[x] > k) & (left[y] > k)
+        at = at[on]
+        at = at[codes[x[on] + k] == codes[y[on] + k]]
+        out[at] = k + 1
+    return out
+
+
 def prefix_intervals(codes: np.ndarray, record: np.ndarray, weight: np.ndarray, max_n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For n = 1..max_n: n, where each n-gram starts, its occurrences and its records.
 
-    ``codes`` are the tokens of whole records one after the other, numbered in the order
-    of the terms, and ``record`` numbers the records. The suffix array is cut at ``max_n``
-    tokens and at the end of a record. Suffixes with n tokens in common form an interval;
-    its (weighted) size is the n-gram's count. A suffix whose predecessor of the same
-    record lies in the same interval is a duplicate within that record; the size less
-    those duplicates is the number of records.
+    ``codes`` are the tokens of whole records one after the other and ``record`` numbers
+    the records. Neighbours in the suffix array with n tokens or more in common lie in one
+    interval; its (weighted) size is the n-gram's count. A suffix whose predecessor of the
+    same record lies in the same interval is a duplicate within that record; the size less
+    those duplicates is the number of records. Rounds end with the longest record.
     """
     m = len(codes)
     if m == 0:
         return
-    ranks = np.empty((max_n, m), np.int64)
-    ranks[0] = codes
-    fits = np.ones((max_n, m), bool)
-    for n in range(1, max_n):
-        fits[n, : m - n] = record[: m - n] == record[n:]
-        fits[n, max(0, m - n) :] = False
-        tail = np.zeros(m, np.int64)
-        tail[: m - n] = codes[n:] + 1
-        tail[~fits[n]] = 0
-        _, ranks[n] = np.unique(ranks[n - 1] * (int(codes.max()) + 2) + tail, return_inverse=True)
-    suffixes = np.argsort(ranks[-1], kind="stable")
-    by_record = np.lexsort((np.arange(m), record[suffixes]))
+    ends = np.r_[np.flatnonzero(record[1:] != record[:-1]) + 1, m]
+    left = ends[np.searchsorted(ends, np.arange(m), "right")] - np.arange(m)
+    max_n = min(max_n, int(left.max()))
+    suffixes = suffix_array(codes, left, max_n)
+    common = common_prefixes(codes, left, suffixes, max_n)
+    by_record = np.argsort(record[suffixes], kind="stable")
     same = record[suffixes[by_record[1:]]] == record[suffixes[by_record[:-1]]]
-    before, after = suffixes[by_record[:-1][same]], by_record[1:][same]
-    for n in range(max_n):
-        r, ok = ranks[n][suffixes], fits[n][suffixes]
-        starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-        count = np.add.reduceat(np.where(ok, weight[suffixes], 0), starts)
-        size = np.add.reduceat(ok.astype(np.int64), starts)
-        duplicate = np.zeros(m, np.int64)
-        duplicate[after] = (ranks[n][before] == ranks[n][suffixes[after]]) & ok[after]
-        records = size - np.add.reduceat(duplicate, starts)
+    before, after = by_record[:-1][same], by_record[1:][same]
+    for n in range(1, max_n + 1):
+        long = left[suffixes] >= n
+        interval = np.cumsum(common < n) - 1
+        starts = np.flatnonzero(common < n)
+        count = np.add.reduceat(np.where(long, weight[suffixes], 0), starts)
+        size = np.add.reduceat(long.astype(np.int64), starts)
+        repeated = (interval[before] == interval[after]) & long[after]
+        records = size - np.bincount(interval[after[repeated]], minlength=len(starts))
         keep = size > 0
-        yield n + 1, suffixes[starts[keep]], count[keep], records[keep]
+        yield n, suffixes[starts[keep]], count[keep], records[keep]
 
 
 def _count_block(terms: pa.Array, lengths: np.ndarray, weight: np.ndarray, max_n: int, sep: str) -> pa.Table:

@@ -62,8 +62,9 @@ LEARNT = "learnt"
 ALPHABETS = ["cp1251", "mac_cyrillic", "latin-1", "cp1250", "cp1253", "cp1254", "cp1257", "cp1255"]
 
 RUN = re.compile("[^\x00-\x7f]+")
-RUNS = re.compile("(?s)(?<=(.))([^\x00-\x7f]+)(?=(.))")
+RUNS = re.compile("([\x00-\x7f])([^\x00-\x7f]+)(?=([\x00-\x7f]))")
 """Runs with their neighbours, in a text with blanks around it."""
+SPLIT = re.compile("([^\x00-\x7f]+)")
 LOST = re.compile("\ufffd(?=\\w)|(?<=\\w)\ufffd|\ufffd\ufffd")
 CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
 MARK = "\xef\xbb\xbf"
@@ -104,14 +105,17 @@ class Bigrams:
         self.pair[slots[is_pair]] = counts[is_pair]
         self.first[-1 - slots[~is_pair]] = counts[~is_pair]
 
-    def score(self, text: str) -> float:
-        """Log probability of the bigrams of a run with its neighbours; null if none has a character beyond ASCII."""
-        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    def score(self, *texts: str) -> np.ndarray:
+        """Log probability of the bigrams of each text, a run with its neighbours; 0 if none has a character beyond ASCII."""
+        c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
         low = c < 128
         c[low] = _FOLD[c[low]]
         c[c == 0xA0] = 32
-        _, p, f = pair_slots(c)
-        return float(np.log((self.pair[p] + 0.02) / (self.first[f] + 40)).sum())
+        at, p, f = pair_slots(c)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        of = np.searchsorted(ends, at, "right")
+        inside = at + 1 < ends[of]
+        return np.bincount(of[inside], np.log((self.pair[p] + 0.02) / (self.first[f] + 40))[inside], len(texts))
 
     def without(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Bigrams:
         """The model less so many texts with each bigram."""
@@ -193,11 +197,17 @@ MULTI = {"euc_jp", "cp932", "gbk", "euc_kr", "big5"}
 TABLES = {(w, r): _swapped(w, r) for w, r in SWAPS if w not in MULTI and r not in MULTI}
 
 
+LETTERS_OF = {pair: frozenset(map(chr, table)) for pair, table in TABLES.items()}
+PAGES = {page: frozenset(ch for b in range(128, 256) if (ch := bytes([b]).decode(page, "ignore"))) | frozenset(map(chr, range(0x80, 0xA0))) for page in READ_AS if page not in MULTI}
+"""What a page of single bytes can have made, with the characters that stand for bytes it leaves undefined."""
+
+
 def readings(run: str) -> Iterator[tuple[str, str]]:
     """(cipher, plain text) for every code-page swap under which the run is a text."""
+    chars = set(run)
     if len(run) > 1:
         for page in READ_AS:
-            if b := _written(run, page):
+            if (page not in PAGES or chars <= PAGES[page]) and (b := _written(run, page)):
                 try:
                     yield f"utf-8>{page}", b.decode("utf-8")
                 except UnicodeDecodeError:
@@ -206,10 +216,11 @@ def readings(run: str) -> Iterator[tuple[str, str]]:
                         yield f"utf-8~{page}", plain
     for key in SWAPS:
         if key in TABLES:
-            plain = run.translate(TABLES[key])
-            if plain != run and all(ord(ch) in TABLES[key] for ch in run) and plain.isprintable():  # no page's blank or control character is a letter
-                yield f"{key[0]}>{key[1]}", plain
-        elif len(run) > 1 and (b := _written(run, key[1])):
+            if chars <= LETTERS_OF[key]:
+                plain = run.translate(TABLES[key])
+                if plain != run and plain.isprintable():  # no page's blank or control character is a letter
+                    yield f"{key[0]}>{key[1]}", plain
+        elif len(run) > 1 and (key[1] not in PAGES or chars <= PAGES[key[1]]) and (b := _written(run, key[1])):
             try:
                 plain = b.decode(key[0])
             except UnicodeDecodeError:
@@ -227,21 +238,31 @@ class Reader:
     def __call__(self, key: tuple[str, str, str]) -> tuple[float, list, list, list]:
         """(log probability, readings, gains, odd): readings are (log probability, cipher, plain text), gains (cipher, gain), odd
         the bigrams of a run that is rare for the most part and that no cipher makes look like the texts."""
-        got = self.known.get(key)
-        if got is None:
-            if len(self.known) > 1 << 17:
-                self.known.clear()
-            got = self.known[key] = self._read(*key)
-        return got
+        if key not in self.known:
+            self.meet({key})
+        return self.known[key]
 
-    def _read(self, a: str, run: str, b: str) -> tuple[float, list, list, list]:
-        base = self.model.score(a + run + b)
-        read = [(self.model.score(a + plain + b) - (3.0 if "~" in name else 0.0), name, plain) for name, plain in readings(run)]
+    def meet(self, keys: set[tuple[str, str, str]]) -> None:
+        """Reads those of the runs that are new, all together."""
+        if len(self.known) > 1 << 17:
+            self.known.clear()
+        new = [key for key in keys if key not in self.known]
+        if not new:
+            return
+        read = [list(readings(run)) for _, run, _ in new]
+        scores = self.model.score(*(x for (a, run, b), r in zip(new, read, strict=True) for x in (a + run + b, *(a + plain + b for _, plain in r))))
+        at = 0
+        for key, r in zip(new, read, strict=True):
+            own = scores[at : at + len(r) + 1].tolist()
+            at += len(r) + 1
+            self.known[key] = self._rated(key, own[0], [(s - (3.0 if "~" in name else 0.0), name, plain) for s, (name, plain) in zip(own[1:], r, strict=True)])
+
+    def _rated(self, key: tuple[str, str, str], base: float, read: list) -> tuple[float, list, list, list]:
         gain = [(name, after - base) for after, name, _ in read if after - base >= FAINT]
         likely = max((after / (len(plain) + 1) for after, name, plain in read if after > base), default=-np.inf)
         odd: list[int] = []
         if likely < FIT:
-            c = folded(a + run + b)[1:-1].astype(np.int64)
+            c = folded("".join(key))[1:-1].astype(np.int64)
             rare = self.model.pair[_pair_slot(c[:-1], c[1:])] < RARE * self.model.texts + 1
             if 2 * rare.sum() > len(rare):
                 odd = (c[:-1] << 21 | c[1:]).tolist()
@@ -249,7 +270,8 @@ class Reader:
 
 
 def runs_of(text: str) -> Counter:
-    return Counter(RUNS.findall(f" {text} "))
+    p = SPLIT.split(f" {text} ")
+    return Counter(zip([x[-1] for x in p[:-1:2]], p[1::2], [x[0] for x in p[2::2]], strict=True))
 
 
 def gains(text: str, reader: Reader, odd: set | None = None) -> dict[str, float]:
@@ -416,8 +438,8 @@ class Learnt:
         if not all(ord(ch) in self.letters for ch in run):
             return None
         plain = run.translate(self.letters)
-        got = self.model.score(before + plain + after)
-        gain = got - self.model.score(before + run + after)
+        got, base = self.model.score(before + plain + after, before + run + after).tolist()
+        gain = got - base
         return (plain, gain) if gain >= FAINT and got / (len(plain) + 1) >= FIT else None
 
     def gain(self, text: str) -> float:
@@ -443,13 +465,13 @@ def _read_back(text: str, cipher: str, reader: Reader, learnt: Learnt | None, fi
         run = key[1]
         if cipher == LEARNT:
             got = learnt.reading(key) if learnt else None
-            return got[0] if got else run
+            return key[0] + (got[0] if got else run)
         base, read, _, _ = reader(key)
         if first:
-            return next((plain for after, name, plain in read if name == cipher and after > base), run)
+            return key[0] + next((plain for after, name, plain in read if name == cipher and after > base), run)
         sure = [x for x in read if x[1].startswith("utf-8")] or read  # bytes that form UTF-8, even with some lost, hardly are anything else
         best = max((x[0] for x in sure), default=base)
-        return next((plain for got, name, plain in sure if name == cipher and base < got >= best), run)
+        return key[0] + next((plain for got, name, plain in sure if name == cipher and base < got >= best), run)
 
     return RUNS.sub(back, f" {text} ")[1:-1]
 
@@ -508,8 +530,11 @@ def garbled_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s
         reader = Reader(model.value)
         for batch in batches:
             keep, damage, got, odd = [], [], [], []
-            for k, t in enumerate(batch.column(2).to_pylist()):
-                hurt = bool(CONTROL.search(t) or LOST.search(t) or t.startswith(MARK))
+            texts = batch.column(2).to_pylist()
+            for at in range(0, len(texts), 512):  # runs that are new are read together
+                reader.meet({key for t in texts[at : at + 512] for key in runs_of(t)})
+            for k, t in enumerate(texts):
+                hurt = bool(CONTROL.search(t) or "\ufffd" in t and LOST.search(t) or t.startswith(MARK))
                 strange: set[int] = set()
                 gain = [{"cipher": c, "gain": g} for c, g in gains(t, reader, strange).items() if g >= SOME]
                 if hurt or gain or strange:

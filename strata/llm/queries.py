@@ -52,6 +52,13 @@ def p2_ngrams(spark: SparkSession, d: str) -> DataFrame:
     return frequency.term_frequencies(words, "w", max_n=3).where("tf > 1")
 
 
+@query
+def p2_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of all n-grams of up to 10 words in the commit messages, whether they repeat or not."""
+    words = table(spark, d, "commits", "message").select(F.regexp_extract_all(F.lower("message"), F.lit("([a-z0-9]+)"), 1).alias("w"))
+    return frequency.term_frequencies(words, "w", max_n=10)
+
+
 _TERMS = r"""
 t AS (SELECT id, lower(regexp_replace(k, '^[\s\x{00a0}\x{3000}]+|[\s\x{00a0}\x{3000}]+$', '', 'g')) AS term, c
       FROM (SELECT DISTINCT ON (id) id, vocab_tf FROM symbols WHERE id IS NOT NULL ORDER BY id, scanned_at) s,
@@ -72,6 +79,14 @@ SELECT term, CAST(n AS INT) AS n, count(*) AS tf, count(DISTINCT r) AS df FROM g
 """
 
 
+SQL["p2_phrases"] = """
+WITH d AS (SELECT row_number() OVER () AS r, regexp_extract_all(lower(message), '[a-z0-9]+') AS w FROM commits),
+s AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+g AS (SELECT r, array_to_string(w[i:i + n - 1], ' ') AS term, n FROM s, range(1, 11) t(n) WHERE i + n - 1 <= len(w))
+SELECT term, CAST(n AS INT) AS n, count(*) AS tf, count(DISTINCT r) AS df FROM g GROUP BY term, n
+"""
+
+
 @query
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     w = distinctive.symbol_term_weights(table(spark, d, "symbols", "id", "vocab_tf"))
@@ -87,7 +102,7 @@ def p4_weights(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p4_elite(spark: SparkSession, d: str) -> DataFrame:
     """Posterior probability that a symbol is elite for a term; checked against a plain fit in the tests."""
-    w = distinctive.symbol_term_weights(table(spark, d, "symbols", "id", "vocab_tf"))
+    w = distinctive.symbol_term_weights(table(spark, d, "symbols", "id", "vocab_tf"), mixture=True)
     return w.select(F.col("id").alias("sym_id"), "term", "tf", F.round("elite", 6).alias("elite"))
 
 
@@ -159,6 +174,13 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text")).select("doc_id", "item_id")
 
 
+@query
+def p9_contained(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold at least half of an item's passages: here a document is given up on a size class of which it holds too few."""
+    found = leaks.leaked_items(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"), share=0.5)
+    return found.select("doc_id", "item_id", "shared", F.round("share", 9).alias("share"))
+
+
 @query
 def p9_items(spark: SparkSession, d: str) -> DataFrame:
     """Leaked items with the number of documents that hold them."""
@@ -173,6 +195,10 @@ g AS (SELECT DISTINCT k, id, unnest(list_transform(range(1, len(w) - 8), lambda
 l AS (SELECT a.id AS doc_id, b.id AS item_id, count(*) AS shared FROM g a JOIN g b USING (g) WHERE a.k = 'd' AND b.k = 'i' GROUP BY ALL)
 """
 SQL["p9_found"] = f"WITH {_LEAKS} SELECT doc_id, item_id FROM l"
+SQL["p9_contained"] = f"""
+WITH {_LEAKS}, z AS (SELECT id AS item_id, count(*) AS size FROM g WHERE k = 'i' GROUP BY id)
+SELECT doc_id, item_id, shared, round(shared / size, 9) AS share FROM l JOIN z USING (item_id) WHERE 2 * shared >= size
+"""
 SQL["p9_items"] = f"WITH {_LEAKS} SELECT item_id, count(*) AS docs, max(shared) AS most_shared FROM l GROUP BY item_id"
 
 

@@ -2,6 +2,7 @@
 
 import base64
 import itertools
+import math
 import random
 from collections import Counter
 
@@ -57,31 +58,77 @@ def test_groups_of_lists_and_nothing(spark):
     assert groups.match_groups(none, lists.limit(0)).collect() == []
 
 
-def test_ngrams(spark, monkeypatch):
+@pytest.mark.parametrize("most", [1, 3, 12])
+def test_ngrams(spark, monkeypatch, most):
     monkeypatch.setattr(frequency, "BLOCK_TOKENS", 40)
     rng = random.Random(3)
-    docs = [[rng.choice("abcd") for _ in range(rng.randrange(12))] for _ in range(60)] + [None, [], [None, "a"], ["x"] * 50]
+    docs = [[rng.choice("abcd") for _ in range(rng.randrange(12))] for _ in range(60)] + [None, [], [None, "a"], ["x"] * 50, list("abab" * 9)]
     tf, df = Counter(), Counter()
     for d in docs:
         d = [w for w in d or [] if w is not None]
-        grams = [" ".join(d[i : i + n]) for n in (1, 2, 3) for i in range(len(d) - n + 1)]
+        grams = [" ".join(d[i : i + n]) for n in range(1, most + 1) for i in range(len(d) - n + 1)]
         tf.update(grams)
         df.update(set(grams))
-    got = frequency.term_frequencies(clashing(spark.createDataFrame([(d,) for d in docs], "w array<string>")).repartition(5), "w", max_n=3).collect()
+    got = frequency.term_frequencies(clashing(spark.createDataFrame([(d,) for d in docs], "w array<string>")).repartition(5), "w", max_n=most).collect()
     assert {r["term"]: (r["tf"], r["df"]) for r in got} == {g: (tf[g], df[g]) for g in tf} and len(got) == len(tf)
     assert frequency.term_frequencies(spark.createDataFrame([], "w array<string>"), "w").collect() == []
 
 
+def test_suffix_array():
+    rng = np.random.default_rng(8)
+    record = np.sort(rng.integers(0, 9, 120))
+    codes = rng.integers(0, 3, 120)
+    ends = np.r_[np.flatnonzero(record[1:] != record[:-1]) + 1, 120]
+    left = ends[np.searchsorted(ends, np.arange(120), "right")] - np.arange(120)
+    suffix = [tuple(codes[i : i + left[i]]) for i in range(120)]
+    sa = frequency.suffix_array(codes, left, 120)
+    assert [suffix[i] for i in sa] == sorted(suffix)
+    lcp = [0] + [next((k for k, (x, y) in enumerate(zip(suffix[a], suffix[b])) if x != y), min(len(suffix[a]), len(suffix[b]))) for a, b in zip(sa, sa[1:])]
+    assert frequency.common_prefixes(codes, left, sa, 120).tolist() == lcp
+
+
 def test_terms(spark):
     rows = [(1, {" Foo": 2, "foo": 1, "bar": 0, "z": None}), (1, {" Foo": 2, "foo": 1, "bar": 0, "z": None}), (2, {"FOO\t": 5}), (3, {}), (4, None), (None, {"foo": 9})]
     s = spark.createDataFrame(rows, "id bigint, vocab_tf map<string,int>")
     assert [tuple(r) for r in frequency.mark_terms(s).collect()] == [("foo", 8, 2, None)]
     w = distinctive.symbol_term_weights(s).collect()
     assert {(r["id"], r["term"], r["tf"], r["weight"]) for r in w} == {(1, "foo", 3, round(3 * np.log(3), 9)), (2, "foo", 5, round(5 * np.log(3), 9))}
-    assert all(0 <= r["elite"] <= 1 for r in w)
     assert frequency.mark_terms(s.limit(0)).collect() == [] and distinctive.symbol_term_weights(s.limit(0)).collect() == []
 
 
+def plain_elite(counts: list[int], n: int, rounds: int) -> dict[int, float]:
+    """The posterior of the elite component for each occurrence count of one term, fitted record by record."""
+    counts = counts + [0] * (n - len(counts))
+    total, df = sum(counts), sum(c > 0 for c in counts)
+    share, plain, elite = min(max(df / n / 2, 1e-9), 0.5), max(total / n / 2, 1e-9), max(1.5 * total / df, 1e-6)
+
+    def posterior(k, share, plain, elite):
+        x, y = share * math.exp(-elite) * elite**k, (1 - share) * math.exp(-plain) * plain**k
+        return x / (x + y)
+
+    for _ in range(rounds):
+        p = [posterior(k, share, plain, elite) for k in counts]
+        mass, hits = sum(p), sum(a * k for a, k in zip(p, counts))
+        share, elite, plain = min(max(mass / n, 1e-9), 1 - 1e-9), max(hits / max(mass, 1e-12), 1e-9), max((total - hits) / max(n - mass, 1e-12), 1e-9)
+        if elite < plain:
+            share, elite, plain = 1 - share, plain, elite
+    return {k: posterior(k, share, plain, elite) for k in set(counts)}
+
+
+def test_elite_against_a_plain_fit(spark):
+    rng = np.random.default_rng(6)
+    n, names = 120, ["even", "bursty", "once", "hot"]
+    tf = {"even": rng.poisson(1.0, n), "bursty": np.where(rng.random(n) < 0.15, rng.poisson(7, n), rng.poisson(0.05, n)), "once": np.eye(1, n, 3, dtype=int)[0], "hot": rng.poisson(9, n)}
+    rows = [(i, {t: int(tf[t][i]) for t in names}) for i in range(n)]
+    df = clashing(spark.createDataFrame(rows, "id bigint, vocab_tf map<string,int>"))
+    got = distinctive.symbol_term_weights(df, mixture=True).collect()
+    want = {t: plain_elite([int(k) for k in tf[t] if k], n, distinctive.EM_ROUNDS) for t in names}
+    assert len(got) == sum((tf[t] > 0).sum() for t in names)
+    assert all(abs(r["elite"] - want[r["term"]][r["tf"]]) < 1e-6 for r in got)
+    assert want["bursty"][7] > 0.9 > 0.1 > want["bursty"].get(1, 0)
+    assert "elite" not in distinctive.symbol_term_weights(df).columns
+
+
 def test_two_poisson_finds_a_planted_mixture():
     rng = np.random.default_rng(1)
     n = 20000
