@@ -65,6 +65,11 @@ def utf16_length(text: Column) -> Column:
 
 
 def query_param(query: Column, name: str) -> Column:
-    """The first value of a parameter in ``a=b&c=d``, decoded; bad escapes give null."""
+    """The first value of a parameter in ``a=b&c=d``, decoded: ``+`` is a blank, an escape without two hexadecimal digits stays as it is, bytes that are no UTF-8 become replacement characters."""
     raw = F.regexp_extract(query, rf"(?:^|&){name}=([^&]*)", 1)
-    return F.when(query.rlike(rf"(?:^|&){name}="), F.try_url_decode(raw))
+    kept = F.regexp_replace(F.replace(raw, F.lit("+"), F.lit(" ")), "%(?![0-9A-Fa-f]{2})", "%25")
+    # Parts between escapes and runs of escapes, decoded run by run.
+    parts = F.regexp_extract_all(kept, F.lit("((?:%[0-9A-Fa-f]{2})+|[^%]+)"), 1)
+    bytes_of = lambda p: F.decode(F.unhex(F.replace(p, F.lit("%"), F.lit(""))), "UTF-8")
+    decoded = F.array_join(F.transform(parts, lambda p: F.when(p.startswith("%"), bytes_of(p)).otherwise(p)), "")
+    return F.when(query.rlike(rf"(?:^|&){name}="), decoded)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from strata.config import STOPLIST_IDENTS
 from strata.sources.python_code import Tree, hash_ints, merkle_hashes
 
+# Bounds of the alignment.
 ANCHOR, SIM, WL_FLOOR, JACCARD, MIN_TOKENS = 8, 0.66, 0.5, 0.25, 3
 _IDENT = re.compile(r"[A-Za-z_][A-Za-z0-9_]+")
 

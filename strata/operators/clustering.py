@@ -91,7 +91,8 @@ def _merged(pairs: DataFrame, exact: DataFrame, vectors: DataFrame, least: float
 
 def exact_groups(symbols: DataFrame) -> DataFrame:
     """(id, grp): symbols that share their structural hash with another one."""
-    return symbols.select("id", F.col("merkle_root").alias("grp"), F.count("*").over(Window.partitionBy("merkle_root")).alias("n")).where("n > 1 AND grp IS NOT NULL").select("id", "grp")
+    own = symbols.select("id", F.col("merkle_root").alias("grp")).where("grp IS NOT NULL")
+    return own.join(own.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp"), "grp").select("id", "grp")
 
 
 def shape_clusters(symbols: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -126,7 +127,16 @@ def repeated(symbols: DataFrame, clusters: DataFrame) -> DataFrame:
 
 def clone_clusters(symbols: DataFrame) -> DataFrame:
     """(id, cluster) by equal structural hash; ``cluster`` is the smallest id."""
-    return exact_groups(symbols).select("id", F.min("id").over(Window.partitionBy("grp")).alias("cluster"))
+    own = symbols.select("id", F.col("merkle_root").alias("grp")).where("grp IS NOT NULL")
+    first = own.groupBy("grp").agg(F.min("id").alias("cluster"), F.count("*").alias("n")).where("n > 1")
+    return own.join(first.select("grp", "cluster"), "grp").select("id", "cluster")
+
+
+def role_classes(symbols: DataFrame) -> DataFrame:
+    """(cluster, role, first, members): the clones of a cluster that may merge with each other: of the same dunder name, or of none (role '')."""
+    name = base_name(F.col("qname"))
+    role = symbols.select("id", F.when(is_dunder(name), name).otherwise("").alias("role"))
+    return clone_clusters(symbols).join(role, "id").groupBy("cluster", "role").agg(F.min("id").alias("first"), F.count("*").alias("members"))
 
 
 def cluster_centroids(clusters: DataFrame, weights: DataFrame) -> DataFrame:
@@ -145,21 +155,39 @@ def deprecated(summary: DataFrame, centroids: DataFrame, anchor: int, theta_b: f
     return dead.join(growing, "term").groupBy("dead", "growing").agg(F.sum(F.col("wd") * F.col("wg")).alias("cos")).where(F.col("cos") >= theta_b)
 
 
-def competing_stages(symbols: DataFrame, weights: DataFrame, n: int, related: DataFrame, cfg: Config = Config()) -> dict[str, DataFrame]:
-    """The pairs (a, b, cos) after each stage of the search for the same job in another shape."""
+STAGES = ("vocab_pairs", "cross_context", "low_shape", "vocab_quality", "kept")
+
+
+def competing_pairs(symbols: DataFrame, weights: DataFrame, n: int, related: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """The similar vocabularies (a, b, cos), with a_cos, n_shared and share, and how many of the stages of the search for the same job in another shape each passes: 1 to 5."""
     terms = weights.groupBy("id").agg(F.count("*").alias("terms"))
     info = symbols.select("id", "file", F.coalesce("is_test", F.lit(False)).alias("is_test")).join(terms, "id", "left")
-    pairs = similar_pairs(weights, n, cfg.theta_b)
-    cross = attach(pairs, info, "id", "file", "is_test", "terms").where(f"NOT is_test_a AND NOT is_test_b AND file_a <> file_b AND terms_a >= {MIN_TERMS} AND terms_b >= {MIN_TERMS}").select("a", "b", "cos")
+    stage = Stage(symbols.sparkSession, "pairs")
+    pairs = stage.keep(similar_pairs(weights, n, cfg.theta_b), "vocab")
+    apart = f"NOT is_test_a AND NOT is_test_b AND file_a <> file_b AND terms_a >= {MIN_TERMS} AND terms_b >= {MIN_TERMS}"
+    cross = attach(pairs, info, "id", "file", "is_test", "terms").where(apart).select("a", "b", "cos")
     hist = histogram_map(symbols)
     shaped = cross
     for end in ("a", "b"):
         shaped = shaped.join(hist.select(F.col("id").alias(end), F.col("m").alias(f"m_{end}"), F.col("n").alias(f"n_{end}")), end, "left")
     a_cos = F.when(F.col("m_a").isNull() | F.col("m_b").isNull(), 0.0).otherwise(map_cosine(F.col("m_a"), F.col("m_b"), F.col("n_a"), F.col("n_b")))
-    low = shaped.select("a", "b", "cos", a_cos.alias("a_cos")).where(F.col("a_cos") <= cfg.theta_a_low)
-    good = vocabulary_quality(low, weights)
-    kept = good.join(related, ["a", "b"], "left_anti")
-    return {"vocab_pairs": pairs, "cross_context": cross, "low_shape": low, "vocab_quality": good, "kept": kept}
+    cross = stage.keep(shaped.select("a", "b", "cos", a_cos.alias("a_cos")), "cross")
+    good = vocabulary_quality(cross.where(F.col("a_cos") <= cfg.theta_a_low), weights).select("a", "b", "n_shared", "share")
+    out = pairs.join(cross.select("a", "b", "a_cos"), ["a", "b"], "left").join(good, ["a", "b"], "left").join(related.select("a", "b", F.lit(True).alias("called")), ["a", "b"], "left")
+    passed = F.when(F.col("a_cos").isNull(), 1).when(F.col("a_cos") > cfg.theta_a_low, 2).when(F.col("share").isNull(), 3).when(F.col("called"), 4).otherwise(5)
+    return stage.keep(out.select("a", "b", "cos", "a_cos", "n_shared", "share", passed.alias("passed")), "staged")
+
+
+def funnel(pairs: DataFrame) -> DataFrame:
+    """(stage, pairs): how many pairs pass each stage, in one pass over ``competing_pairs``."""
+    counts = pairs.agg(*(F.count_if(F.col("passed") > k).alias(name) for k, name in enumerate(STAGES)))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(name).alias("stage"), F.col(name).alias("pairs")) for name in STAGES))).alias("e")).select("e.*")
+
+
+def competing_stages(symbols: DataFrame, weights: DataFrame, n: int, related: DataFrame, cfg: Config = Config()) -> dict[str, DataFrame]:
+    """The pairs after each stage of ``competing_pairs``."""
+    staged = competing_pairs(symbols, weights, n, related, cfg)
+    return {name: staged.where(F.col("passed") > k) for k, name in enumerate(STAGES)}
 
 
 def competing_groups(kept: DataFrame, weights: DataFrame, cfg: Config = Config()) -> DataFrame:

@@ -4,9 +4,21 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 
+# What a picture looks like.
 ROUNDS, SAMPLES, REPULSION, GRAVITY, START_TEMP = 400, 16, 1.5e-5, 0.05, 0.06
 SWEEPS = 48
+MOST_POINTS = 20_000
+"""Points of one picture; more than that no screen shows, and the driver does not gather them."""
+
+
+def one_picture(points: DataFrame) -> pd.DataFrame:
+    """The points (id, ...) of a picture on the driver, by id; an error if there are too many."""
+    got = points.limit(MOST_POINTS + 1).toPandas()
+    if len(got) > MOST_POINTS:
+        raise ValueError(f"a picture has at most {MOST_POINTS} points; select some first")
+    return got.sort_values("id", ignore_index=True)
 
 
 class Lcg:

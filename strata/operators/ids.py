@@ -23,3 +23,11 @@ def dense_ids(rows: DataFrame, *order: str, name: str = "id", stage: Stage | Non
     before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"))  # one row per partition
     number = (F.col("_b") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).alias(name)
     return placed.withColumn("_p", F.shiftright("_m", 33)).join(F.broadcast(before), "_p").select(*rows.columns, number)
+
+
+def rank_within(rows: DataFrame, keys: list[str], *order: str, name: str = "rank") -> DataFrame:
+    """Adds ``name``, 1, 2, 3, ... in the given order within equal ``keys``, however many rows a key has: all rows are numbered by range, and each key's first number is taken off."""
+    numbered = dense_ids(rows, *keys, *order, name="_n")
+    first = numbered.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.min("_n").alias("_f"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return numbered.join(first, same).select(*rows.columns, (F.col("_n") - F.col("_f") + 1).cast("int").alias(name))

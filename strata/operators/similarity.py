@@ -97,11 +97,13 @@ def map_cosine(ma: Column, mb: Column, na: Column, nb: Column) -> Column:
 
 
 def minhash(rows: DataFrame, id_col: str, tokens: str, functions: int) -> DataFrame:
-    """(id, seed, h): for each seed the least of the 60-bit md5 hashes of ``seed|token``."""
-    seed = F.explode(F.sequence(F.lit(0), F.lit(functions - 1))).alias("seed")
-    flat = rows.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(tokens)).alias("t"))
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("seed").cast("string"), "t")), 1, 15), 16, 10).cast("bigint")
-    return flat.select("id", "t", seed).groupBy("id", "seed").agg(F.min(h).alias("h"))
+    """(id, seed, h): for each seed the least of the 60-bit md5 hashes of ``seed|token``, found within the row. Null and empty token arrays give no rows."""
+    def least(seed: Column) -> Column:
+        h = F.transform("t", lambda t: F.conv(F.substring(F.md5(F.concat(seed.cast("string"), F.lit("|"), t)), 1, 15), 16, 10).cast("bigint"))
+        return F.array_min(h)
+
+    flat = rows.select(F.col(id_col).alias("id"), F.array_distinct(F.filter(tokens, lambda t: t.isNotNull())).alias("t")).where(F.size("t") > 0)
+    return flat.select("id", F.posexplode(F.array(*(least(F.lit(k)) for k in range(functions)))).alias("seed", "h"))
 
 
 def lsh_bands(rows: DataFrame, id_col: str, signature: str, rows_per_band: int = LSH_ROWS) -> DataFrame:
@@ -144,3 +146,12 @@ def near_pairs(symbols: DataFrame, theta: float, cap: int = BUCKET_CAP) -> DataF
     cand = attach(cand, symbols, "id", "node_count", "file", "span").where(comparable(F.col("node_count_a"), F.col("node_count_b")) & ~nested(F.col("file_a"), F.col("file_b"), F.col("span_a"), F.col("span_b")))
     scored = attach(cand.select("a", "b"), histogram_map(symbols), "id", "m", "n")
     return scored.select("a", "b", map_cosine(F.col("m_a"), F.col("m_b"), F.col("n_a"), F.col("n_b")).alias("cos")).where(F.col("cos") >= theta - 1e-12)
+
+
+def near_pairs_exact(symbols: DataFrame, theta: float) -> DataFrame:
+    """(a, b, cos) of symbols: all pairs of like size, not nested, with a cosine of at least theta, whatever their signatures and however large their buckets are."""
+    lw = label_weights(symbols)
+    length = lw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len")).where("len > 0")
+    found = prefix_join(lw.join(length, "id").select("id", F.col("label").alias("key"), (F.col("w") / F.col("len")).alias("w")), theta)
+    apart = comparable(F.col("node_count_a"), F.col("node_count_b")) & ~nested(F.col("file_a"), F.col("file_b"), F.col("span_a"), F.col("span_b"))
+    return attach(found, symbols, "id", "node_count", "file", "span").where(apart).select("a", "b", F.col("dot").alias("cos"))

@@ -27,7 +27,7 @@ class Analysis:
     repeated: DataFrame
     families: DataFrame
     competing: DataFrame
-    competing_pairs: dict[str, DataFrame]
+    competing_pairs: DataFrame
     deprecated: DataFrame | None
     stats: dict[str, int]
     anchor: int | None
@@ -75,8 +75,8 @@ def analyze(spark: SparkSession, root: str, cfg: Config = Config()) -> Analysis:
     edges = stage.keep(graph.call_edges(symbols), "edges")
     related = stage.keep(graph.related(graph.call_graph(symbols)), "related")
     phase("calls")
-    stages = clustering.competing_stages(symbols, weights, n, related, cfg)
-    kept = stage.keep(stages["kept"], "kept")
+    stages = clustering.competing_pairs(symbols, weights, n, related, cfg)
+    kept = stages.where("passed = 5")
     competing = stage.keep(clustering.competing_groups(kept, weights, cfg), "competing")
     phase("competing")
     old = None

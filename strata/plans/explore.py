@@ -26,7 +26,7 @@ class Explorer:
         comps, var, total, mean = vectors.principal_components(v, 8)
         scores = vectors.project(v, comps, mean)
         adj = vectors.mutual_adjacency(vectors.knn(v, 8))
-        seeds = scores.toPandas()
+        seeds = geometry.one_picture(scores)
         xy = geometry.layout_frame(seeds, adj.toPandas())
         nodes = {r["id"]: r["node_count"] for r in a.symbols.select("id", "node_count").collect()}
         root = np.sqrt([nodes[i] for i in xy["id"]])

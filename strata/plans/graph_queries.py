@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.config import AMBIENT_NAMES
 from strata.functions.paths import dir_of
 from strata.functions.text import base_name
 from strata.operators import graph
-from strata.operators.clustering import clone_clusters
 from strata.plans.inputs import SYM, symbols
 from strata.plans.registry import query
 from strata.plans.shape_queries import _CALLS
@@ -105,9 +104,7 @@ def span_containment(spark: SparkSession, d: str) -> DataFrame:
     s = symbols(spark, d, *_COLS).where("file IS NOT NULL")
     p = s.select(F.col("id").alias("probe"), "file", (F.col("line") + 3).alias("l"))
     w = s.select("id", "file", "line", (F.col("line") + F.floor((F.col("span.e") - F.col("span.s")) / 40).cast("int")).alias("last"))
-    inside = p.join(w, "file").where("line <= l AND l <= last")
-    rank = F.row_number().over(Window.partitionBy("probe").orderBy(F.col("last") - F.col("line"), "id"))
-    return inside.withColumn("r", rank).where("r = 1").select("probe", "id")
+    return graph.innermost(p, w)
 
 
 @query(f"WITH {SYM} SELECT x.id AS a, y.id AS b FROM sym x JOIN sym y ON x.file = y.file AND x.span.s = y.span.s AND x.span.e = y.span.e AND x.id < y.id")
@@ -161,8 +158,8 @@ def symbol_card(spark: SparkSession, d: str) -> DataFrame:
     """For each symbol the figures of its card: exact copies, callers, callees, symbols of its name."""
     s = callable_symbols(spark, d)
     e = graph.call_edges(s)
-    copies = clone_clusters(s).groupBy("cluster").agg((F.count("*") - 1).alias("copies"))
-    c = clone_clusters(s).join(copies, "cluster").select("id", "copies")
+    copies = s.groupBy("merkle_root").agg((F.count("*") - 1).alias("copies"))
+    c = s.select("id", "merkle_root").join(copies, "merkle_root").select("id", "copies")
     callees = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("callees"))
     names = graph.names(s).groupBy("name").agg(F.count("*").alias("same_name"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.operators import history
+from strata.operators.ids import rank_within
 from strata.plans.inputs import GIT, TXN, anchors, commits, edits, tree, txns
 from strata.plans.registry import query
 from strata.sources.tables import table
@@ -65,10 +66,8 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 @query(f"WITH {TXN}, {_coupled('t')} SELECT repo, a, b, shared, {_ROUND}, CAST(row_number() OVER (PARTITION BY repo ORDER BY greatest(round(confidence_ab, 9), round(confidence_ba, 9)) DESC, a, b) AS INT) AS place FROM cp")
 def cochange_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Coupled pairs with their place in the repo's report: the larger confidence first, then by name."""
-    from pyspark.sql import Window
-
     p = _rounded(history.coupled_pairs(txns(spark, d), anchors(spark, d)), "confidence_ab", "confidence_ba", "degree").drop("recent_degree")
-    return p.withColumn("place", F.row_number().over(Window.partitionBy("repo").orderBy(F.greatest("confidence_ab", "confidence_ba").desc(), "a", "b")))
+    return rank_within(p.withColumn("k", -F.greatest("confidence_ab", "confidence_ba")), ["repo"], "k", "a", "b", name="place").drop("k")
 
 
 @query(f"WITH {TXN}, {_coupled('t')} SELECT repo, a, b, round(recent_degree, 9) AS recent_degree FROM cp")

@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from strata.operators.clustering import family_summary
+from strata.operators.clustering import family_summary, funnel
 from strata.plans.analysis import Analysis
 
 SECTIONS = ("families", "competing")
@@ -49,7 +49,7 @@ def report(a: Analysis, only: set[str] | None = None) -> dict:
         "repeated_funnel": {"clusters_formed": len(repeated), "clustered_symbols": sum(r["size"] for r in repeated)},
         "deprecated": [{"dead": place.get(r["dead"]), "growing": place.get(r["growing"]), "cosine": round(r["cos"], 6)} for r in sorted(old, key=lambda r: (-r["cos"], r["dead"], r["growing"]))],
         "deprecated_funnel": {"pairs": len(old)}, "family_funnel": {"families": len(summary)},
-        "competing_funnel": {k: v.count() for k, v in a.competing_pairs.items()}, "families": [], "competing": [],
+        "competing_funnel": {r["stage"]: r["pairs"] for r in funnel(a.competing_pairs).collect()}, "families": [], "competing": [],
     }
     if "families" in pick:
         order = sorted(summary.values(), key=lambda r: (-r["members"], -r["n_files"], r["family"]))

@@ -10,6 +10,7 @@ from strata.functions.dates import classify, fmt_date
 from strata.operators import clustering, graph
 from strata.operators import similarity as sim
 from strata.operators.components import components
+from strata.operators.ids import dense_ids
 from strata.plans.inputs import HIST, PAIRS, SYM, TF, TFIDF, symbol_count, symbol_tf, symbol_weights, symbols
 from strata.plans.registry import query
 from strata.runtime import Stage
@@ -42,8 +43,8 @@ def repeated_dated(spark: SparkSession, d: str) -> DataFrame:
     s = symbols(spark, d, *_SHAPE)
     r = clustering.repeated(s, clustering.clone_clusters(s))
     anchor = F.lit(s.agg(F.max("dating.last_touched")).first()[0])
-    order = Window.orderBy((F.col("n_files") > 1).desc(), (~F.col("all_test")).desc(), F.desc("total_nodes"), F.col("members")[0])
-    return r.select(F.concat(F.lit("R"), F.row_number().over(order)).alias("ref"), "cluster", fmt_date(F.col("first_seen")).alias("first_day"), fmt_date(F.col("last_touched")).alias("last_day"), classify(anchor, F.col("newest_birth"), F.col("last_touched")).alias("activity"))
+    keyed = r.withColumns({"k1": F.col("n_files") <= 1, "k2": F.col("all_test"), "k3": -F.col("total_nodes"), "k4": F.col("members")[0]})
+    return dense_ids(keyed, "k1", "k2", "k3", "k4", name="n").select(F.concat(F.lit("R"), F.col("n") + 1).alias("ref"), "cluster", fmt_date(F.col("first_seen")).alias("first_day"), fmt_date(F.col("last_touched")).alias("last_day"), classify(anchor, F.col("newest_birth"), F.col("last_touched")).alias("activity"))
 
 
 @query(f"WITH {TF} SELECT term, df FROM df")
@@ -116,11 +117,10 @@ WITH {_STAGES} SELECT 'vocab_pairs' AS stage, count(*) AS pairs FROM pair UNION
 UNION ALL SELECT 'vocab_quality', count(*) FROM vq UNION ALL SELECT 'kept', count(*) FROM kp
 """)
 def competing_funnel(spark: SparkSession, d: str) -> DataFrame:
-    out = None
-    for name, df in _stages(spark, d)[0].items():
-        one = df.agg(F.count("*").alias("pairs")).select(F.lit(name).alias("stage"), "pairs")
-        out = one if out is None else out.unionByName(one)
-    return out
+    s = symbols(spark, d, "file", "qname", "is_test", "wl", "calls")
+    stage = Stage(spark, "competing")
+    named = s.withColumn("qname", F.lower(F.substring_index("qname", ".", 1)))
+    return clustering.funnel(clustering.competing_pairs(s, stage.keep(symbol_weights(spark, d), "weights"), symbol_count(spark, d), graph.related(graph.call_graph(named)), CFG))
 
 
 @query()
@@ -183,6 +183,29 @@ def lsh_bucket_sizes(spark: SparkSession, d: str) -> DataFrame:
     return b.groupBy("band").agg(F.count("*").alias("buckets"), F.count_if(F.col("size").between(2, 200)).alias("used"), F.count_if(F.col("size") > 200).alias("oversized"))
 
 
+_ALL_NEAR = f"""{SYM}, {HIST},
+pc AS (SELECT x.id AS a, y.id AS b, sum(x.w * y.w) / sqrt(any_value(p.n) * any_value(q.n)) AS cos FROM lw x JOIN lw y ON x.label = y.label AND x.id < y.id JOIN ln2 p ON p.id = x.id JOIN ln2 q ON q.id = y.id GROUP BY x.id, y.id),
+ea AS (SELECT a, b, cos FROM pc JOIN sym x ON x.id = a JOIN sym y ON y.id = b WHERE cos >= 0.60 - 1e-12 AND least(x.node_count, y.node_count) / greatest(x.node_count, y.node_count) >= 0.5
+       AND NOT (x.file = y.file AND ((x.span.s <= y.span.s AND y.span.e <= x.span.e) OR (y.span.s <= x.span.s AND x.span.e <= y.span.e))))"""
+
+
+@query(f"WITH {_ALL_NEAR} SELECT a, b, round(cos, 9) AS cos FROM ea")
+def near_pairs_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The near pairs without signatures or buckets: every pair of like size, not nested, with a cosine of 0.60 or more."""
+    return sim.near_pairs_exact(symbols(spark, d, *_SHAPE), CFG.theta_clone).withColumn("cos", F.round("cos", 9))
+
+
+@query(f"""
+WITH {_NEAR.replace("WITH ", "")}, {_ALL_NEAR.split("pc AS", 1)[1].join(["pc AS", ""])}
+SELECT count(*) AS pairs, count(np.a) AS by_buckets FROM ea LEFT JOIN np ON np.a = ea.a AND np.b = ea.b
+""")
+def lsh_recall(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the exact near pairs the buckets, cut at 200 members, also give."""
+    s = Stage(spark, "recall").keep(symbols(spark, d, *_SHAPE), "symbols")
+    found = sim.near_pairs(s, CFG.theta_clone).select("a", "b", F.lit(1).alias("hit"))
+    return sim.near_pairs_exact(s, CFG.theta_clone).join(found, ["a", "b"], "left").agg(F.count("*").alias("pairs"), F.count("hit").alias("by_buckets"))
+
+
 @query(f"WITH {_NEAR} SELECT a, b, round(cos, 9) AS cos FROM np")
 def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
     return sim.near_pairs(symbols(spark, d, *_SHAPE), CFG.theta_clone).withColumn("cos", F.round("cos", 9))
@@ -246,16 +269,11 @@ def coherence_edges(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""
 WITH {_CLONES}, nb AS (SELECT id, string_split(qname, '.')[-1] AS base FROM sym),
 r AS (SELECT id, cluster, CASE WHEN regexp_full_match(base, '__.*__') AND length(base) > 4 THEN base ELSE '' END AS role FROM m JOIN nb USING (id))
-SELECT x.id AS a, y.id AS b, x.role = y.role AS same_role FROM r x JOIN r y ON x.cluster = y.cluster AND x.id < y.id
+SELECT cluster, role, min(id) AS first, count(*) AS members FROM r GROUP BY cluster, role
 """)
-def role_guard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Clones with whether their roles let them merge: the same dunder name, or none on both sides."""
-    from strata.functions.text import base_name, is_dunder
-
-    s = symbols(spark, d, "merkle_root", "qname")
-    name = base_name(F.col("qname"))
-    r = clustering.clone_clusters(s).join(s.select("id", F.when(is_dunder(name), name).otherwise("").alias("role")), "id")
-    return r.select(F.col("id").alias("a"), "cluster", F.col("role").alias("ra")).join(r.select(F.col("id").alias("b"), "cluster", F.col("role").alias("rb")), "cluster").where("a < b").select("a", "b", (F.col("ra") == F.col("rb")).alias("same_role"))
+def role_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The clones of a cluster by role: two of one class may merge, two of different classes may not, so no pair is listed."""
+    return clustering.role_classes(symbols(spark, d, "merkle_root", "qname"))
 
 
 @query("""

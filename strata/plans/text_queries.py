@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strata.config import AMBIENT_NAMES, STOPLIST_IDENTS, STOPWORDS
 from strata.functions import dates, paths, text
 from strata.functions.vectors import l2_normalize, norm
+from strata.operators.ids import dense_ids
 from strata.operators.similarity import minhash
 from strata.plans.inputs import NOISE, SYM, TFIDF, TICKET, UNIT, commits, documents, symbol_weights, symbols
 from strata.plans.registry import query
@@ -127,6 +128,22 @@ def cached_norms(spark: SparkSession, d: str) -> DataFrame:
     return v.select("vec_id", F.size("v").alias("width"), F.round(norm(F.col("v")), 6).alias("norm"))
 
 
+@query("""
+SELECT id, file, top, bad FROM (VALUES (1, 'a b/c', '3', 'x'), (2, 'é.py', NULL, '%zz%4'), (3, '', '', '100%')) v(id, file, top, bad)
+""")
+def url_escapes(spark: SparkSession, d: str) -> DataFrame:
+    """Parameters with blanks, escapes of several bytes, empty values, missing names and bad escapes, which stay as they are."""
+    q = spark.createDataFrame([(1, "file=a+b%2Fc&top=3&bad=x&file=second"), (2, "x=1&file=%C3%A9.py&bad=%zz%4"), (3, "file=&top=&bad=100%")], "id int, q string")
+    return q.select("id", *(text.query_param(F.col("q"), c).alias(c) for c in ("file", "top", "bad")))
+
+
+@query("SELECT doc_id, source, CAST(row_number() OVER (ORDER BY source NULLS FIRST, doc_id) - 1 AS BIGINT) AS number, length(text) AS chars FROM documents")
+def document_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """All documents with their texts, numbered by source and id without gaps."""
+    numbered = dense_ids(documents(spark, d, "source", "text"), "source", "doc_id", name="number")
+    return numbered.select("doc_id", "source", "number", F.length("text").cast("bigint").alias("chars"))
+
+
 @query("SELECT doc_id, CASE WHEN path IS NOT NULL THEN path END AS file, CAST(n_chars AS VARCHAR) AS top FROM documents WHERE path IS NOT NULL")
 def url_params(spark: SparkSession, d: str) -> DataFrame:
     """Parameters written into a query string and read back."""

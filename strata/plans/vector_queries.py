@@ -135,7 +135,7 @@ def _xy(spark: SparkSession, d: str, relax: bool) -> DataFrame:
     comps, _, _, mean = vectors.principal_components(v, 2)
     seeds = vectors.project(v, comps, mean)
     adj = vectors.mutual_adjacency(vectors.knn(v, KNN))
-    rows, edges = seeds.toPandas().sort_values("id"), adj.toPandas()  # the points of one picture
+    rows, edges = geometry.one_picture(seeds), adj.toPandas()  # a point has at most KNN edges
     xy = geometry.layout_frame(rows, edges)
     if relax:
         xy[["x", "y"]] = geometry.relax(xy[["x", "y"]].to_numpy(), pd.Series(3.5 / 832, index=xy.index).to_numpy())
