@@ -32,6 +32,8 @@ def main(argv: list[str] | None = None) -> int:
     explore = sub.add_parser("explore")
     explore.add_argument("root")
     explore.add_argument("--port", type=int, default=4816)
+    explore.add_argument("--tests", action="store_true")
+    explore.add_argument("--base")
     review = sub.add_parser("review")
     review.add_argument("root")
     review.add_argument("--base")
@@ -77,7 +79,7 @@ def _explain(spark, args) -> int:
     else:
         found = explain.resolve_name(a.symbols, args.target).collect()
     if len(found) != 1:
-        print("no such symbol" if not found else f"{len(found)} symbols match", file=sys.stderr)
+        print(explain.ambiguous(a.symbols, [r["id"] for r in found], found[0]["n"] if found and "n" in found[0] else len(found)) if found else "no such symbol", file=sys.stderr)
         return 2
     print(report.card_text(report.card(a, a.symbols.where(F.col("id") == found[0]["id"]).first())))
     return 0
@@ -96,11 +98,14 @@ def _explore(spark, args) -> int:
     from strata.plans import find
     from strata.plans.analysis import analyze
     from strata.plans.explore import Explorer
+    from strata.sources.git_log import detect_branch
+    from strata.sources.python_code import python_files
 
     a = analyze(spark, args.root, Config(min_nodes=8))
     docs = a.symbols.select("id", F.concat("qname", F.lit("  ("), "file", F.lit(")\n"), "source").alias("text"), F.md5(F.concat_ws("\n", "qname", "file", "source")).alias("doc_key"))
     v = find.embed(docs, spark.createDataFrame([], find.SCHEMA), find.hashed_vector).select("id", "v")
-    Explorer(a, v, lambda q: find.search(spark, args.root, q)).serve(args.port)
+    files = python_files(spark, args.root)
+    Explorer(a, v, lambda q: find.search(spark, args.root, q), files, detect_branch(args.root, args.base), args.tests).serve(args.port)
     return 0
 
 

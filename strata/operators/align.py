@@ -8,9 +8,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from strata.config import STOPLIST_IDENTS
-from strata.sources.python_code import Tree, hash_ints, merkle_hashes
+from strata.sources.python_code import IDENTIFIERS, KEYWORDS, Tree, hash_text, merkle_hashes
+
+STATEMENTS = frozenset(hash_text(k) for k in [*KEYWORDS, "Expr"] if k[0].isupper() and k not in ("Lambda", "IfExp", "Await", "Yield", "YieldFrom", "NamedExpr"))
+"""Labels of nodes that are statements."""
 
 # Bounds of the alignment.
 ANCHOR, SIM, WL_FLOOR, JACCARD, MIN_TOKENS = 8, 0.66, 0.5, 0.25, 3
@@ -18,11 +22,11 @@ _IDENT = re.compile(r"[A-Za-z_][A-Za-z0-9_]+")
 
 
 class Side:
-    def __init__(self, tree: Tree, source: str, base: int, statements: set[int]):
+    def __init__(self, tree: Tree, source: str, base: int, statements: frozenset[int]):
         self.t, self.base, self.statements = tree, base, statements
         self.source = source.encode()
         self.hash = merkle_hashes(tree)
-        self.size = []
+        self.size: list[int] = []
         for kids in tree.children:
             self.size.append(1 + sum(self.size[k] for k in kids))
 
@@ -35,7 +39,12 @@ class Side:
         return [x for k in kids for x in self.leaves(k)] if kids else [self.t.labels[n]]
 
     def distinctive(self, n: int) -> set[str]:
-        return {w for w in _IDENT.findall(self.text(n)) if not keyword.iskeyword(w) and w not in STOPLIST_IDENTS}
+        """The names among the identifier leaves below a node that are evidence of a shared statement; words in strings and comments are none."""
+        kids = self.t.children[n]
+        if kids:
+            return set().union(*(self.distinctive(k) for k in kids))
+        name = self.text(n) if self.t.labels[n] in IDENTIFIERS else ""
+        return {name} if _IDENT.fullmatch(name) and not keyword.iskeyword(name) and name not in STOPLIST_IDENTS else set()
 
     def parts(self, nodes: list[int]) -> list[int]:
         """The statements at or below the nodes; a node without any stands for itself."""
@@ -79,9 +88,10 @@ def align(a: Side, b: Side, wl_cosine: float) -> list[tuple[tuple[int, int], tup
         return a.hash[x] == b.hash[y] or (s >= SIM and min(len(a.leaves(x)), len(b.leaves(y))) >= MIN_TOKENS and both > JACCARD * len(p | q))
 
     def statements(xs: list[int], ys: list[int]) -> None:
+        """The pairing of largest summed similarity; of its pairs those that are evidence enough count."""
+        nonlocal anchored
         xs, ys = a.parts(xs), b.parts(ys)
         s = [[similarity(x, y) for y in ys] for x in xs]
-        s = [[v if accept(x, y, v) else 0.0 for y, v in zip(ys, row, strict=True)] for x, row in zip(xs, s, strict=True)]
         best = [[0.0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
         for i in range(len(xs) - 1, -1, -1):
             for j in range(len(ys) - 1, -1, -1):
@@ -89,8 +99,9 @@ def align(a: Side, b: Side, wl_cosine: float) -> list[tuple[tuple[int, int], tup
         i = j = 0
         while i < len(xs) and j < len(ys):
             if best[i][j] == s[i][j] + best[i + 1][j + 1]:
-                if s[i][j] > 0:
+                if s[i][j] > 0 and accept(xs[i], ys[j], s[i][j]):
                     pairs.append((xs[i], ys[j]))
+                    anchored = anchored or (a.hash[xs[i]] == b.hash[ys[j]] and a.size[xs[i]] >= ANCHOR)
                 i, j = i + 1, j + 1
             elif best[i][j] == best[i + 1][j]:
                 i += 1
@@ -140,13 +151,9 @@ def align(a: Side, b: Side, wl_cosine: float) -> list[tuple[tuple[int, int], tup
 
 def align_pairs(pairs: DataFrame) -> DataFrame:
     """(a, b, a_s, a_e, b_s, b_e, tier) of pairs with both sides' source, span start, labels, children and spans, and the cosine of their shapes."""
-    from strata.sources.python_code import KEYWORDS, hash_text, signed
-
-    kinds = {signed(hash_text(k)) for k in KEYWORDS if k[0].isupper() and k not in ("Lambda", "IfExp", "Await", "Yield", "YieldFrom", "NamedExpr")} | {signed(hash_text("Expr"))}
-
     def side(r, end: str) -> Side:
-        t = Tree([x & 0xFFFFFFFFFFFFFFFF for x in r[f"labels_{end}"]], [list(k) for k in r[f"children_{end}"]], [(x["s"], x["e"]) for x in r[f"spans_{end}"]])
-        return Side(t, r[f"source_{end}"], r[f"start_{end}"], {k & 0xFFFFFFFFFFFFFFFF for k in kinds})
+        t = Tree([int(x) & 0xFFFFFFFFFFFFFFFF for x in r[f"labels_{end}"]], [list(k) for k in r[f"children_{end}"]], [(x["s"], x["e"]) for x in r[f"spans_{end}"]])
+        return Side(t, r[f"source_{end}"], r[f"start_{end}"], STATEMENTS)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -156,3 +163,11 @@ def align_pairs(pairs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["a", "b", "a_s", "a_e", "b_s", "b_e", "tier"])
 
     return pairs.mapInPandas(run, "a bigint, b bigint, a_s int, a_e int, b_s int, b_e int, tier int")
+
+
+def sides(pairs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """What ``align_pairs`` takes, for pairs (a, b, cos) of symbols with their trees."""
+    for end in ("a", "b"):
+        own = symbols.select(F.col("id").alias(end), F.col("source").alias(f"source_{end}"), F.col("span.s").alias(f"start_{end}"), *(F.col(c).alias(f"{c}_{end}") for c in ("labels", "children", "spans")))
+        pairs = pairs.join(own, end)
+    return pairs

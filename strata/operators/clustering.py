@@ -147,12 +147,16 @@ def cluster_centroids(clusters: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def deprecated(summary: DataFrame, centroids: DataFrame, anchor: int, theta_b: float) -> DataFrame:
-    """(dead, growing, cos): dead clusters and growing ones of like vocabulary; all-test and undated clusters are left out."""
+    """(dead, growing, cos, terms): dead clusters and growing ones of like vocabulary, with the eight terms that weigh most in both; all-test and undated clusters are left out."""
     classed = summary.where("NOT all_test AND last_touched IS NOT NULL").select("cluster", classify(F.lit(anchor), F.col("newest_birth"), F.col("last_touched")).alias("activity"))
     c = centroids.join(classed, "cluster")
     dead = c.where("activity = 'dead'").select(F.col("cluster").alias("dead"), "term", F.col("w").alias("wd"))
     growing = c.where("activity = 'growing'").select(F.col("cluster").alias("growing"), "term", F.col("w").alias("wg"))
-    return dead.join(growing, "term").groupBy("dead", "growing").agg(F.sum(F.col("wd") * F.col("wg")).alias("cos")).where(F.col("cos") >= theta_b)
+    pairs = dead.join(growing, "term").groupBy("dead", "growing").agg(F.sum(F.col("wd") * F.col("wg")).alias("cos")).where(F.col("cos") >= theta_b)
+    weights = centroids.withColumnRenamed("cluster", "id")
+    top = top_shared(shared_terms(pairs.select(F.col("dead").alias("a"), F.col("growing").alias("b")), weights), 8)
+    terms = top.groupBy("a", "b").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("terms"))
+    return pairs.join(terms, (F.col("dead") == F.col("a")) & (F.col("growing") == F.col("b"))).select("dead", "growing", "cos", "terms")
 
 
 STAGES = ("vocab_pairs", "cross_context", "low_shape", "vocab_quality", "kept")

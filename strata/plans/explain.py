@@ -29,3 +29,10 @@ def innermost(symbols: DataFrame, file: str, line: int) -> DataFrame:
     at = symbols.where((f == file) | f.endswith("/" + file)).where((F.col("line") <= line) & (F.col("last_line") >= line))
     w = Window.partitionBy("file").orderBy(F.col("last_line") - F.col("line"), "id")
     return at.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+
+
+def ambiguous(symbols: DataFrame, ids: list[int], n: int) -> str:
+    """The candidates of a target that means more than one symbol, in their order, and how many more there are."""
+    rows = {r["id"]: r for r in symbols.where(F.col("id").isin(ids)).select("id", "file", "line", "qname", "node_count").collect()}
+    lines = [f"  {r['file']}:{r['line']}  {r['qname']}  ({r['node_count']} nodes)" for r in (rows[i] for i in ids)]
+    return "\n".join([f"{n} symbols match; name one by FILE:LINE", *lines, *([f"  +{n - len(ids)} more"] if n > len(ids) else [])])

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import os
-import shutil
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -52,15 +50,16 @@ def load_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_cache(cache: DataFrame, path: str) -> None:
-    """Written aside and then moved into place."""
-    aside = f"{path}.{uuid.uuid4().hex}"
-    cache.write.parquet(aside)
-    old = f"{path}.old"
-    shutil.rmtree(old, ignore_errors=True)
-    if os.path.exists(path):
-        os.rename(path, old)
-    os.rename(aside, path)
-    shutil.rmtree(old, ignore_errors=True)
+    """Written aside and then moved into place, by the file system that holds it."""
+    jvm = cache.sparkSession.sparkContext._jvm
+    at, aside, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}", f"{path}.old"))
+    cache.write.parquet(aside.toString())
+    fs = at.getFileSystem(cache.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if fs.exists(at):
+        fs.rename(at, old)
+    fs.rename(aside, at)
+    fs.delete(old, True)
 
 
 def embed(docs: DataFrame, cache: DataFrame, embedder: Callable[[str], list[float]]) -> DataFrame:

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.config import AMBIENT_NAMES
+from strata.config import AMBIENT_NAMES, Config
 from strata.functions.paths import dir_of
 from strata.functions.text import base_name
-from strata.operators import graph
+from strata.operators import align, graph
+from strata.operators.ids import dense_ids
+from strata.operators.similarity import attach, histogram_map, map_cosine
 from strata.plans.inputs import SYM, symbols
 from strata.plans.registry import query
 from strata.plans.shape_queries import _CALLS
+from strata.runtime import Stage
+from strata.sources import python_code
 from strata.sources.tables import table
 
 # The tables' calls name things by the lower-case first part of a qualified name; this binding gives the symbols such names.
@@ -176,3 +180,27 @@ def cache_misses(spark: SparkSession, d: str) -> DataFrame:
     good = c.where(F.size("v") == 64).select(F.col("sym_id").alias("id")).distinct()
     missing = symbols(spark, d).select("id").join(good, "id", "left_anti").select("id", F.lit("missing").alias("who"))
     return c.select(F.col("sym_id").alias("id"), F.lit("cached").alias("who")).distinct().unionByName(missing)
+
+
+def _source_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """The functions in the documents that are source files, with their trees; (id, doc_id, at) numbers them by document and place."""
+    docs = table(spark, d, "documents", "doc_id", "text", "kind").where("kind = 'source' AND text IS NOT NULL")
+    files = docs.select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file"), F.encode("text", "UTF-8").alias("content"))
+    found = python_code.scan_symbols(files, Config(min_nodes=1)).withColumn("doc_id", F.regexp_extract("file", r"(\d+)\.py$", 1).cast("bigint")).withColumn("at", F.col("span.s"))
+    return dense_ids(found, "doc_id", "at")
+
+
+@query()
+def source_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """Functions of source documents with their sizes, calls and vocabulary; made trees are checked in the tests."""
+    s = _source_symbols(spark, d)
+    return s.select("id", "doc_id", "qname", "line", "last_line", "node_count", F.size("calls").alias("calls"), F.size("vocab_tf").alias("terms"), F.size("wl").alias("labels"))
+
+
+@query()
+def stmt_align(spark: SparkSession, d: str) -> DataFrame:
+    """Which parts of neighbouring functions of a source document correspond; known cases are checked in the tests."""
+    s = Stage(spark, "align").keep(_source_symbols(spark, d), "symbols")
+    pairs = s.select(F.col("id").alias("a"), "doc_id", (F.col("id") + 1).alias("b")).join(s.select(F.col("id").alias("b"), F.col("doc_id").alias("same")), "b").where("doc_id = same").select("a", "b")
+    scored = attach(pairs, histogram_map(s), "id", "m", "n").select("a", "b", map_cosine(F.col("m_a"), F.col("m_b"), F.col("n_a"), F.col("n_b")).alias("cos"))
+    return align.align_pairs(align.sides(scored, s))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.config import Config
 from strata.functions.paths import dir_of
-from strata.operators import history
-from strata.operators.similarity import attach, histogram_map, map_cosine, prefix_join
+from strata.operators import history, vectors
+from strata.operators.similarity import attach, histogram_map, map_cosine
 from strata.plans.analysis import Analysis, analyze
+from strata.plans.find import SCHEMA, embed, hashed_vector
+from strata.runtime import Stage
 from strata.sources import git_log, python_code
 
 
@@ -18,17 +22,18 @@ def new_symbols(symbols: DataFrame, changed: DataFrame, base_roots: DataFrame) -
     return symbols.join(changed, "file", "left_semi").join(base_roots, "merkle_root", "left_anti")
 
 
-def nearest_existing(a: Analysis, new: DataFrame, k: int = 3) -> DataFrame:
-    """(id, near, a_cos, b_cos, rank): for each new symbol the existing ones of nearest vocabulary."""
-    w = a.weights.select("id", F.col("term").alias("key"), "w")
-    pairs = prefix_join(w, 0.1)
-    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("near"), F.col("dot").alias("b_cos")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("near"), F.col("dot").alias("b_cos")))
+def nearest_existing(a: Analysis, new: DataFrame, embedding: DataFrame, k: int = 3) -> DataFrame:
+    """(id, near, a_cos, b_cos, rank): for each new symbol the existing ones, no tests, of nearest embedding (id, v), with the cosines of their shapes and vocabularies.
+
+    The embedding only ranks. Each new symbol is a query against all existing ones, in blocks.
+    """
     mine = new.select("id")
-    out = both.join(mine, "id", "left_semi").join(mine.withColumnRenamed("id", "near"), "near", "left_anti")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.round("b_cos", 9).desc(), "near"))
-    out = out.withColumn("rank", rank).where(F.col("rank") <= k)
-    scored = attach(out.withColumnsRenamed({"id": "a", "near": "b"}), histogram_map(a.symbols), "id", "m", "n")
-    return scored.select(F.col("a").alias("id"), F.col("b").alias("near"), map_cosine(F.col("m_a"), F.col("m_b"), F.col("n_a"), F.col("n_b")).alias("a_cos"), "b_cos", "rank")
+    old = a.symbols.where(~F.col("is_test")).select("id").join(mine, "id", "left_anti")
+    found = vectors.knn(embedding.join(old, "id"), k, embedding.join(mine, "id")).select(F.col("i").alias("a"), F.col("j").alias("b"), "rank")
+    shaped = attach(found, histogram_map(a.symbols), "id", "m", "n").select("a", "b", "rank", map_cosine(F.col("m_a"), F.col("m_b"), F.col("n_a"), F.col("n_b")).alias("a_cos"))
+    wa, wb = (a.weights.select(F.col("id").alias(end), "term", F.col("w").alias(f"w{end}")) for end in ("a", "b"))
+    words = found.select("a", "b").join(wa, "a").join(wb, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("b_cos"))
+    return shaped.join(words, ["a", "b"], "left").select(F.col("a").alias("id"), F.col("b").alias("near"), "a_cos", F.coalesce("b_cos", F.lit(0.0)).alias("b_cos"), "rank")
 
 
 def prevalence(symbols: DataFrame, docs: DataFrame) -> DataFrame:
@@ -49,8 +54,8 @@ def coupling(a: Analysis) -> tuple[DataFrame, DataFrame] | None:
     return history.coupling_files(txns, tree, anchors), history.coupled_pairs(txns, anchors)
 
 
-def review(spark: SparkSession, root: str, base: str | None = None) -> dict | None:
-    """The report on the checked-out branch; null if there is no branch to review."""
+def review(spark: SparkSession, root: str, base: str | None = None, embedder: Callable[[str], list[float]] | None = hashed_vector) -> dict | None:
+    """The report on the checked-out branch; null if there is no branch to review. Without an embedder nothing is named as nearest."""
     b = git_log.detect_branch(root, base)
     if b is None:
         return None
@@ -58,23 +63,31 @@ def review(spark: SparkSession, root: str, base: str | None = None) -> dict | No
     changed = spark.createDataFrame([(f,) for f in sorted(b.changed_files)], "file string")
     roots = spark.createDataFrame([(r,) for r in sorted(b.base_roots)], "merkle_root bigint")
     new = new_symbols(a.symbols, changed, roots)
-    near = nearest_existing(a, new).join(a.symbols.select(F.col("id").alias("near"), "qname", "file", "line"), "near").orderBy("id", "rank").collect()
+    near = []
+    if embedder is not None:
+        text = F.concat("qname", F.lit("  ("), "file", F.lit(")\n"), "source")
+        v = embed(a.symbols.select("id", text.alias("text"), F.md5(text).alias("doc_key")), spark.createDataFrame([], SCHEMA), embedder).select("id", "v")
+        v = Stage(spark, "review").keep(v, "vectors")
+        near = nearest_existing(a, new, v).join(a.symbols.select(F.col("id").alias("near"), "qname", "file", "line"), "near").orderBy("id", "rank").collect()
     along: dict[str, list] = {}
     pairs = coupling(a)
     if pairs is not None:
         diff = changed.select(F.lit(".").alias("repo"), F.col("file").alias("path"))
-        for r in history.partners(pairs[1], diff).orderBy("file", "rank").collect():
-            along.setdefault(r["file"], []).append({"file": r["partner"], "shared_revs": r["shared"], "confidence": round(r["confidence"], 6)})
-    docs = {r["dir"]: r for r in prevalence(a.symbols, python_code.file_docs(python_code.python_files(spark, root))).collect()}
+        known = pairs[0].where("kind = 'RelativeChurn'").select("repo", F.col("path").alias("file"), "revs")  # files with too little history name no partners
+        for r in history.partners(pairs[1], diff).join(known, ["repo", "file"]).orderBy("file", "rank").collect():
+            along.setdefault(r["file"], []).append({"file": r["partner"], "shared_revs": r["shared"], "file_revs": r["revs"], "confidence": round(r["confidence"], 6)})
+    file_docs = Stage(spark, "review").keep(python_code.file_docs(python_code.python_files(spark, root)), "docs")
+    docs = {r["dir"]: r for r in prevalence(a.symbols, file_docs).collect()}
+    documented = {r["file"] for r in file_docs.join(changed, "file", "left_semi").where("has_docstring").select("file").collect()}
     rows = new.select("id", "qname", "file", "line", "is_test", dir_of(F.col("file")).alias("dir")).orderBy("file", "line").collect()
     return {
-        "schema": "review/1", "branch": b.branch, "base": b.base, "changed_files": sorted(b.changed_files), "changed_symbols": len(rows), "semantic_available": False,
+        "schema": "review/1", "branch": b.branch, "base": b.base, "changed_files": sorted(b.changed_files), "changed_symbols": len(rows), "semantic_available": embedder is not None,
         "also_review": sorted({p["file"] for ps in along.values() for p in ps}),
         "symbols": [
             {
                 "qname": r["qname"], "file": r["file"], "line": r["line"], "dir": r["dir"], "is_test": r["is_test"], "also_review": along.get(r["file"], []),
                 "nearest_existing": [{"qname": x["qname"], "file": x["file"], "line": x["line"], "a_cos": round(x["a_cos"], 6), "b_cos": round(x["b_cos"], 6)} for x in near if x["id"] == r["id"]],
-                "prevalence": {k: docs[r["dir"]][k] for k in ("files", "documented", "symbols")},
+                "prevalence": {"dir": r["dir"], "file_has_docstring": r["file"] in documented, **{k: docs[r["dir"]][k] for k in ("files", "documented", "symbols")}},
             }
             for r in rows
         ],

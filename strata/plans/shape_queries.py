@@ -148,7 +148,7 @@ def cluster_centroid_terms(spark: SparkSession, d: str) -> DataFrame:
 WITH {_CENTROID}, a AS (SELECT max(dating.last_touched) AS anchor FROM sym),
 ds AS (SELECT cluster, bool_and(coalesce(is_test, false)) AS all_test, max(dating.last_touched) AS lt, max(dating.first_seen) AS nb FROM cm JOIN sym USING (id) GROUP BY cluster),
 ck AS (SELECT cluster, CASE WHEN anchor - lt > 180 * 86400 THEN 'dead' WHEN anchor - nb <= 400 * 86400 THEN 'growing' END AS act FROM ds, a WHERE NOT all_test AND lt IS NOT NULL)
-SELECT x.cluster AS dead, y.cluster AS growing, round(sum(x.w * y.w), 9) AS cos FROM ce x JOIN ck p ON p.cluster = x.cluster AND p.act = 'dead'
+SELECT x.cluster AS dead, y.cluster AS growing, round(sum(x.w * y.w), 9) AS cos, (list(x.term ORDER BY round(least(x.w, y.w), 9) DESC, x.term))[1:8] AS terms FROM ce x JOIN ck p ON p.cluster = x.cluster AND p.act = 'dead'
 JOIN ce y ON y.term = x.term JOIN ck q ON q.cluster = y.cluster AND q.act = 'growing' GROUP BY ALL HAVING sum(x.w * y.w) >= 0.10
 """)
 def deprecated_twins(spark: SparkSession, d: str) -> DataFrame:

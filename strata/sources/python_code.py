@@ -2,13 +2,15 @@
 
 The standard library's syntax tree stands for a concrete one: each construct is a named
 node, each keyword or operator a leaf of its own, punctuation and comments leave no node.
-A file with a syntax error gives no symbols.
+A function that does not parse is left out, and so is a broken statement; the rest of the file is read.
 """
 
 from __future__ import annotations
 
 import ast
+import keyword
 import re
+import tokenize
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -71,6 +73,78 @@ class Tree:
         return len(self.labels) - 1
 
 
+def parse(content: bytes) -> ast.Module | None:
+    """The module; what does not parse is replaced by ``pass`` of the same length: the function around an error or before it, whichever lets more be read, a statement outside of any, or the whole top-level block if nothing else helps. Null if that does not either."""
+    lines = content.splitlines(keepends=True)
+    for _ in range(len(lines) + 1):
+        module, at = _try(lines)
+        if module is not None or at is None:
+            return module
+        before = next((k for k in range(at - 1, -1, -1) if lines[k].strip()), at)
+        best = None
+        for block in (_block(lines, at, False), _block(lines, before, False), _block(lines, at, True), _block(lines, before, True)):
+            new = _blanked(lines, block)
+            if new != lines:
+                got, further = _try(new)
+                rank = (len(lines) + 1 if got is not None else -1 if further is None else further, -len(block))
+                if best is None or rank > best[0]:
+                    best = rank, new
+        if best is None:
+            return None
+        lines = best[1]
+    return None
+
+
+def _try(lines: list[bytes]) -> tuple[ast.Module | None, int | None]:
+    """The module, or the line of the first error."""
+    try:
+        return ast.parse(b"".join(lines)), None
+    except SyntaxError as e:
+        return None, min(max(e.lineno or 1, 1), len(lines)) - 1 if lines else None
+    except (ValueError, RecursionError):
+        return None, None
+
+
+_DEF = re.compile(rb"[ \t]*(async[ \t]+)?def\b")
+
+
+def _indent(line: bytes) -> int:
+    return len(line) - len(line.lstrip(b" \t")) if line.strip() else 1 << 30
+
+
+def _block(lines: list[bytes], at: int, whole: bool) -> range:
+    """The innermost function around a line, or the line; with ``whole`` everything from the last line without indent to the next."""
+    first = at
+    if whole:
+        while first and _indent(lines[first]) > 0:
+            first -= 1
+        depth = 0
+    else:
+        depth = _indent(lines[at])
+        up = at
+        while up >= 0 and not (_DEF.match(lines[up]) and (up == at or _indent(lines[up]) < depth)):
+            depth = min(depth, _indent(lines[up]))
+            up -= 1
+        if up < 0:
+            return range(at, at + 1)
+        first, depth = up, _indent(lines[up])
+    last = first + 1
+    while last < len(lines) and (last <= at or _indent(lines[last]) > depth):
+        last += 1
+    return range(first, last)
+
+
+def _blanked(lines: list[bytes], block: range) -> list[bytes]:
+    """The lines with a block blanked; its first line becomes ``pass``, if it is long enough, so that what is around it keeps a body."""
+    out = list(lines)
+    for k in block:
+        body = lines[k].rstrip(b"\r\n")
+        indent = min(_indent(lines[k]), len(body))
+        new = body[:indent] + (b"pass" if k == block[0] and len(body) - indent >= 4 else b"")
+        out[k] = new.ljust(len(body)) + lines[k][len(body) :]
+    return out
+
+
 def imports_of(module: ast.AST, file: str) -> dict[str, tuple[str, str | None]]:
     """Local name -> (module, symbol or None), over the whole file; a later binding replaces an earlier one."""
     out: dict[str, tuple[str, str | None]] = {}
@@ -152,8 +226,10 @@ class Normalizer:
             return outer
         return self.starts[n.lineno - 1] + n.col_offset, self.starts[n.end_lineno - 1] + n.end_col_offset
 
-    def ident(self, name: str, span: tuple[int, int], local: bool = True) -> int:
+    def ident(self, name: str, span: tuple[int, int], local: bool = True, skip: int = 0) -> int:
+        """A name that stands ``skip`` bytes into ``span``."""
         self.vocab.update(subwords(name))
+        span = (span[0] + skip, min(span[1], span[0] + skip + len(name.encode())))
         i = self.names.get(name) if local else None
         return self.tree.add("EXT" if i is None else f"x{i}", [], span)
 
@@ -189,8 +265,8 @@ class Normalizer:
         else:
             if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 parts += [self.build(x, span) for x in n.decorator_list]
-                # A function's own name is no local of it; a nested one's name is.
-                parts.append(self.ident(n.name, span))
+                # A function's own name is no local of it; a nested one's name is. Its keywords are taken to be followed by one blank.
+                parts.append(self.ident(n.name, span, skip=sum(len(k) + 1 for k in KEYWORDS[kind])))
             elif isinstance(n, (ast.ExceptHandler, ast.MatchAs, ast.MatchStar)) and n.name:
                 parts.append(self.ident(n.name, span))
             elif isinstance(n, (ast.Global, ast.Nonlocal)):
@@ -219,6 +295,10 @@ class Normalizer:
             self.calls.add((f.attr, module))
 
 
+# The labels of identifier leaves, a global one or the n-th local of its function.
+IDENTIFIERS = frozenset([hash_text("EXT"), *(hash_text(f"x{i}") for i in range(4096))])
+
+
 def merkle_hashes(t: Tree) -> list[int]:
     out: list[int] = []
     for label, kids in zip(t.labels, t.children, strict=True):
@@ -254,9 +334,8 @@ def is_overload(fn: ast.AST) -> bool:
 
 def symbols_of(file: str, content: bytes, cfg: Config) -> list[dict]:
     """The functions and methods of a file at any depth, in source order; overload stubs are dropped, small ones kept with no prints."""
-    try:
-        module = ast.parse(content)
-    except (SyntaxError, ValueError, RecursionError):
+    module = parse(content)
+    if module is None:
         return []
     starts = [0]
     for line in content.splitlines(keepends=True):
@@ -294,6 +373,102 @@ def symbols_of(file: str, content: bytes, cfg: Config) -> list[dict]:
     return out
 
 
+TOKENS = "file string, s int, toks array<struct<s:int,e:int,kind:string,base:string,module:string>>"
+
+
+def scan_sources(files: DataFrame) -> DataFrame:
+    """(file, s, toks): for each function of (file, content), by the start of its span, what its text shows: tokens with UTF-16 offsets into it.
+
+    kind is kw, str, com, num, def or call, or null for a plain name; base and module say
+    what a name may refer to. Locals, names of definitions, of keyword arguments and of
+    modules refer to nothing. A text that is no UTF-8 has no tokens.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(file, s, toks) for file, content in zip(f["file"], f["content"], strict=True) for s, toks in _viewed(file, bytes(content))]
+            yield pd.DataFrame(rows, columns=["file", "s", "toks"])
+
+    return files.mapInPandas(run, TOKENS)
+
+
+def _viewed(file: str, content: bytes) -> Iterator[tuple[int, list[dict]]]:
+    module = parse(content)
+    if module is None:
+        return
+    imports = imports_of(module, file)
+    starts = [0]
+    for line in content.splitlines(keepends=True):
+        starts.append(starts[-1] + len(line))
+    for fn in ast.walk(module):
+        if isinstance(fn, (ast.FunctionDef, ast.AsyncFunctionDef)) and not is_overload(fn):
+            first = min([fn, *fn.decorator_list], key=lambda x: (x.lineno, x.col_offset))
+            s = starts[first.lineno - 1] + first.col_offset - (1 if first is not fn else 0)
+            try:
+                text = content[s : starts[fn.end_lineno - 1] + fn.end_col_offset].decode()
+            except UnicodeDecodeError:
+                yield s, []
+                continue
+            yield s, view(text, locals_of(fn), imports)
+
+
+def view(text: str, names: dict[str, int], imports: dict[str, tuple[str, str | None]]) -> list[dict]:
+    """The tokens of a function's text; ``names`` are its locals."""
+    lines, at = text.splitlines(keepends=True), [0]
+    for line in lines:
+        at.append(at[-1] + len(line.encode("utf-16-le")) // 2)
+
+    def place(row: int, col: int) -> int:
+        return at[min(row, len(at)) - 1] + (len(lines[row - 1][:col].encode("utf-16-le")) // 2 if row <= len(lines) else 0)
+
+    toks: list[tokenize.TokenInfo] = []
+    try:
+        toks.extend(t for t in tokenize.generate_tokens(iter(lines).__next__) if t.type not in (tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER))
+    except (tokenize.TokenError, SyntaxError, StopIteration):
+        pass  # what was read until then is shown
+    out, depth, importing, quoted = [], 0, -1, []
+    for k, t in enumerate(toks):
+        kind = base = from_module = None
+        before = toks[k - 1].string if k else ""
+        after = toks[k + 1].string if k + 1 < len(toks) else ""
+        name = tokenize.tok_name[t.type]
+        if t.string in "([{" and t.type == tokenize.OP:
+            depth += 1
+        elif t.string in ")]}" and t.type == tokenize.OP:
+            depth -= 1
+        if name == "FSTRING_START":
+            quoted.append(t)
+        if name.startswith("FSTRING") or t.type == tokenize.STRING:
+            kind = "str"
+            if name == "FSTRING_END" and quoted:
+                quoted.pop()
+        elif t.type == tokenize.COMMENT:
+            kind = "com"
+        elif t.type == tokenize.NUMBER:
+            kind = "num"
+        elif t.type == tokenize.NAME and keyword.iskeyword(t.string):
+            kind = "kw"
+            if t.string in ("import", "from") and before not in ("yield", "raise") and importing != t.start[0]:
+                importing = t.start[0]
+        elif t.type == tokenize.NAME:
+            if before in ("def", "class"):
+                kind = "def"
+            elif importing == t.start[0] or (after == "=" and depth > 0 and before in ("(", ",")):
+                continue
+            else:
+                kind = "call" if after == "(" else None
+                if before == ".":
+                    of = imports.get(toks[k - 2].string) if k > 1 and (k < 3 or toks[k - 3].string != ".") and toks[k - 2].string not in names else None
+                    base, from_module = t.string, of[0] if of and of[1] is None else None
+                elif t.string not in names:
+                    module, original = imports.get(t.string, (None, None))
+                    if original or module is None:
+                        base, from_module = original or t.string, module
+        if kind or base:
+            out.append({"s": place(*t.start), "e": place(*t.end), "kind": kind, "base": base, "module": from_module})
+    return out
+
+
 def scan_symbols(files: DataFrame, cfg: Config) -> DataFrame:
     """One row per function of (file, content), also of those below ``min_nodes``, whose prints are empty."""
     columns = ["file", "qname", "line", "last_line", "span", "node_count", "merkle_root", "wl", "minhash", "vocab_tf", "calls", "is_test", "source", "labels", "children", "spans"]
@@ -317,8 +492,6 @@ def file_docs(files: DataFrame) -> DataFrame:
 
 
 def has_docstring(content: bytes) -> bool:
-    try:
-        body = ast.parse(content).body
-    except (SyntaxError, ValueError):
-        return False
+    module = parse(content)
+    body = module.body if module else []
     return bool(body) and isinstance(body[0], ast.Expr) and isinstance(body[0].value, ast.Constant) and isinstance(body[0].value.value, str)

@@ -6,7 +6,7 @@ import subprocess
 import pytest
 
 from strata.config import Config
-from strata.operators.align import Side, align
+from strata.operators.align import STATEMENTS, Side, align
 from strata.sources import git_log, python_code
 from strata.sources.python_code import Tree, signed, symbols_of
 
@@ -71,6 +71,61 @@ def test_overloads_are_dropped():
     assert symbols_of("a.py", b"def f(:", Config()) == []
 
 
+BROKEN = b'''import os
+
+def good(a):
+    return os.path.join(a, "x")
+
+def bad(a):
+    return (a +
+
+class C:
+    def one(self):
+        return self.x
+
+    def two(self
+        return 2
+
+    def three(self):
+        return "\xc3\xa9"
+
+print "old"
+
+def last(q):
+    return q
+'''
+
+
+def test_a_broken_function_does_not_take_its_file_along():
+    got = {s["qname"]: s for s in symbols_of("a.py", BROKEN, Config(min_nodes=1))}
+    assert set(got) == {"good", "C.one", "C.three", "last"}
+    assert got["last"]["line"] == 21 and got["C.three"]["source"].startswith("def three") and got["good"]["calls"]
+    assert symbols_of("a.py", b"\x00", Config()) == [] and symbols_of("a.py", b"", Config()) == []
+
+
+VIEWED = '''from pkg.core import load_rows
+import json as j
+
+def run_all(paths, parse_row):
+    """Doc."""
+    data = []  # héllo
+    for p in paths:
+        data.append(load_rows(p, limit=3))
+    return j.dumps(parse_row(data)), transform(f"é {data} ünï"), None
+'''
+
+
+def test_view():
+    ((s, toks),) = python_code._viewed("pkg/use.py", VIEWED.encode())
+    text = VIEWED[s:].rstrip("\n")
+    units = text.encode("utf-16-le")
+    seen = [(units[2 * t["s"] : 2 * t["e"]].decode("utf-16-le"), t["kind"], t["base"], t["module"]) for t in toks]
+    assert ("run_all", "def", None, None) in seen and ("for", "kw", None, None) in seen and ("None", "kw", None, None) in seen and ("3", "num", None, None) in seen
+    assert ("load_rows", "call", "load_rows", "pkg.core") in seen and ("dumps", "call", "dumps", "json") in seen and ("transform", "call", "transform", None) in seen
+    assert ("# héllo", "com", None, None) in seen and any(k == "str" and "ünï" in x for x, k, _, _ in seen)
+    assert not any(b in ("p", "data", "limit", "parse_row", "j") for _, _, b, _ in seen)
+
+
 def test_calls_and_vocabulary():
     run = names(CALLER)["Box.run"]
     assert run["calls"] == [{"base": "Box", "module": None}, {"base": "dumps", "module": "json"}, {"base": "go", "module": "pkg.sib"}, {"base": "helper", "module": "pkg.util"}]
@@ -83,14 +138,32 @@ def test_span_covers_decorators():
     assert s["source"].startswith("@deco") and s["line"] == 2
 
 
-def test_alignment():
-    def side(src, name):
-        s = names(src)[name]
-        t = Tree([x & (2**64 - 1) for x in s["labels"]], s["children"], [(x["s"], x["e"]) for x in s["spans"]])
-        from strata.sources.python_code import KEYWORDS, hash_text
+def side(src, name):
+    s = names(src)[name]
+    t = Tree([x & (2**64 - 1) for x in s["labels"]], s["children"], [(x["s"], x["e"]) for x in s["spans"]])
+    return Side(t, s["source"], s["span"]["s"], STATEMENTS)
 
-        return Side(t, s["source"], s["span"]["s"], {hash_text(k) for k in KEYWORDS if k[0].isupper()} | {hash_text("Expr")})
 
+ONE = '''
+def f(alpha, beta):
+    first_total = compute_sum(alpha, beta, alpha)
+    log_value("other words here", first_total)
+    return publish(first_total)
+'''
+
+
+def test_alignment_of_statements():
+    """Pairs are chosen by similarity first; what is no evidence is dropped after that, and equal statements of 8 nodes are an anchor."""
+    other = ONE.replace("publish(first_total)", "render(first_total, alpha)").replace("def f(", "def g(")
+    a, b = side(ONE, "f"), side(other, "g")
+    texts = [(x, ONE.encode()[x[0] : x[1]].decode(), tier) for x, _, tier in align(a, b, 0.1)]
+    assert any("compute_sum" in t and tier == 1 for _, t, tier in texts)  # kept although the shapes are unlike, as it anchors
+    assert a.distinctive(len(a.t.labels) - 1) == {"alpha", "beta", "first_total", "compute_sum", "log_value", "publish"}
+    spans = sorted(x for x, _, _ in texts)
+    assert all(p[1] <= q[0] for p, q in zip(spans, spans[1:]))
+
+
+def test_alignment():
     same = align(side(CLONE, "load_rows"), side(CLONE, "load_rows"), 1.0)
     assert len(same) == 1 and same[0][2] == 1
     changed = align(side(CLONE, "load_rows"), side(CLONE.replace("continue", "break"), "load_rows"), 0.9)
@@ -142,7 +215,7 @@ def test_history(spark, repo):
 def test_scan_find_review(spark, repo, tmp_path):
     from strata.plans import find, report, review
     from strata.plans.analysis import analyze
-    from strata.plans.explain import resolve_name
+    from strata.plans.explain import ambiguous, resolve_name
     from strata.plans.explore import Explorer
 
     a = analyze(spark, repo, Config(min_nodes=8))
@@ -154,7 +227,8 @@ def test_scan_find_review(spark, repo, tmp_path):
     one = resolve_name(a.symbols, "run").collect()
     assert len(one) == 1
     card = report.card(a, a.symbols.where(f"id = {one[0]['id']}").first())
-    assert any("Box.__init__" in c for c in card["callees"]) and "facts" in report.card_text(card)
+    assert any("Box.__init__" in c for c in card["callees"]) and "facts" in report.card_text(card) and "role twins" in report.card_text(card)
+    assert ambiguous(a.symbols, [0, 1], 15).endswith("+13 more")
     cache = str(tmp_path / "cache")
     hits = find.search(spark, repo, "load rows from a path", 2, cache_path=cache)
     assert hits[0]["qname"] == "load_rows" and hits == find.search(spark, repo, "load rows from a path", 2, cache_path=cache)
@@ -163,7 +237,17 @@ def test_scan_find_review(spark, repo, tmp_path):
     rv = review.review(spark, repo)
     assert {s["qname"] for s in rv["symbols"]} == {"read_items", "untracked"}
     v = find.embed(a.symbols.selectExpr("id", "qname AS text", "qname AS doc_key"), spark.createDataFrame([], find.SCHEMA), find.hashed_vector).select("id", "v")
-    x = Explorer(a, v)
+    assert rv["semantic_available"] and rv["symbols"][0]["nearest_existing"][0]["qname"] == "load_rows"
+    x = Explorer(a, v, files=python_code.python_files(spark, repo), branch=b)
+    ids = {r["qname"]: r["id"] for r in x.rows}
+    status, both = x.respond("GET", f"/api/compare?id={ids['load_rows']}&b={ids['read_items']}")
+    assert status == 200 and both["regions"] and both["a"]["toks"] and x.respond("GET", f"/api/compare?id={ids['load_rows']}")[0] == 200
+    assert x.respond("GET", "/api/compare?id=0&b=99")[0] == 404 and x.respond("GET", "/api/compare?id=a")[0] == 400
+    sub = x.respond("GET", "/api/sublayout?path=pkg")[1]
+    assert sub["kind"] == "dir" and len(sub["ids"]) == a.n and x.respond("GET", "/api/sublayout?path=nope")[0] == 404 and x.respond("GET", "/api/sublayout?path=pkg/b.py")[1]["kind"] == "file"
+    assert x.respond("GET", "/")[0] == 200 and x.respond("GET", "/favicon.ico")[0] == 204
+    assert {r["qname"] for r in x.rows if r["branch_new"]} == {s["qname"] for s in rv["symbols"]}
+    assert x.respond("GET", f"/api/explain?id={ids['read_items']}")[1]["nearest_existing"] is not None
     assert x.respond("POST", "/api/meta")[0] == 405 and x.respond("GET", "/api/edge?a=1")[0] == 400 and x.respond("GET", "/api/anchor?id=999")[0] == 404
     assert x.respond("GET", "/api/anchor?id=0")[1]["b_cos"][0] == 1.0 and len(x.respond("GET", "/api/symbols")[1]) == a.n
     assert signed(2**64 - 1) == -1
