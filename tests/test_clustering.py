@@ -107,3 +107,98 @@ def test_families(spark):
         assert len(core) == 1 and len({tight_ids.get(r["id"], r["id"]) for r in members}) > 1
     assert len({r["id"] for r in rows}) == len(rows)
     assert clustering.family_summary(f, s).where(F.col("members") < 2).count() == 0
+
+
+def _unit_cos(a, b):
+    dot = sum(w * b.get(k, 0.0) for k, w in a.items())
+    size = lambda v: sum(w * w for w in v.values()) ** 0.5
+    return dot / (size(a) * size(b)) if a and b else 0.0
+
+
+def test_competing_groups_against_a_plain_merge(spark):
+    """All pairs in one list, merged one after the other, without components."""
+    from strata.plans import catalog, shape_queries
+    from tests.conftest import DATA
+
+    got = {r["cluster"]: r for r in catalog.QUERIES["competing_groups"](spark, DATA).collect()}
+    stages, weights, _ = shape_queries._stages(spark, DATA)
+    pairs = [(r["cos"], r["a"], r["b"], r["a_cos"]) for r in stages["kept"].collect()]
+    vec = {}
+    for r in weights.collect():
+        vec.setdefault(r["id"], {})[r["term"]] = r["w"]
+    groups = {i: {"members": {i}, "rep": i} for p in pairs for i in p[1:3]}
+    home = {i: i for i in groups}
+    for _, a, b, _ in sorted(pairs, key=lambda p: (-p[0], p[1], p[2])):
+        x, y = groups[home[a]], groups[home[b]]
+        if x is y or _unit_cos(vec[x["rep"]], vec[y["rep"]]) < 0.8 * 0.55:
+            continue
+        rep = x["rep"] if len(x["members"]) >= len(y["members"]) else y["rep"]
+        x["members"] |= y["members"]
+        x["rep"] = rep
+        for i in y["members"]:
+            home[i] = home[a]
+    want = {min(groups[h]["members"]): groups[h]["members"] for h in set(home.values()) if len(groups[h]["members"]) > 1}
+    assert {c: set(r["members"]) for c, r in got.items()} == want and want
+    for c, r in got.items():
+        cos, _, _, a_cos = max(((p[0], p[1], p[2], p[3]) for p in pairs if {p[1], p[2]} <= want[c]), key=lambda p: (p[0], p[1], p[2]))
+        assert abs(r["b_max"] - cos) < 1e-8 and abs(r["a_at_best"] - a_cos) < 1e-8 and 0 < len(r["terms"]) <= 8
+
+
+def test_families_against_a_plain_agglomeration(spark):
+    """Average linkage recomputed from all pairs of members after every merge."""
+    from strata.operators.similarity import term_counts, tfidf
+
+    made = _made(5, 36)
+    s = _symbols(spark, made)
+    w = tfidf(term_counts(s, "id", "vocab_tf"), len(made))
+    tight = clustering.shape_clusters(s, Config(theta_clone=0.8))
+    cfg = Config(theta_family=0.3, theta_b_family=0.1)
+    got = clustering.families(s, tight, w, cfg).collect()
+    shape = {r[0]: {e["label"]: e["w"] for e in r[6]} for r in made}
+    words = {}
+    for r in w.collect():
+        words.setdefault(r["id"], {})[r["term"]] = r["w"]
+    of = {r["id"]: r["cluster"] for r in tight.collect()}
+    units = {}
+    for i in shape:
+        u = units.setdefault(of.get(i, i), {"a": [], "b": [], "core": i in of, "parts": {}})
+        u["a"].append(i)
+        u["b"].append(i)
+        u["parts"].setdefault(of.get(i, i), []).append(i)
+
+    def mean(x, y, vec, side):
+        return sum(_unit_cos(vec[i], vec[j]) for i in x[side] for j in y[side]) / (len(x[side]) * len(y[side]))
+
+    while True:
+        best = max(((round(m, 12), -i, -j) for i in units for j in units if i < j and (units[i]["core"] or units[j]["core"]) and (m := mean(units[i], units[j], shape, "a")) >= cfg.theta_family and mean(units[i], units[j], words, "b") >= cfg.theta_b_family), default=None)
+        if best is None:
+            break
+        i, j = -best[1], -best[2]
+        x, y = units[i], units.pop(j)
+        x["a"] += y["a"]
+        x["b"] = x["b"] + y["b"] if x["core"] and y["core"] else x["b"] if x["core"] else y["b"]
+        x["core"] = True
+        x["parts"] |= y["parts"]
+    want = {i: u for i, u in units.items() if u["core"] and len(u["parts"]) > 1}
+    assert {(r["family"], r["id"]) for r in got} == {(i, k) for i, u in want.items() for k in u["a"]} and want
+    for f, u in want.items():
+        sizes = sorted((len(p) for k, p in u["parts"].items() if k in of.values()), reverse=True)
+        core = {r["id"] for r in got if r["family"] == f and r["is_core"]}
+        assert len(core) == sizes[0] and core in [set(p) for p in u["parts"].values()]
+
+
+def test_dense_ids_of_wide_rows(spark):
+    """Rows wide enough that partitions are coalesced differently from those of the order columns alone."""
+    from strata.operators.ids import dense_ids, rank_within
+    from strata.runtime import Stage
+
+    rows = spark.range(60_000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("g"), F.array_repeat(F.md5(F.col("id").cast("string")), 40).alias("wide"))
+    rows = Stage(spark, "wide").keep(rows.repartition(16), "rows")
+    n = dense_ids(rows, "g", "k", name="n")
+    got = n.agg(F.count("*").alias("c"), F.count_distinct("n").alias("d"), F.min("n").alias("a"), F.max("n").alias("b")).first()
+    assert tuple(got) == (60_000, 60_000, 0, 59_999)
+    first = n.where("n IN (0, 1, 59999)").orderBy("n").select("g", "k").collect()
+    assert [tuple(r) for r in first] == [(0, 0), (0, 7), (6, 59_996 - 59_996 % 7 + 6 if 59_996 % 7 >= 6 else 59_996 - 59_996 % 7 - 1)]
+    ranks = rank_within(rows, ["g"], "k", name="r").groupBy("g").agg(F.max("r").alias("m"), F.count_distinct("r").alias("d")).collect()
+    assert all(r["m"] == r["d"] for r in ranks) and sum(r["m"] for r in ranks) == 60_000
+    assert dense_ids(rows.limit(0), "g", "k").collect() == []
