@@ -17,7 +17,8 @@ from strata.functions.dates import classify
 from strata.functions.text import base_name, is_dunder
 from strata.operators.components import components
 from strata.runtime import Stage
-from strata.operators.similarity import attach, histogram_map, label_weights, map_cosine, near_pairs, prefix_join, similar_pairs, top_shared, shared_terms, vocabulary_quality
+from strata.operators.postings import label_vectors
+from strata.operators.similarity import attach, label_weights, near_pairs, pair_cosines, prefix_join, similar_pairs, top_shared, shared_terms, vocabulary_quality
 
 
 def _cos(a: dict, b: dict) -> float:
@@ -102,8 +103,7 @@ def shape_clusters(symbols: DataFrame, cfg: Config = Config()) -> DataFrame:
     representatives' cosine reaches four fifths of the bound.
     """
     pairs = Stage(symbols.sparkSession, "shapes").keep(near_pairs(symbols, cfg.theta_clone).withColumnRenamed("cos", "score"), "pairs")
-    lw = label_weights(symbols)
-    vec = lw.groupBy("id").agg(F.collect_list("label").alias("k"), F.collect_list("w").alias("w"))
+    vec = label_vectors(symbols).select("id", F.col("labels").alias("k"), F.col("ws").alias("w"))
     return _merged(pairs, exact_groups(symbols), vec, REP_RELAX * cfg.theta_clone).select("id", "cluster").withColumn("n", F.count("*").over(Window.partitionBy("cluster"))).where("n > 1").drop("n")
 
 
@@ -169,13 +169,8 @@ def competing_pairs(symbols: DataFrame, weights: DataFrame, n: int, related: Dat
     stage = Stage(symbols.sparkSession, "pairs")
     pairs = stage.keep(similar_pairs(weights, n, cfg.theta_b), "vocab")
     apart = f"NOT is_test_a AND NOT is_test_b AND file_a <> file_b AND terms_a >= {MIN_TERMS} AND terms_b >= {MIN_TERMS}"
-    cross = attach(pairs, info, "id", "file", "is_test", "terms").where(apart).select("a", "b", "cos")
-    hist = histogram_map(symbols)
-    shaped = cross
-    for end in ("a", "b"):
-        shaped = shaped.join(hist.select(F.col("id").alias(end), F.col("m").alias(f"m_{end}"), F.col("n").alias(f"n_{end}")), end, "left")
-    a_cos = F.when(F.col("m_a").isNull() | F.col("m_b").isNull(), 0.0).otherwise(map_cosine(F.col("m_a"), F.col("m_b"), F.col("n_a"), F.col("n_b")))
-    cross = stage.keep(shaped.select("a", "b", "cos", a_cos.alias("a_cos")), "cross")
+    cross = attach(pairs, info, "id", "file", "is_test", "terms").where(apart).select("a", "b", F.col("cos").alias("cos0"))
+    cross = stage.keep(pair_cosines(cross, label_vectors(symbols), "cos0").withColumnsRenamed({"cos": "a_cos", "cos0": "cos"}), "cross")
     good = vocabulary_quality(cross.where(F.col("a_cos") <= cfg.theta_a_low), weights).select("a", "b", "n_shared", "share")
     out = pairs.join(cross.select("a", "b", "a_cos"), ["a", "b"], "left").join(good, ["a", "b"], "left").join(related.select("a", "b", F.lit(True).alias("called")), ["a", "b"], "left")
     passed = F.when(F.col("a_cos").isNull(), 1).when(F.col("a_cos") > cfg.theta_a_low, 2).when(F.col("share").isNull(), 3).when(F.col("called"), 4).otherwise(5)

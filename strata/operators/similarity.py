@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.config import BUCKET_CAP, LOW_SIGNAL_TERMS, LSH_ROWS, MIN_SHARED_MASS, MIN_SHARED_TERMS, SIZE_RATIO
-from strata.operators.postings import cosine_kernel, meet, rare_first
+from strata.operators.postings import cosine_kernel, label_vectors, meet, rare_first
 from strata.runtime import Stage
 
 
@@ -96,14 +102,49 @@ def map_cosine(ma: Column, mb: Column, na: Column, nb: Column) -> Column:
     return F.when((na > 0) & (nb > 0), d / F.sqrt(na * nb)).otherwise(0.0)
 
 
+def pair_cosines(pairs: DataFrame, vectors: DataFrame, *kept: str) -> DataFrame:
+    """(a, b, kept columns, cos) of pairs (a, b, ...) and the sparse vectors (id, labels, ws, n) of ``label_vectors``; 0 where an end has none. Whole batches of pairs are looked up at once."""
+    types = dict(pairs.dtypes)
+    for end in ("a", "b"):
+        pairs = pairs.join(vectors.select(F.col("id").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("labels", "ws", "n"))), end, "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                b = batch.slice(at, 4096)
+                label, w, row = {}, {}, {}
+                for end in ("a", "b"):
+                    lists, weights = b.column(f"labels_{end}"), b.column(f"ws_{end}")
+                    row[end] = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+                    label[end], w[end] = lists.flatten().to_numpy(zero_copy_only=False), weights.flatten().to_numpy(zero_copy_only=False)
+                every, code = np.unique(np.r_[label["a"], label["b"]], return_inverse=True)
+                keys = {end: row[end] * (len(every) + 1) + c for end, c in zip("ab", np.split(code, [len(label["a"])]), strict=True)}
+                place = np.minimum(np.searchsorted(keys["b"], keys["a"]), max(len(keys["b"]) - 1, 0))
+                hit = keys["b"][place] == keys["a"] if len(keys["b"]) else np.zeros(len(keys["a"]), bool)
+                dot = np.bincount(row["a"][hit], w["a"][hit] * w["b"][place[hit]], b.num_rows)
+                n = [pc.fill_null(b.column(f"n_{end}"), 1.0).to_numpy(zero_copy_only=False) for end in ("a", "b")]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", *kept)), pa.array(dot / np.sqrt(n[0] * n[1]))], names=["a", "b", *kept, "cos"])
+
+    return pairs.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in ("a", "b", *kept)) + ", cos double")
+
+
 def minhash(rows: DataFrame, id_col: str, tokens: str, functions: int) -> DataFrame:
-    """(id, seed, h): for each seed the least of the 60-bit md5 hashes of ``seed|token``, found within the row. Null and empty token arrays give no rows."""
-    def least(seed: Column) -> Column:
-        h = F.transform("t", lambda t: F.conv(F.substring(F.md5(F.concat(seed.cast("string"), F.lit("|"), t)), 1, 15), 16, 10).cast("bigint"))
-        return F.array_min(h)
+    """(id, seed, h): for each seed the least of the 60-bit md5 hashes of ``seed|token``, found within the row; each distinct token of a batch is hashed once. Null and empty token arrays give no rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("t")
+            coded = lists.flatten().dictionary_encode()
+            if not len(coded):
+                continue
+            names = [t.encode() for t in coded.dictionary.to_pylist()]
+            h = np.array([[int(hashlib.md5(b"%d|%s" % (k, t)).hexdigest()[:15], 16) for k in range(functions)] for t in names], np.int64)
+            least = np.minimum.reduceat(h[coded.indices.to_numpy()], (lists.offsets.to_numpy() - lists.offsets[0].as_py())[:-1], axis=0)
+            ids = batch.column("id").take(pa.array(np.repeat(np.arange(len(lists)), functions)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.tile(np.arange(functions, dtype=np.int32), len(lists))), pa.array(least.ravel())], names=["id", "seed", "h"])
 
-    flat = rows.select(F.col(id_col).alias("id"), F.array_distinct(F.filter(tokens, lambda t: t.isNotNull())).alias("t")).where(F.size("t") > 0)
-    return flat.select("id", F.posexplode(F.array(*(least(F.lit(k)) for k in range(functions)))).alias("seed", "h"))
+    flat = rows.select(F.col(id_col).alias("id"), F.filter(tokens, lambda t: t.isNotNull()).alias("t")).where(F.size("t") > 0)
+    return flat.mapInArrow(run, f"id {dict(rows.dtypes)[id_col]}, seed int, h bigint")
 
 
 def lsh_bands(rows: DataFrame, id_col: str, signature: str, rows_per_band: int = LSH_ROWS) -> DataFrame:
@@ -144,8 +185,7 @@ def near_pairs(symbols: DataFrame, theta: float, cap: int = BUCKET_CAP) -> DataF
     """(a, b, cos) of symbols: LSH candidates of like size, not nested, with a cosine of at least theta."""
     cand = lsh_candidates(lsh_bands(symbols.where("minhash IS NOT NULL"), "id", "minhash"), cap)
     cand = attach(cand, symbols, "id", "node_count", "file", "span").where(comparable(F.col("node_count_a"), F.col("node_count_b")) & ~nested(F.col("file_a"), F.col("file_b"), F.col("span_a"), F.col("span_b")))
-    scored = attach(cand.select("a", "b"), histogram_map(symbols), "id", "m", "n")
-    return scored.select("a", "b", map_cosine(F.col("m_a"), F.col("m_b"), F.col("n_a"), F.col("n_b")).alias("cos")).where(F.col("cos") >= theta - 1e-12)
+    return pair_cosines(cand.select("a", "b"), label_vectors(symbols)).where(F.col("cos") >= theta - 1e-12)
 
 
 def near_pairs_exact(symbols: DataFrame, theta: float) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,10 +68,24 @@ def mutual_adjacency(neighbours: DataFrame) -> DataFrame:
 
 
 def group_sums(vectors: DataFrame, group: str) -> DataFrame:
-    """(group, n, s): each group's size and the sum of its vectors."""
-    flat = vectors.select(group, F.posexplode("v").alias("d", "x"))
-    sums = flat.groupBy(group, "d").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
-    return sums.groupBy(group).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda e: e["x"]).alias("s"))
+    """(group, n, s): each group's size and the sum of its vectors; a batch of rows sends one sum for each of its groups."""
+    kind = dict(vectors.dtypes)[group]
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                coded = b.column(0).dictionary_encode("encode")
+                code = coded.indices.to_numpy()
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                order = np.argsort(code, kind="stable")
+                starts = np.flatnonzero(np.r_[True, np.diff(code[order]) > 0])
+                total = np.add.reduceat(x[order], starts)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * x.shape[1]), pa.array(total.ravel()))
+                yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(np.bincount(code)), lists], names=[group, "n", "s"])
+
+    parts = vectors.select(group, "v").mapInArrow(part, f"{group} {kind}, n bigint, s array<double>")
+    flat = parts.select(group, "n", F.posexplode("s").alias("d", "x")).groupBy(group, "d").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    return flat.groupBy(group).agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda e: e["x"]).alias("s"))
 
 
 def group_cohesion(vectors: DataFrame, group: str) -> DataFrame:
@@ -79,8 +94,15 @@ def group_cohesion(vectors: DataFrame, group: str) -> DataFrame:
     The sum of a unit vector's cosines to its group is its dot product with the group's
     sum, so no pair is enumerated.
     """
-    sums = group_sums(vectors, group)
-    member = vectors.join(sums, group).select(group, "id", "n", (dot(F.col("v"), F.col("s")) - dot(F.col("v"), F.col("v"))).alias("c"))
+    types = dict(vectors.dtypes)
+    joined = vectors.join(group_sums(vectors, group), group).select(group, "id", "n", "v", "s")
+
+    def dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v, s = (b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 1)) for c in ("v", "s"))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (group, "id", "n")), pa.array((v * (s - v)).sum(1))], names=[group, "id", "n", "c"])
+
+    member = joined.mapInArrow(dots, f"{group} {types[group]}, id {types['id']}, n bigint, c double")
     best = F.max_by("id", F.struct(F.round("c", 9), -F.col("id")))
     return member.groupBy(group).agg(F.max("n").alias("n"), F.sum("c").alias("t"), best.alias("medoid")).select(group, "n", F.when(F.col("n") > 1, F.col("t") / (F.col("n") * (F.col("n") - 1))).otherwise(1.0).alias("tightness"), "medoid")
 

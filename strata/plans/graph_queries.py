@@ -10,7 +10,8 @@ from strata.functions.paths import dir_of
 from strata.functions.text import base_name
 from strata.operators import align, graph
 from strata.operators.ids import dense_ids
-from strata.operators.similarity import attach, histogram_map, map_cosine
+from strata.operators.postings import label_vectors
+from strata.operators.similarity import pair_cosines
 from strata.plans.inputs import SYM, symbols
 from strata.plans.registry import query
 from strata.plans.shape_queries import _CALLS
@@ -202,5 +203,5 @@ def stmt_align(spark: SparkSession, d: str) -> DataFrame:
     """Which parts of neighbouring functions of a source document correspond; known cases are checked in the tests."""
     s = Stage(spark, "align").keep(_source_symbols(spark, d), "symbols")
     pairs = s.select(F.col("id").alias("a"), "doc_id", (F.col("id") + 1).alias("b")).join(s.select(F.col("id").alias("b"), F.col("doc_id").alias("same")), "b").where("doc_id = same").select("a", "b")
-    scored = attach(pairs, histogram_map(s), "id", "m", "n").select("a", "b", map_cosine(F.col("m_a"), F.col("m_b"), F.col("n_a"), F.col("n_b")).alias("cos"))
+    scored = pair_cosines(pairs, label_vectors(s))
     return align.align_pairs(align.sides(scored, s))

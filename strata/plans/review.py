@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from strata.config import Config
 from strata.functions.paths import dir_of
 from strata.operators import history, vectors
-from strata.operators.similarity import attach, histogram_map, map_cosine
+from strata.operators.postings import label_vectors
+from strata.operators.similarity import pair_cosines
 from strata.plans.analysis import Analysis, analyze
 from strata.plans.find import SCHEMA, embed, hashed_vector
 from strata.runtime import Stage
@@ -30,7 +31,7 @@ def nearest_existing(a: Analysis, new: DataFrame, embedding: DataFrame, k: int =
     mine = new.select("id")
     old = a.symbols.where(~F.col("is_test")).select("id").join(mine, "id", "left_anti")
     found = vectors.knn(embedding.join(old, "id"), k, embedding.join(mine, "id")).select(F.col("i").alias("a"), F.col("j").alias("b"), "rank")
-    shaped = attach(found, histogram_map(a.symbols), "id", "m", "n").select("a", "b", "rank", map_cosine(F.col("m_a"), F.col("m_b"), F.col("n_a"), F.col("n_b")).alias("a_cos"))
+    shaped = pair_cosines(found, label_vectors(a.symbols), "rank").withColumnRenamed("cos", "a_cos")
     wa, wb = (a.weights.select(F.col("id").alias(end), "term", F.col("w").alias(f"w{end}")) for end in ("a", "b"))
     words = found.select("a", "b").join(wa, "a").join(wb, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("b_cos"))
     return shaped.join(words, ["a", "b"], "left").select(F.col("a").alias("id"), F.col("b").alias("near"), "a_cos", F.coalesce("b_cos", F.lit(0.0)).alias("b_cos"), "rank")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strata.config import Config
@@ -11,7 +12,11 @@ from strata.operators.components import components
 from strata.operators.similarity import prefix_join
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components(spark, monkeypatch, few):
+    from strata.operators import components as module
+
+    monkeypatch.setattr(module, "FEW", few)
     rng = random.Random(5)
     links = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(1, None), (None, 2), (7, 7)]
     got = {r["id"]: r["root"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
