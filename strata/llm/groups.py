@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -98,23 +97,6 @@ def _collapse(edges: DataFrame, stage: Stage) -> DataFrame:
             return parent
 
 
-def local_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every end of the links and the smallest id it is linked to by these links: roots hook to smaller roots, paths are halved, until none is left."""
-    ids, at = np.unique(np.r_[a, b], return_inverse=True)
-    i, j = at[: len(a)], at[len(a) :]
-    root = np.arange(len(ids))
-    while len(i):
-        x, y = root[i], root[j]
-        apart = x != y
-        i, j, x, y = i[apart], j[apart], x[apart], y[apart]
-        up = np.arange(len(ids))
-        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
-        while not np.array_equal(up, up[up]):
-            up = up[up]
-        root = up[root]
-    return ids, ids[root]
-
-
 def match_groups(uf_parent: DataFrame, repeated_clusters: DataFrame) -> DataFrame:
     """Groups over parent entries (id, parent) and member lists (members), as (sym_id, group_id)."""
     links = uf_parent.select(F.col("id").alias("a"), F.col("parent").alias("b")).unionByName(list_links(repeated_clusters, "members"))

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from strata.llm.groups import group_links, local_stars
+from strata.llm.groups import group_links
+from strata.operators.components import local_stars
 from strata.operators.postings import SHORT, cosine_kernel, label_vectors, meet, rare_first
 from strata.runtime import Stage
 
