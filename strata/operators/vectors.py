@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions.vectors import dot, l2_normalize
+from strata.operators import lists
+from strata.runtime import Stage
 
 BLOCK = 2048
 
@@ -58,6 +60,32 @@ def knn(vectors: DataFrame, k: int, queries: DataFrame | None = None) -> DataFra
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("i", "j", "rank", "cos")
 
 
+def knn_lists(vectors: DataFrame, k: int, stored: int = lists.STORED, probed: int = 2 * lists.PROBED) -> DataFrame:
+    """(i, j, rank, cos): ``knn`` of unit vectors over inverted lists, for collections whose blocks cannot all meet.
+
+    What is compared grows with n^1.5 and each vector is sent to a fixed number of lists;
+    neighbours that meet in none of them are missed. Cosines are rounded to 9 decimals, ties go to the smaller id.
+    """
+    stage = Stage(vectors.sparkSession, "knn")
+    some = stage.keep(vectors.select("id", "v"), "vectors")
+
+    def kernel(v: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        s = np.round(v[a] @ v[b].T, 9)
+        s[a[:, None] == b[None]] = -np.inf
+        # Each row and each column keeps its best, with their ties.
+        m, w = min(k, len(b)), min(k, len(a))
+        row = -np.partition(-s, m - 1, axis=1)[:, m - 1 : m]
+        column = -np.partition(-s, w - 1, axis=0)[w - 1 : w]
+        keep = ((s >= row) | (s >= column)) & np.isfinite(s)
+        i, j = np.nonzero(keep)
+        return a[i], b[j], s[i, j]
+
+    met = lists.meet_lists(stage.keep(lists.listed(some, lists.Centres(*lists.sample(some)), probed), "listed"), kernel, stored, k)
+    found = met.groupBy(F.col("q").alias("i"), F.col("p").alias("j")).agg(F.max("cos").alias("cos"))
+    w = Window.partitionBy("i").orderBy(F.desc("cos"), "j")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("i", "j", "rank", "cos")
+
+
 def mutual_adjacency(neighbours: DataFrame) -> DataFrame:
     """(i, j, w): mutual neighbours with weight max(cos, 0)^2; a node without any keeps its nearest, in both directions."""
     w = F.pow(F.greatest("cos", F.lit(0.0)), F.lit(2.0)).alias("w")

@@ -36,6 +36,12 @@ def knn_graph(spark: SparkSession, d: str) -> DataFrame:
     return vectors.knn(unit(spark, d), KNN).withColumn("cos", F.round("cos", 6))
 
 
+@query()
+def knn_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The neighbours of ``knn_graph`` over inverted lists; the tests measure the recall against all pairs."""
+    return vectors.knn_lists(unit(spark, d), KNN).withColumn("cos", F.round("cos", 6))
+
+
 @query(f"""
 WITH {_SIM}, mu AS (SELECT x.i, x.j, pow(greatest(x.cos, 0), 2) AS w FROM kn x JOIN kn y ON y.i = x.j AND y.j = x.i),
 lo AS (SELECT i, j, pow(greatest(cos, 0), 2) AS w FROM kn WHERE rank = 1 AND i NOT IN (SELECT i FROM mu))

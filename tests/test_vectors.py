@@ -67,3 +67,19 @@ def test_labels(spark):
     r = vectors.labels_by_dir(p, "g").collect()
     assert len(r) == 1 and r[0]["count"] == 4 and abs(r[0]["r"] - 0.1) < 1e-9
     assert vectors.labels_by_dir(p.where(F.lit(False)), "g").collect() == []
+
+
+def test_neighbours_over_lists(spark):
+    """Of the true neighbours at least nine in ten are found, and what is found is ranked as over all pairs."""
+    from pyspark.sql import functions as F
+
+    from strata.operators import vectors
+    from strata.plans import vector_queries
+
+    v = vector_queries.unit(spark, "/root/testdata/sf0.01")
+    exact = vectors.knn(v, 8)
+    near = vectors.knn_lists(v, 8)
+    n = exact.count()
+    assert exact.join(near, ["i", "j"]).count() >= 0.9 * n and near.count() <= n
+    assert near.join(exact.withColumnRenamed("cos", "c"), ["i", "j"]).where(F.abs(F.col("cos") - F.col("c")) > 1e-8).count() == 0
+    assert vectors.knn_lists(v.limit(0), 8).collect() == []
