@@ -2,25 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.operators.lists import PROBED, STORED, Centres, listed, meet_lists, sample
 from strata.operators.postings import fingerprint
 from strata.runtime import Stage
 
-FIT_ROWS = 65536
-"""Vectors, the first by hash of their id, on which the list centres are fitted, or four for each list if that is more; all vectors are indexed."""
-LISTS = 8
-"""Lists for each root of the number of vectors."""
-TOPS = 8
-"""Upper centres under which a vector's lists are looked for."""
-STORED, PROBED = 2, 8
-"""Lists a vector stands in, and lists it is compared with."""
-BLOCK_ROWS = 4096
 SCAN_COLUMNS = 16
 EPS = 2.1
 """How far an estimate may exceed the bound: after 16 of 64 columns 2.3 times, after 32 1.9 times, after 48 1.7 times."""
@@ -32,18 +21,6 @@ def rotation(dim: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def fit_centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
-    """Spherical k-means of unit vectors, started from evenly spread rows."""
-    c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
-    for _ in range(rounds):
-        near = np.concatenate([(x[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(x), 4096)])
-        order = np.argsort(near, kind="stable")
-        ids, at = np.unique(near[order], return_index=True)
-        c[ids] = np.add.reduceat(x[order], at, axis=0)
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c
-
-
 def scan(a: np.ndarray, b: np.ndarray, least: float, eps: float, columns: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of the rotated unit vectors ``a`` and ``b`` that may have a cosine of at least ``least``: (row of a, row of b).
 
@@ -71,15 +48,6 @@ def scan(a: np.ndarray, b: np.ndarray, least: float, eps: float, columns: int) -
     return i, j
 
 
-def _best(q: np.ndarray, p: np.ndarray, cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((p, -cos, q))
-    q, p, cos = q[order], p[order], cos[order]
-    start = np.r_[True, q[1:] != q[:-1]] if len(q) else np.zeros(0, bool)
-    rank = np.arange(len(q)) - np.maximum.accumulate(np.where(start, np.arange(len(q)), 0)) if len(q) else q
-    keep = rank < k
-    return q[keep], p[keep], cos[keep]
-
-
 def usable_vectors(rows: DataFrame, id_col: str, vector: str, dim: int) -> DataFrame:
     """(id, v): each id once, with vectors of exactly ``dim`` finite components that are not all zero."""
     v = F.col(vector)
@@ -113,9 +81,9 @@ def nearest_vectors(
     member = stage.keep(every.select("id", "f1", "f2").join(group, ["f1", "f2"]).select("id", "rep", "copies"), "members")
     reps = member.where("id = rep")
     vectors = stage.keep(every.select("id", "v").join(reps.select("id"), "id"), "distinct")
-    centres = Centres(*_sample(vectors))
-    listed = stage.keep(_listed(vectors, centres, probed), "listed")
-    near = _scan_lists(listed, dim, k, least, eps, columns, stored).groupBy("q", "p").agg(F.max("cos").alias("cos"))
+    centres = Centres(*sample(vectors))
+    found = stage.keep(listed(vectors, centres, probed), "listed")
+    near = meet_lists(found, _scanner(dim, least, eps, columns), stored, k).groupBy("q", "p").agg(F.max("cos").alias("cos"))
     near = near.unionByName(reps.where("copies > 1").select(F.col("rep").alias("q"), F.col("rep").alias("p"), F.lit(1.0).alias("cos")))
     smallest = member.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1).select(F.col("rep").alias("p"), "id")
     by_rep = near.join(smallest, "p").withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cos"), "id"))).where(F.col("r") <= k + 1)
@@ -124,117 +92,17 @@ def nearest_vectors(
     return out.select(F.col("id").alias("q"), F.col("b.id").alias("p"), F.col("b.cos").alias("cos"))
 
 
-def _matrix(lists: pa.ListArray) -> np.ndarray:
-    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1) if len(lists) else np.zeros((0, 1), np.float32)
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.float64)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
-def _sample(vectors: DataFrame) -> tuple[np.ndarray, int]:
-    """Unit vectors, the first by hash of their id, and the number of lists."""
-    n = vectors.count()
-    lists = max(1, min(n // 24, round(LISTS * n**0.5)))
-    got = vectors.select("v", F.xxhash64("id").alias("o"), "id").orderBy("o", "id").limit(max(FIT_ROWS, 4 * lists)).select("v").toArrow().column(0).combine_chunks()
-    return _unit(_matrix(got)).astype(np.float32) if len(got) else np.ones((1, 1), np.float32), lists
-
-
-class Centres:
-    """Two levels of list centres: about the square root of their number, and under each its share of all."""
-
-    def __init__(self, sample: np.ndarray, lists: int):
-        self.top = fit_centres(sample, max(1, round(lists**0.5)))
-        near = np.concatenate([(sample[i : i + 4096] @ self.top.T).argmax(1) for i in range(0, len(sample), 4096)])
-        self.below = [fit_centres(part, max(1, round(lists * len(part) / len(sample)))) if len(part := sample[near == t]) else self.top[t : t + 1] for t in range(len(self.top))]
-        self.first = np.cumsum([0, *map(len, self.below)])
-
-    def nearest(self, x: np.ndarray, m: int) -> np.ndarray:
-        """The ``m`` nearest lists of each unit vector, nearest first, among those under its ``TOPS`` nearest upper centres; -1 where there are fewer."""
-        tops = min(TOPS, len(self.top))
-        s = x @ self.top.T
-        at = np.argpartition(-s, tops - 1, axis=1)[:, :tops]
-        width = max(map(len, self.below))
-        score, number = np.full((len(x), tops, width), -2, np.float32), np.full((len(x), tops, width), -1, np.int32)
-        row, place = np.repeat(np.arange(len(x)), tops), np.tile(np.arange(tops), len(x))
-        order = np.argsort(at.ravel(), kind="stable")
-        cuts = np.searchsorted(at.ravel()[order], np.arange(len(self.top) + 1))
-        for t, c in enumerate(self.below):
-            w = order[cuts[t] : cuts[t + 1]]
-            if len(w):
-                score[row[w], place[w], : len(c)] = x[row[w]] @ c.T
-                number[row[w], place[w], : len(c)] = np.arange(self.first[t], self.first[t + 1])
-        score, number = score.reshape(len(x), -1), number.reshape(len(x), -1)
-        m = min(m, score.shape[1])
-        best = np.argpartition(-score, m - 1, axis=1)[:, :m]
-        best = np.take_along_axis(best, np.argsort(-np.take_along_axis(score, best, 1), axis=1, kind="stable"), 1)
-        return np.take_along_axis(number, best, 1)
-
-
-def _listed(vectors: DataFrame, centres: Centres, m: int) -> DataFrame:
-    """(id, v, lists): each vector with its ``m`` nearest lists, nearest first."""
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                near = centres.nearest(_unit(_matrix(part.column("v"))).astype(np.float32), m)
-                size = np.r_[0, np.cumsum((near >= 0).sum(1))].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), pa.ListArray.from_arrays(pa.array(size), pa.array(near[near >= 0]))], names=["id", "v", "lists"])
-
-    return vectors.select("id", "v").mapInArrow(assign, "id bigint, v array<float>, lists array<int>")
-
-
-def _scan_lists(listed: DataFrame, dim: int, k: int, least: float, eps: float, columns: int, stored: int) -> DataFrame:
-    """(q, p, cos): what meets in the lists, the best of each vector in each pair of blocks."""
-    at = listed.select("id", "v", F.posexplode("lists").alias("rank", "list"))
-    sizes = listed.select(F.posexplode("lists").alias("rank", "list")).groupBy("list").agg(
-        F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("probing"), F.greatest(F.lit(1), F.ceil(F.count_if(F.col("rank") < stored) / BLOCK_ROWS)).cast("int").alias("standing")
-    )
-    h, ends = F.xxhash64("id"), F.col("rank") < stored
-    # In each list blocks of what probes (x) meet blocks of what stands there (y).
-    placed = at.join(F.broadcast(sizes), "list").withColumns({"own_x": F.pmod(h, "probing").cast("int"), "own_y": F.pmod(h, "standing").cast("int")})  # a row per list
-    as_probe = F.transform(F.sequence(F.lit(0), F.col("standing") - 1), lambda y: F.struct(F.col("own_x").alias("x"), y.alias("y")))
-    as_standing = F.transform(F.sequence(F.lit(0), F.col("probing") - 1), lambda x: F.struct(x.alias("x"), F.col("own_y").alias("y")))
-    cell = F.explode(F.when(ends, F.array_union(as_probe, as_standing)).otherwise(as_probe)).alias("c")
-    met = placed.select("list", cell, "id", "v", "own_x", "own_y", ends.alias("ends")).select(
-        "list", "c.x", "c.y", (F.col("c.x") == F.col("own_x")).alias("probes"), (F.col("ends") & (F.col("c.y") == F.col("own_y"))).alias("stands"), "id", "v"
-    )
-    met = met.repartition("list", "x", "y").sortWithinPartitions("list", "x", "y")
+def _scanner(dim: int, least: float, eps: float, columns: int):
+    """The kernel of two blocks: the adaptive scan, and exact cosines of what survives it."""
     turn = rotation(dim).astype(np.float32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("list", "x", "y")])
-            cuts = np.r_[0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1, batch.num_rows]
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                key = tuple(keys[:, s])
-                if held and key != last:
-                    yield from one(held)
-                    held = []
-                last = key
-                held.append(batch.slice(s, e - s))
-        if held:
-            yield from one(held)
-
-    def one(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(held).combine_chunks()
-        probes, stands, ids = (t.column(c).to_numpy() for c in ("probes", "stands", "id"))
-        if not stands.any():
-            return
-        v = _unit(_matrix(t.column("v").combine_chunks() if t.column("v").num_chunks != 1 else t.column("v").chunk(0)))
+    def kernel(v: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         turned = v.astype(np.float32) @ turn
-        a, b = np.flatnonzero(probes), np.flatnonzero(stands)
         i, j = scan(turned[a], turned[b], least, eps, columns)
         i, j = a[i], b[j]
         i, j = i[i != j], j[i != j]
         cos = np.round(np.einsum("ij,ij->i", v[i], v[j]), 12)
         ok = cos >= least
-        q, p, cos = ids[i[ok]], ids[j[ok]], cos[ok]
-        if len(q):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(_best(q, p, cos, k), _best(p, q, cos, k), strict=True)], names=["q", "p", "cos"])
+        return i[ok], j[ok], cos[ok]
 
-    return met.mapInArrow(run, "q bigint, p bigint, cos double")
+    return kernel

@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strata.llm import cooccurrence, distinctive, frequency, garbled, groups, leaks, shape_clusters, similar_sets, tokens, vectors
+from strata.operators import lists
 
 NAMES = ("rep", "h", "e", "s", "p", "t", "m", "n", "q", "r", "f1", "cell", "part", "source2", "group_id", "cluster_id", "copies", "toks")
 
@@ -165,7 +166,7 @@ def test_plain_path(spark):
 
 @pytest.mark.parametrize("block", [4096, 16])
 def test_nearest_vectors(spark, monkeypatch, block):
-    monkeypatch.setattr(vectors, "BLOCK_ROWS", block)
+    monkeypatch.setattr(lists, "BLOCK_ROWS", block)
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((12, 64))
     x = [(centres[i % 12] + 0.35 * rng.standard_normal(64)).astype(np.float32) for i in range(200)] + [rng.standard_normal(64).astype(np.float32) for _ in range(200)]
