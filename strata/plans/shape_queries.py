@@ -98,7 +98,7 @@ def _stages(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFram
     s = symbols(spark, d, "file", "qname", "is_test", "wl", "calls")
     w = Stage(spark, "competing").keep(symbol_weights(spark, d), "weights")
     named = s.withColumn("qname", F.lower(F.substring_index("qname", ".", 1)))
-    return clustering.competing_stages(s, w, symbol_count(spark, d), graph.related(graph.call_graph(named)), CFG), w, s
+    return clustering.competing_stages(s, w, symbol_count(spark, d), graph.call_graph(named), CFG), w, s
 
 
 @query(f"WITH {_STAGES} SELECT a, b, round(cos, 9) AS cos, round(a_cos, 9) AS a_cos, n_shared, round(share, 9) AS share FROM vq")
@@ -120,7 +120,7 @@ def competing_funnel(spark: SparkSession, d: str) -> DataFrame:
     s = symbols(spark, d, "file", "qname", "is_test", "wl", "calls")
     stage = Stage(spark, "competing")
     named = s.withColumn("qname", F.lower(F.substring_index("qname", ".", 1)))
-    return clustering.funnel(clustering.competing_pairs(s, stage.keep(symbol_weights(spark, d), "weights"), symbol_count(spark, d), graph.related(graph.call_graph(named)), CFG))
+    return clustering.funnel(clustering.competing_pairs(s, stage.keep(symbol_weights(spark, d), "weights"), symbol_count(spark, d), graph.call_graph(named), CFG))
 
 
 @query()
