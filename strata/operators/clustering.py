@@ -7,6 +7,8 @@ a component has to fit in a task, not the pairs.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -201,39 +203,46 @@ def competing_groups(kept: DataFrame, weights: DataFrame, cfg: Config = Config()
     return m.groupBy("cluster").agg(F.array_sort(F.collect_list("id")).alias("members")).join(best, "cluster").join(terms, ["a", "b"]).select("cluster", "members", "b_max", "a_at_best", "terms")
 
 
-def grow_families(units: pd.DataFrame, cfg: Config) -> list[dict]:
+def grow_families(units: pd.DataFrame, links: list[tuple[int, int]], cfg: Config) -> list[dict]:
     """Average linkage around tight cores, over one component of units.
 
     ``units`` has unit, core (a tight cluster), role, members, and their label and term
-    vectors (la, lw, ta, tw: lists by member). The most similar pair with a core is
-    merged while its similarity, role and vocabulary allow.
+    vectors (la, lw, ta, tw: lists by member); ``links`` are the pairs of units whose
+    similarity reaches the family bound. The most similar pair with a core is merged while
+    its similarity, role and vocabulary allow. A pair of sets can only be as similar as
+    some pair of their units, so links are all that has to be looked at.
     """
     state = {}
     for u in units.sort_values("unit").itertuples():
         a = [_unit(k, w) for k, w in zip(u.la, u.lw, strict=True)]
         b = [_unit(k, w) for k, w in zip(u.ta, u.tw, strict=True)]
-        sa, sb = _total(a), _total(b)
-        state[u.unit] = {"a": sa, "n": len(a), "b": sb, "m": len(b), "core": bool(u.core), "role": u.role, "units": [u.unit]}
-
-    def edge(i: int, j: int) -> float | None:
+        state[u.unit] = {"a": _total(a), "n": len(a), "b": _total(b), "m": len(b), "core": bool(u.core), "role": u.role, "units": [u.unit]}
+    like: dict[int, set[int]] = {i: set() for i in state}
+    now: dict[tuple[int, int], float] = {}
+    heap: list[tuple[float, int, int]] = []
+
+    def look(i: int, j: int) -> None:
+        """Notes how similar two sets are now, and offers them for a merge."""
+        i, j = min(i, j), max(i, j)
         x, y = state[i], state[j]
+        now.pop((i, j), None)
         s = _cos(x["a"], y["a"]) / (x["n"] * y["n"])
-        if s < cfg.theta_family or x["role"] != y["role"]:
-            return None
-        return s if _cos(x["b"], y["b"]) / max(x["m"] * y["m"], 1) >= cfg.theta_b_family else None
-
-    near: dict[int, dict[int, float]] = {i: {} for i in state}
-    keys = sorted(state)
-    for n, i in enumerate(keys):
-        for j in keys[n + 1 :]:
-            s = edge(i, j)
-            if s is not None:
-                near[i][j] = near[j][i] = s
-    while True:
-        best = min(((-s, i, j) for i in near for j, s in near[i].items() if i < j and (state[i]["core"] or state[j]["core"])), default=None)
-        if best is None:
-            break
-        _, i, j = best
+        if s < cfg.theta_family:
+            return
+        like[i].add(j)
+        like[j].add(i)
+        if (x["core"] or y["core"]) and _cos(x["b"], y["b"]) / max(x["m"] * y["m"], 1) >= cfg.theta_b_family:
+            now[i, j] = s
+            heapq.heappush(heap, (-s, i, j))
+
+    for i, j in links:
+        if state[i]["role"] == state[j]["role"]:
+            look(i, j)
+    while heap:
+        s, i, j = heapq.heappop(heap)
+        if now.get((i, j)) != -s:
+            continue
+        del now[i, j]
         x, y = state[i], state.pop(j)
         x["a"], x["n"] = _total([x["a"], y["a"]]), x["n"] + y["n"]
         if x["core"] and y["core"]:
@@ -242,15 +251,12 @@ def grow_families(units: pd.DataFrame, cfg: Config) -> list[dict]:
             x["b"], x["m"] = y["b"], y["m"]
         x["core"] = True
         x["units"] += y["units"]
-        around = (set(near.pop(j)) | set(near[i])) - {i, j}
-        for k in around | {i}:
-            near[k].pop(j, None)
+        around = (like.pop(j) | like[i]) - {i, j}
+        like[i] = set()
         for k in around:
-            near[i].pop(k, None)
-            near[k].pop(i, None)
-            s = edge(min(i, k), max(i, k))
-            if s is not None:
-                near[i][k] = near[k][i] = s
+            like[k] -= {i, j}
+            now.pop((min(j, k), max(j, k)), None)
+            look(i, k)
     return [{"family": i, "units": s["units"]} for i, s in state.items() if s["core"] and len(s["units"]) > 1]
 
 
@@ -281,13 +287,15 @@ def families(symbols: DataFrame, tight: DataFrame, weights: DataFrame, cfg: Conf
     size = unit.groupBy("unit").agg(F.count("*").alias("n"), F.when(F.min("role") == F.max("role"), F.min("role")).otherwise(F.lit("")).alias("role"), F.bool_or("core").alias("core"))
     mean = unit_l.join(unit.select("id", "unit"), "id").groupBy("unit", "key").agg(F.sum("w").alias("s")).join(size, "unit").select(F.col("unit").alias("id"), "key", (F.col("s") / F.col("n")).alias("w"))
     stage = Stage(symbols.sparkSession, "families")
-    comp = components(stage.keep(prefix_join(stage.keep(mean, "units"), cfg.theta_family), "edges"))
+    joined = stage.keep(prefix_join(stage.keep(mean, "units"), cfg.theta_family), "edges")
+    comp = stage.keep(components(joined), "components")
+    links = joined.select("a", "b").join(comp.select(F.col("id").alias("a"), F.col("root").alias("of")), "a").select("of", "a", "b")
     lists_l = unit_l.groupBy("id").agg(F.collect_list("key").alias("la"), F.collect_list("w").alias("lw"))
     lists_t = weights.groupBy("id").agg(F.collect_list("term").alias("ta"), F.collect_list("w").alias("tw"))
     empty_t, empty_w = F.array().cast("array<string>"), F.array().cast("array<double>")
     nodes = unit.select("id", "unit").join(size.select("unit", "core", "role"), "unit").join(comp.withColumnsRenamed({"id": "unit"}), "unit").join(lists_l, "id").join(lists_t, "id", "left").select("root", "unit", "core", "role", "id", "la", "lw", F.coalesce("ta", empty_t).alias("ta"), F.coalesce("tw", empty_w).alias("tw"))
 
-    def run(n: pd.DataFrame) -> pd.DataFrame:
+    def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if not n["core"].any():
             return pd.DataFrame(rows, columns=["family", "id", "is_core", "cos_to_core", "b_cos_to_core"])
@@ -298,7 +306,7 @@ def families(symbols: DataFrame, tight: DataFrame, weights: DataFrame, cfg: Conf
         b = {i: _unit(k, w) for i, k, w in zip(n["id"], n["ta"], n["tw"], strict=True)}
         ids = {u: list(x) for u, x in g["id"]}
         core = dict(zip(units["unit"], units["core"], strict=True))
-        for f in grow_families(units, cfg):
+        for f in grow_families(units, list(zip(e["a"], e["b"], strict=True)), cfg):
             best = None
             for u in (u for u in f["units"] if core[u]):
                 total = _total([a[i] for i in ids[u]])
@@ -315,7 +323,7 @@ def families(symbols: DataFrame, tight: DataFrame, weights: DataFrame, cfg: Conf
                     rows.append((f["family"], i, u == u0, _cos(a[i], a[medoid]), _cos(b[i], b[medoid])))
         return pd.DataFrame(rows, columns=["family", "id", "is_core", "cos_to_core", "b_cos_to_core"])
 
-    return nodes.groupBy("root").applyInPandas(run, "family bigint, id bigint, is_core boolean, cos_to_core double, b_cos_to_core double")
+    return nodes.groupBy("root").cogroup(links.groupBy("of")).applyInPandas(run, "family bigint, id bigint, is_core boolean, cos_to_core double, b_cos_to_core double")
 
 
 def family_summary(members: DataFrame, symbols: DataFrame) -> DataFrame:
