@@ -132,14 +132,17 @@ def resolve_symbol(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {SYM}, ch AS (SELECT DISTINCT file FROM sym WHERE hash_key(file)), base AS (SELECT DISTINCT merkle_root FROM sym WHERE id % 3 = 0)
+WITH {SYM}, a AS (SELECT max(dating.last_touched) AS anchor FROM sym),
+ch AS (SELECT DISTINCT file FROM sym, a WHERE dating.last_touched >= anchor - 365 * 86400), base AS (SELECT DISTINCT merkle_root FROM sym, a WHERE dating.first_seen < anchor - 365 * 86400)
 SELECT s.id FROM sym s SEMI JOIN ch ON ch.file = s.file ANTI JOIN base ON base.merkle_root = s.merkle_root
-""".replace("hash_key(file)", "starts_with(file, 'muzesulu/') OR starts_with(file, 'depabiwa/')"))
+""")
 def branch_new(spark: SparkSession, d: str) -> DataFrame:
-    """Symbols of changed files (two repos) whose structural hash is not among those of the base (every third id)."""
-    s = symbols(spark, d, "file", "merkle_root")
-    changed = s.where(F.col("file").startswith("muzesulu/") | F.col("file").startswith("depabiwa/")).select("file").distinct()
-    base = s.where("id % 3 = 0").select("merkle_root").distinct()
+    """Symbols of files touched in the last 365 days whose structural hash no symbol had before: the base of a branch that began then."""
+    s = symbols(spark, d, "file", "merkle_root", "dating")
+    start = s.agg(F.max("dating.last_touched")).first()[0]
+    start = F.lit(None if start is None else start - 365 * 86400)
+    changed = s.where(F.col("dating.last_touched") >= start).select("file").distinct()
+    base = s.where(F.col("dating.first_seen") < start).select("merkle_root").distinct()
     return s.join(changed, "file", "left_semi").join(base, "merkle_root", "left_anti").select("id")
 
 

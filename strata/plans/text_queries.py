@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.config import AMBIENT_NAMES, STOPLIST_IDENTS, STOPWORDS
+from strata.config import AMBIENT_NAMES, MINHASH_FUNCTIONS, STOPLIST_IDENTS, STOPWORDS
 from strata.functions import dates, paths, text
 from strata.functions.vectors import l2_normalize, norm
 from strata.operators.ids import dense_ids
@@ -186,12 +186,12 @@ def ambient_names(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""
 WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents WHERE text IS NOT NULL),
-h AS (SELECT doc_id, s AS seed, ('0x' || substring(md5(s || '|' || x), 1, 15))::BIGINT AS h FROM (SELECT doc_id, unnest(t) AS x FROM t), range(8) r(s))
+h AS (SELECT doc_id, s AS seed, ('0x' || substring(md5(s || '|' || x), 1, 15))::BIGINT AS h FROM (SELECT doc_id, unnest(t) AS x FROM t), range(64) r(s))
 SELECT doc_id AS id, CAST(seed AS INT) AS seed, min(h) AS h FROM h GROUP BY doc_id, seed
 """)
 def minhash_signature(spark: SparkSession, d: str) -> DataFrame:
     words = documents(spark, d, "text").where("text IS NOT NULL").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1).alias("t"))
-    return minhash(words, "doc_id", "t", 8)
+    return minhash(words, "doc_id", "t", MINHASH_FUNCTIONS)
 
 
 @query("SELECT kind, count(*) AS n, count(*) FILTER (WHERE n_chars >= 300) AS kept, count(*) FILTER (WHERE n_chars < 300 OR n_chars IS NULL) AS skipped_small FROM documents GROUP BY kind")
