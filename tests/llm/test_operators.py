@@ -39,8 +39,9 @@ def union_find(links):
     return {i: find(i) for i in root}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_groups(spark, seed):
+@pytest.mark.parametrize("seed, hot", [(1, 1_000_000), (2, 4)])
+def test_groups(spark, monkeypatch, seed, hot):
+    monkeypatch.setattr(groups, "HOT", hot)
     rng = random.Random(seed)
     chain = list(range(1000, 1100))
     rng.shuffle(chain)
