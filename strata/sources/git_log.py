@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import subprocess
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,18 +63,42 @@ def history(spark: SparkSession, root: str, repo: str = ".") -> tuple[DataFrame,
 
 def head_files(root: str, repo: str) -> list[tuple[str, str, int, bool]]:
     """Files at HEAD with their lines; one with a NUL in its first 8000 bytes is binary."""
-    out = []
+    found = []
     for entry in (git(root, "ls-tree", "-r", "-z", "HEAD") or "").split("\0"):
         if entry:
             meta, path = entry.split("\t", 1)
             _, kind, blob = meta.split()
             if kind == "blob":
-                data = subprocess.run(["git", "-C", root, "cat-file", "blob", blob], capture_output=True, check=True).stdout
-                lines = data.count(b"\n") + (1 if data and not data.endswith(b"\n") else 0)
-                out.append((repo, path, lines, b"\0" in data[:8000]))
+                found.append((path, blob))
+    out = []
+    for (path, _), data in zip(found, blobs(root, [b for _, b in found]), strict=True):
+        data = data or b""
+        lines = data.count(b"\n") + (1 if data and not data.endswith(b"\n") else 0)
+        out.append((repo, path, lines, b"\0" in data[:8000]))
     return out
 
 
+def blobs(root: str, names: list[str]) -> Iterator[bytes | None]:
+    """The contents of objects, null for those that are none, one after the other from one process."""
+    if not names:
+        return
+    with subprocess.Popen(["git", "-C", root, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL) as p:
+        for name in names:
+            if "\n" in name:  # no name the protocol can ask for
+                yield None
+                continue
+            p.stdin.write(name.encode() + b"\n")
+            p.stdin.flush()
+            head = p.stdout.readline().split()
+            if len(head) == 3 and head[2].isdigit():
+                data = p.stdout.read(int(head[2]))
+                p.stdout.read(1)
+                yield data if head[1] == b"blob" else None
+            else:
+                yield None
+        p.stdin.close()
+
+
 @dataclass
 class Branch:
     branch: str
@@ -105,8 +130,8 @@ def detect_branch(root: str, base: str | None = None) -> Branch | None:
     for args in (("diff", "--name-only", "-z", "--no-renames", start, "HEAD"), ("diff", "--name-only", "-z", "--no-renames", "HEAD"), ("ls-files", "-o", "--exclude-standard", "-z")):
         changed |= {p for p in (git(root, *args) or "").split("\0") if p.endswith(".py")}
     roots = set()
-    for p in changed:
-        got = subprocess.run(["git", "-C", root, "show", f"{start}:{p}"], capture_output=True, check=False)
-        if got.returncode == 0:
-            roots |= {s["merkle_root"] for s in symbols_of(p, got.stdout, Config(min_nodes=0))}
+    names = sorted(changed)
+    for p, data in zip(names, blobs(root, [f"{start}:{p}" for p in names]), strict=True):
+        if data is not None:
+            roots |= {s["merkle_root"] for s in symbols_of(p, data, Config(min_nodes=0))}
     return Branch(name or "HEAD", base, changed, roots)
