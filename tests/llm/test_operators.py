@@ -253,6 +253,28 @@ def test_shape_clusters(spark, monkeypatch, keep):
     assert shape_clusters.ShapeClusters(df.limit(0)).clusters().collect() == []
 
 
+def test_embedding_of_shapes(spark):
+    """What is linked converges to one point, the vectors are orthogonal, and clusters lie in few cells."""
+    rng = random.Random(11)
+    base = [rng.sample(range(10**6), 15) for _ in range(60)]
+    rows = [(i, [{"label": x if rng.random() < 0.9 else rng.randrange(10**6), "w": 1.0} for x in base[i % 60]]) for i in range(900)]
+    s = shape_clusters.ShapeClusters(spark.createDataFrame(rows, "id bigint, wl array<struct<label:bigint,w:double>>"))
+    x = {r["rep"]: np.array([r["x0"], r["x1"], r["x2"]]) for r in s.embedding().collect()}
+    cluster = {r["rep"]: r["cluster_id"] for r in s.clusters().collect()}
+    by = {}
+    for i, v in x.items():
+        by.setdefault(cluster[i], []).append(v)
+    inner = np.mean([np.var(np.stack(v), axis=0).sum() for v in by.values()])
+    between = np.var(np.stack([np.mean(v, axis=0) for v in by.values()]), axis=0).sum()
+    assert len(by) == 60 and inner < 0.02 * between
+    assert np.abs(np.corrcoef(np.stack(list(x.values())).T) - np.eye(3)).max() < 0.35
+    cov = np.array([[4.0, 1.0, 2.0], [1.0, 3.0, 0.5], [2.0, 0.5, 1.0]])
+    moments = {"d": 1.0, **{c: 0.0 for c in "abc"}, **{p + q: cov[i, j] for i, p in enumerate("abc") for j, q in enumerate("abc")}}
+    _, turn = shape_clusters._orthogonal(moments, list("abc"))
+    assert np.allclose(turn @ cov @ turn.T, np.diag(np.diag(turn @ cov @ turn.T))) and np.allclose(np.diag(turn @ cov @ turn.T)[:2], 1)
+    assert len(shape_clusters._Cells(np.stack(list(x.values())), 30).first) > 1
+
+
 @pytest.fixture(scope="module")
 def reference_encoder():
     import tiktoken
