@@ -19,9 +19,10 @@ def _similar(num: int, den: int):
 
     Entries stand in the order of their element's position. They fall into blocks; a
     block whose entries have too few elements left behind that position for any overlap
-    that would do is skipped whole. Each block keeps the overlaps that were last computed
-    for it; for the next set they are derived from these by the elements in which the two
-    sets differ, or, where they differ in more than they share, computed anew.
+    that would do is skipped whole. Sets are taken in the order of their elements, rarest
+    first, so that similar ones follow each other. Each block keeps the overlaps that were
+    last computed for it; for the next set they are derived from these by the elements in
+    which the two sets differ, or, where these are too many, computed anew.
     """
 
     def kernel(e: dict, sizes: np.ndarray, labels: np.ndarray, _w, right: np.ndarray | None):
@@ -31,7 +32,9 @@ def _similar(num: int, den: int):
         has = mat.has
         left_over = sizes - pos  # of the elements that can be shared, from the list's element on
         columns = np.asfortranarray(has, dtype=np.int16)
-        order = np.arange(m) if right is None else np.flatnonzero(~right)
+        order = np.lexsort(has.T[::-1])  # sets that begin alike follow each other, so little has to be derived anew
+        if right is not None:
+            order = order[~right[order]]
         other = np.arange(m) if right is None else np.flatnonzero(right)
         cuts = list(range(0, len(other), SKIP_BLOCK)) + [len(other)]
         blocks = [other[s:t] for s, t in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -43,7 +46,7 @@ def _similar(num: int, den: int):
         for i in order:
             for k, b in enumerate(blocks):
                 if right is None and b[0] > i:
-                    break
+                    break  # each pair once, from its later entry
                 if min(left_over[i], most[k]) * (num + den) < num * (n[i] + least[k]):
                     continue
                 was = known[k]
