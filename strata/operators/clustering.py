@@ -107,17 +107,18 @@ def shape_clusters(symbols: DataFrame, cfg: Config = Config()) -> DataFrame:
     """
     pairs = Stage(symbols.sparkSession, "shapes").keep(near_pairs(symbols, cfg.theta_clone).withColumnRenamed("cos", "score"), "pairs")
     vec = label_vectors(symbols).select("id", F.col("labels").alias("k"), F.col("ws").alias("w"))
-    return _merged(pairs, exact_groups(symbols), vec, REP_RELAX * cfg.theta_clone).select("id", "cluster").withColumn("n", F.count("*").over(Window.partitionBy("cluster"))).where("n > 1").drop("n")
+    merged = Stage(symbols.sparkSession, "shapes").keep(_merged(pairs, exact_groups(symbols), vec, REP_RELAX * cfg.theta_clone).select("id", "cluster"), "merged")
+    return merged.join(merged.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster"), "cluster").select("id", "cluster")
 
 
 def repeated(symbols: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(cluster, members, size, n_files, total_nodes, all_test, first_seen, last_touched, newest_birth): summary of each cluster of two or more.
+    """(cluster, first, size, n_files, total_nodes, all_test, first_seen, last_touched, newest_birth): summary of each cluster of two or more.
 
-    Members are sorted by file, line and id. Dates are null if no member is dated.
+    ``first`` is the first member by file, line and id; the members themselves stay rows of ``clusters``. Dates are null if no member is dated.
     """
     m = clusters.join(symbols, "id")
     return m.groupBy("cluster").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("file", "line", "id"))), lambda x: x["id"]).alias("members"),
+        F.min(F.struct("file", "line", "id"))["id"].alias("first"),
         F.count("*").alias("size"),
         F.count_distinct("file").alias("n_files"),
         F.sum("node_count").alias("total_nodes"),

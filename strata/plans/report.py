@@ -39,16 +39,19 @@ def report(a: Analysis, only: set[str] | None = None) -> dict:
     """The scan's contract: repeated and deprecated always, families and competing if selected, counts of every stage always."""
     pick = set(SECTIONS) if only is None else only
     repeated = a.repeated.collect()
+    inside: dict[int, list[int]] = {r["cluster"]: [] for r in repeated}
+    for r in a.tight.join(a.symbols.select("id", "file", "line"), "id").orderBy("file", "line", "id").select("id", "cluster").collect():
+        inside[r["cluster"]].append(r["id"])
     fam = a.families.collect()
     summary = {r["family"]: r for r in family_summary(a.families, a.symbols).collect()}
     comp = a.competing.collect()
     old = a.deprecated.collect() if a.deprecated is not None else []
-    rows = _members(a, {i for r in repeated for i in r["members"]} | {r["id"] for r in fam} | {i for r in comp for i in r["members"]})
-    repeated.sort(key=lambda r: (r["n_files"] <= 1, r["all_test"], -r["total_nodes"], [(rows[i]["file"], rows[i]["line"]) for i in r["members"][:1]]))
+    rows = _members(a, {i for ids in inside.values() for i in ids} | {r["id"] for r in fam} | {i for r in comp for i in r["members"]})
+    repeated.sort(key=lambda r: (r["n_files"] <= 1, r["all_test"], -r["total_nodes"], rows[r["first"]]["file"], rows[r["first"]]["line"]))
     place = {r["cluster"]: f"R{n}" for n, r in enumerate(repeated, 1)}
     out: dict[str, Any] = {
         "schema": "scan/1", "repo": a.root, "config": asdict(a.cfg), "stats": a.stats, "history": None if a.anchor is None else {"anchor": day(a.anchor)},
-        "repeated": [{"ref": place[r["cluster"]], "members": [member(rows[i]) for i in r["members"]], "n_files": r["n_files"], "total_nodes": r["total_nodes"], "all_test": r["all_test"], "first_seen": day(r["first_seen"]), "last_touched": day(r["last_touched"])} for r in repeated],
+        "repeated": [{"ref": place[r["cluster"]], "members": [member(rows[i]) for i in inside[r["cluster"]]], "n_files": r["n_files"], "total_nodes": r["total_nodes"], "all_test": r["all_test"], "first_seen": day(r["first_seen"]), "last_touched": day(r["last_touched"])} for r in repeated],
         "repeated_funnel": {"clusters_formed": len(repeated), "clustered_symbols": sum(r["size"] for r in repeated)},
         "deprecated": [{"dead": place.get(r["dead"]), "growing": place.get(r["growing"]), "cosine": round(r["cos"], 6), "terms": r["terms"]} for r in sorted(old, key=lambda r: (-r["cos"], r["dead"], r["growing"]))],
         "deprecated_funnel": {"pairs": len(old)}, "family_funnel": {"families": len(summary)},

@@ -22,19 +22,25 @@ _SHAPE = ("file", "line", "span", "node_count", "merkle_root", "wl", "minhash",
 _CLONES = f"""{SYM},
 g AS (SELECT *, min(id) OVER (PARTITION BY merkle_root) AS cluster, count(*) OVER (PARTITION BY merkle_root) AS k FROM sym WHERE merkle_root IS NOT NULL),
 m AS (SELECT * FROM g WHERE k > 1),
-rep AS (SELECT cluster, list(id ORDER BY file, line, id) AS members, count(*) AS size, count(DISTINCT file) AS n_files, CAST(sum(node_count) AS BIGINT) AS total_nodes, bool_and(coalesce(is_test, false)) AS all_test,
+rep AS (SELECT cluster, (list(id ORDER BY file, line, id))[1] AS first, count(*) AS size, count(DISTINCT file) AS n_files, CAST(sum(node_count) AS BIGINT) AS total_nodes, bool_and(coalesce(is_test, false)) AS all_test,
         min(dating.first_seen) AS first_seen, max(dating.last_touched) AS last_touched, max(dating.first_seen) AS newest_birth FROM m GROUP BY cluster)"""
 
 
-@query(f"WITH {_CLONES} SELECT cluster, members, size, n_files, total_nodes, all_test FROM rep")
+@query(f"WITH {_CLONES} SELECT cluster, first, size, n_files, total_nodes, all_test FROM rep")
 def exact_clones(spark: SparkSession, d: str) -> DataFrame:
     s = symbols(spark, d, *_SHAPE)
-    return clustering.repeated(s, clustering.clone_clusters(s)).select("cluster", "members", "size", "n_files", "total_nodes", "all_test")
+    return clustering.repeated(s, clustering.clone_clusters(s)).select("cluster", "first", "size", "n_files", "total_nodes", "all_test")
+
+
+@query(f"WITH {_CLONES} SELECT id, cluster FROM m")
+def clone_members(spark: SparkSession, d: str) -> DataFrame:
+    """The members of ``exact_clones``, a row each."""
+    return clustering.clone_clusters(symbols(spark, d, "merkle_root"))
 
 
 @query(f"""
 WITH {_CLONES}, a AS (SELECT max(dating.last_touched) AS anchor FROM sym)
-SELECT 'R' || row_number() OVER (ORDER BY n_files > 1 DESC, NOT all_test DESC, total_nodes DESC, members[1]) AS ref, cluster, strftime(make_timestamp(first_seen * 1000000), '%Y-%m-%d') AS first_day,
+SELECT 'R' || row_number() OVER (ORDER BY n_files > 1 DESC, NOT all_test DESC, total_nodes DESC, first) AS ref, cluster, strftime(make_timestamp(first_seen * 1000000), '%Y-%m-%d') AS first_day,
   strftime(make_timestamp(last_touched * 1000000), '%Y-%m-%d') AS last_day,
   CASE WHEN last_touched IS NULL OR newest_birth IS NULL THEN NULL WHEN anchor - last_touched > 180 * 86400 THEN 'dead' WHEN anchor - newest_birth <= 90 * 86400 THEN 'growing' ELSE 'flat' END AS activity FROM rep, a
 """)
@@ -43,7 +49,7 @@ def repeated_dated(spark: SparkSession, d: str) -> DataFrame:
     s = symbols(spark, d, *_SHAPE)
     r = clustering.repeated(s, clustering.clone_clusters(s))
     anchor = F.lit(s.agg(F.max("dating.last_touched")).first()[0])
-    keyed = r.withColumns({"k1": F.col("n_files") <= 1, "k2": F.col("all_test"), "k3": -F.col("total_nodes"), "k4": F.col("members")[0]})
+    keyed = r.withColumns({"k1": F.col("n_files") <= 1, "k2": F.col("all_test"), "k3": -F.col("total_nodes"), "k4": F.col("first")})
     return dense_ids(keyed, "k1", "k2", "k3", "k4", name="n").select(F.concat(F.lit("R"), F.col("n") + 1).alias("ref"), "cluster", fmt_date(F.col("first_seen")).alias("first_day"), fmt_date(F.col("last_touched")).alias("last_day"), classify(anchor, F.col("newest_birth"), F.col("last_touched")).alias("activity"))
 
 
