@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 import keyword
+import os
 import re
 import tokenize
 from collections import Counter
@@ -16,6 +17,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,10 +36,30 @@ def python_files(spark: SparkSession, root: str) -> DataFrame:
     """(file, content): the ``.py`` files below a folder, without pruned and hidden folders."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").load(root)
     base = root.rstrip("/") + "/"
-    rel = F.substring_index(F.col("path"), base, -1)
-    parts = F.split(rel, "/")
+    found = raw.select(F.substring_index(F.col("path"), base, -1).alias("file"), "content").unionByName(_underscored(spark, root))
+    parts = F.split("file", "/")
     folders = F.slice(parts, 1, F.size(parts) - 1)
-    return raw.select(rel.alias("file"), "content").where(~F.exists(folders, lambda p: p.isin(SKIP_DIRS) | p.startswith(".")))
+    return found.where(~F.exists(folders, lambda p: p.isin(SKIP_DIRS) | p.startswith(".")))
+
+
+def _underscored(spark: SparkSession, root: str) -> DataFrame:
+    """(file, content) of what the file source passes over: files, or all files of folders, whose names begin with an underscore, such as ``__init__.py``. Names are listed here, contents are read by the executors."""
+    fs, base = pafs.FileSystem.from_uri(root if "://" in root else os.path.abspath(root))
+    base = base.rstrip("/") + "/"
+    names = [i.path.removeprefix(base) for i in fs.get_file_info(pafs.FileSelector(base, recursive=True)) if i.type == pafs.FileType.File and i.path.endswith(".py")]
+    passed = [(n,) for n in sorted(names) if any(p.startswith("_") and "=" not in p for p in n.split("/"))]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files = batch.column(0).to_pylist()
+            contents = []
+            for f in files:
+                with fs.open_input_stream(base + f) as stream:
+                    contents.append(stream.read())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.binary())], names=["file", "content"])
+
+    rows = spark.createDataFrame(passed, "file string")
+    return rows.mapInArrow(read, "file string, content binary")
 
 
 def signed(h: int) -> int:

@@ -273,6 +273,16 @@ def test_coupling(spark):
     assert len(r) == 1 and r[0]["shared"] == 50 and r[0]["confidence_ab"] == 0.5 and r[0]["confidence_ba"] == 0.625 and abs(r[0]["degree"] - 55.5555) < 1e-3
 
 
+def test_files_with_leading_underscores(spark, tmp_path):
+    """Packages live in ``__init__.py``: names that the file source passes over are read as well, once each."""
+    for name in ("__init__.py", "m.py", "_private.py", "_inner/a.py", "_inner/__init__.py", "__pycache__/x.py", ".hidden/_y.py", "p/__main__.py", "p/_data.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(f"X = {name!r}\n")
+    got = {r["file"]: bytes(r["content"]).decode() for r in python_code.python_files(spark, str(tmp_path)).collect()}
+    names = ["__init__.py", "m.py", "_private.py", "_inner/a.py", "_inner/__init__.py", "p/__main__.py"]
+    assert got == {n: f"X = {n!r}\n" for n in names} and python_code.python_files(spark, str(tmp_path)).count() == len(names)
+
+
 def test_scan_counts_every_function(spark, tmp_path):
     """A tree of 5,000 functions: none is lost while ids are given, and find sees them all."""
     from strata.operators.ids import dense_ids
