@@ -53,6 +53,12 @@ def _spelt_last(df):
     return "Exchange" not in above and "Aggregate" not in above
 
 
+def test_related_spells_each_pair_once(spark, folder):
+    d = folder(CALLED)
+    df = catalog.QUERIES["call_related"](spark, d)
+    assert _pairs(df) == _sql(d, "call_related") and _spelt_last(df)
+
+
 def test_two_hops_spells_each_pair_once(spark, folder):
     d = folder(CALLED)
     df = catalog.QUERIES["call_two_hop"](spark, d)
