@@ -66,3 +66,10 @@ def test_two_hops_spells_each_pair_once(spark, folder):
     assert got == _sql(d, "call_two_hop") and _spelt_last(df)
     assert {(1, 6), (4, 6), (5, 3), (8, 3)} <= got
     assert _pairs(graph.two_hops(spark.createDataFrame([], "id bigint, file string, qname string, calls array<struct<base:string,module:string>>"))) == set()
+
+
+def test_funnel_follows_every_name(spark, folder):
+    """A pair that calls each other by a base name is no competitor."""
+    d = folder([(1, "a.py", "f", [("run", None)]), (2, "b.py", "A.run", []), (3, "c.py", "g", [])])
+    got = {r["stage"]: r["pairs"] for r in catalog.QUERIES["competing_funnel"](spark, d).collect()}
+    assert got == {"vocab_pairs": 3, "cross_context": 3, "low_shape": 3, "vocab_quality": 3, "kept": 2} == dict(_sql(d, "competing_funnel"))
