@@ -64,6 +64,20 @@ def similar_pairs(weights: DataFrame, n: int, theta: float) -> DataFrame:
     return prefix_join(weights.select("id", F.col("term").alias("key"), "w"), theta, df_most(n)).withColumnRenamed("dot", "cos")
 
 
+def similar_top_shared(weights: DataFrame, n: int, theta: float, k: int) -> DataFrame:
+    """``top_shared`` over all of ``similar_pairs``: (a, b, term, w, rank). The terms of both ends travel with the posting lists, so a pair is spelt out where it is found and pairs are never shuffled."""
+    stage = Stage(weights.sparkSession, "prefix")
+    flat = stage.keep(weights.select(F.col("id").alias("rep"), F.lit(1.0).alias("n"), F.col("term").alias("label"), "w"), "vectors")
+    own = flat.groupBy("rep").agg(F.collect_list(F.struct("label", "w")).alias("own"))
+    toks = rare_first(flat, stage).join(own, "rep")
+    got = meet(toks.withColumn("ratio", F.lit(theta * theta * (1 - 1e-9))), cosine_kernel(theta), carry=("own",), most=df_most(n))
+    both = F.filter("own_a", lambda e: F.exists("own_b", lambda f: f["label"] == e["label"]))
+    other = lambda e: F.filter("own_b", lambda f: f["label"] == e["label"])[0]["w"]
+    least = F.transform(both, lambda e: F.struct(F.least(e["w"], other(e)).alias("w"), e["label"].alias("term")))
+    top = F.slice(F.array_sort(F.transform(least, lambda e: F.struct((-F.round(e["w"], 9)).alias("first"), e["term"].alias("term"), e["w"].alias("w")))), 1, k)
+    return got.select("a", "b", F.posexplode(top).alias("at", "e")).select("a", "b", "e.term", "e.w", (F.col("at") + 1).alias("rank"))
+
+
 def shared_terms(pairs: DataFrame, weights: DataFrame) -> DataFrame:
     """(a, b, term, w): terms both ends of a pair have, with the smaller weight."""
     wa = weights.select(F.col("id").alias("a"), "term", F.col("w").alias("wa"))

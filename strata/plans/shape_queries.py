@@ -74,8 +74,7 @@ SELECT a, b, term, round(w, 9) AS w, CAST(r AS INT) AS rank FROM (SELECT *, row_
 """)
 def shared_terms_topk(spark: SparkSession, d: str) -> DataFrame:
     w = symbol_weights(spark, d)
-    pairs = sim.similar_pairs(w, symbol_count(spark, d), CFG.theta_b)
-    return sim.top_shared(sim.shared_terms(pairs, w), 3).select("a", "b", "term", F.round("w", 9).alias("w"), "rank")
+    return sim.similar_top_shared(w, symbol_count(spark, d), CFG.theta_b, 3).select("a", "b", "term", F.round("w", 9).alias("w"), "rank")
 
 
 _LOW = ", ".join(f"'{t}'" for t in LOW_SIGNAL_TERMS)
