@@ -14,14 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.config import MIN_TERMS, REP_RELAX, Config
+from strata.config import REP_RELAX, Config
 from strata.functions.dates import classify
 from strata.functions.text import base_name, is_dunder
 from strata.operators.components import components
-from strata.operators.graph import related_among
 from strata.runtime import Stage
 from strata.operators.postings import label_vectors
-from strata.operators.similarity import attach, label_weights, near_pairs, pair_cosines, prefix_join, similar_pairs, top_shared, shared_terms, vocabulary_quality
+from strata.operators.similarity import label_weights, near_pairs, prefix_join, top_shared, shared_terms
+from strata.operators.tiles import staged_pairs
 
 
 def _cos(a: dict, b: dict) -> float:
@@ -166,19 +166,9 @@ def deprecated(summary: DataFrame, centroids: DataFrame, anchor: int, theta_b: f
 STAGES = ("vocab_pairs", "cross_context", "low_shape", "vocab_quality", "kept")
 
 
-def competing_pairs(symbols: DataFrame, weights: DataFrame, n: int, calls: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """The similar vocabularies (a, b, cos), with a_cos, n_shared and share, and how many of the stages of the search for the same job in another shape each passes: 1 to 5. The last stage drops pairs that call each other, over ``calls`` (src, dst)."""
-    terms = weights.groupBy("id").agg(F.count("*").alias("terms"))
-    info = symbols.select("id", "file", F.coalesce("is_test", F.lit(False)).alias("is_test")).join(terms, "id", "left")
-    stage = Stage(symbols.sparkSession, "pairs")
-    pairs = stage.keep(similar_pairs(weights, n, cfg.theta_b), "vocab")
-    apart = f"NOT is_test_a AND NOT is_test_b AND file_a <> file_b AND terms_a >= {MIN_TERMS} AND terms_b >= {MIN_TERMS}"
-    cross = attach(pairs, info, "id", "file", "is_test", "terms").where(apart).select("a", "b", F.col("cos").alias("cos0"))
-    cross = stage.keep(pair_cosines(cross, label_vectors(symbols), "cos0").withColumnsRenamed({"cos": "a_cos", "cos0": "cos"}), "cross")
-    good = stage.keep(vocabulary_quality(cross.where(F.col("a_cos") <= cfg.theta_a_low), weights).select("a", "b", "n_shared", "share"), "good")
-    out = pairs.join(cross.select("a", "b", "a_cos"), ["a", "b"], "left").join(good, ["a", "b"], "left").join(related_among(calls, good).withColumn("called", F.lit(True)), ["a", "b"], "left")
-    passed = F.when(F.col("a_cos").isNull(), 1).when(F.col("a_cos") > cfg.theta_a_low, 2).when(F.col("share").isNull(), 3).when(F.col("called"), 4).otherwise(5)
-    return stage.keep(out.select("a", "b", "cos", "a_cos", "n_shared", "share", passed.alias("passed")), "staged")
+def competing_pairs(symbols: DataFrame, weights: DataFrame, n: int, calls: tuple[DataFrame, DataFrame] | None, cfg: Config = Config(), least: int = 1) -> DataFrame:
+    """The similar vocabularies (a, b, cos), with a_cos, n_shared and share, and how many of the stages of the search for the same job in another shape each passes: 1 to 5, those that pass ``least``. The last stage drops pairs that call each other, over ``calls``, the groups of ``graph.call_groups``; without them no pair passes it. The pairs are not kept: each reading finds them anew."""
+    return staged_pairs(symbols, weights, n, calls, cfg, least)
 
 
 def funnel(pairs: DataFrame) -> DataFrame:
@@ -187,10 +177,10 @@ def funnel(pairs: DataFrame) -> DataFrame:
     return counts.select(F.explode(F.array(*(F.struct(F.lit(name).alias("stage"), F.col(name).alias("pairs")) for name in STAGES))).alias("e")).select("e.*")
 
 
-def competing_stages(symbols: DataFrame, weights: DataFrame, n: int, calls: DataFrame, cfg: Config = Config()) -> dict[str, DataFrame]:
-    """The pairs after each stage of ``competing_pairs``."""
-    staged = competing_pairs(symbols, weights, n, calls, cfg)
-    return {name: staged.where(F.col("passed") > k) for k, name in enumerate(STAGES)}
+def competing_stages(symbols: DataFrame, weights: DataFrame, n: int, calls: tuple[DataFrame, DataFrame] | None, cfg: Config = Config(), least: int = 1) -> dict[str, DataFrame]:
+    """The pairs after each stage of ``competing_pairs``, from the stage ``least`` on."""
+    staged = competing_pairs(symbols, weights, n, calls, cfg, least)
+    return {name: staged.where(F.col("passed") > k) for k, name in enumerate(STAGES) if k + 1 >= least}
 
 
 def competing_groups(kept: DataFrame, weights: DataFrame, cfg: Config = Config()) -> DataFrame:

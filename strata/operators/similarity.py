@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.config import BUCKET_CAP, LOW_SIGNAL_TERMS, LSH_ROWS, MIN_SHARED_MASS, MIN_SHARED_TERMS, SIZE_RATIO
+from strata.config import BUCKET_CAP, LSH_ROWS, SIZE_RATIO
 from strata.operators.postings import cosine_kernel, label_vectors, meet, rare_first
 from strata.runtime import Stage
 
@@ -91,15 +91,6 @@ def top_shared(shared: DataFrame, k: int) -> DataFrame:
     return shared.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def vocabulary_quality(pairs: DataFrame, weights: DataFrame) -> DataFrame:
-    """Pairs with three shared terms or more, not all of low signal, and 30 % of the smaller mass shared: adds n_shared and share."""
-    mass = weights.groupBy("id").agg(F.sum("w").alias("mass"))
-    s = shared_terms(pairs, weights).groupBy("a", "b").agg(F.count("*").alias("n_shared"), F.sum("w").alias("s"), F.max((~F.col("term").isin(LOW_SIGNAL_TERMS)).cast("int")).alias("signal"))
-    out = s.join(mass.select(F.col("id").alias("a"), F.col("mass").alias("x")), "a").join(mass.select(F.col("id").alias("b"), F.col("mass").alias("y")), "b")
-    out = out.withColumn("share", F.col("s") / F.least("x", "y"))
-    return pairs.join(out.where((F.col("n_shared") >= MIN_SHARED_TERMS) & (F.col("signal") == 1) & (F.col("share") >= MIN_SHARED_MASS)).select("a", "b", "n_shared", "share"), ["a", "b"])
-
-
 def label_weights(rows: DataFrame, id_col: str = "id", wl: str = "wl") -> DataFrame:
     """(id, label, w) of weighted label arrays; a label that stands twice adds up."""
     return rows.select(F.col(id_col).alias("id"), F.explode(wl).alias("e")).where("e.label IS NOT NULL").groupBy("id", F.col("e.label").alias("label")).agg(F.sum(F.coalesce("e.w", F.lit(0.0))).alias("w"))

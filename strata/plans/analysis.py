@@ -73,9 +73,9 @@ def analyze(spark: SparkSession, root: str, cfg: Config = Config()) -> Analysis:
     families = stage.keep(clustering.families(symbols, tight, weights, cfg), "families")
     phase("families")
     edges = stage.keep(graph.call_edges(symbols), "edges")
-    calls = stage.keep(graph.call_graph(symbols), "calls")
+    calls = graph.call_groups(symbols)
     phase("calls")
-    stages = clustering.competing_pairs(symbols, weights, n, calls, cfg)
+    stages = stage.keep(clustering.competing_pairs(symbols, weights, n, calls, cfg), "staged")
     kept = stages.where("passed = 5")
     competing = stage.keep(clustering.competing_groups(kept, weights, cfg), "competing")
     phase("competing")
