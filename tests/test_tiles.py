@@ -108,3 +108,7 @@ def test_tile_against_all_pairs(monkeypatch, known):
         all_ = {(a, b): want(a, b) for a in range(n) for b in range(a + 1, n) if same or right[a] != right[b]}
         assert got == {k: (v[0], None if v[1] is None else round(float(v[1]), 9)) for k, v in all_.items() if v}
         assert {v[0] for v in got.values()} >= ({1, 2, 3, 4, 5} if known else {1, 2, 3, 4})
+
+
+def test_vocab_quality_pairs_does_not_shuffle_pairs(spark, folder, monkeypatch):
+    assert _found_last(_same(folder, "vocab_quality_pairs", 1, monkeypatch, spark))
