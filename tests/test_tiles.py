@@ -112,3 +112,9 @@ def test_tile_against_all_pairs(monkeypatch, known):
 
 def test_vocab_quality_pairs_does_not_shuffle_pairs(spark, folder, monkeypatch):
     assert _found_last(_same(folder, "vocab_quality_pairs", 1, monkeypatch, spark))
+
+
+def test_competing_funnel_keeps_no_pairs(spark, folder, monkeypatch):
+    """Pairs are counted where they are found; only the counts are exchanged."""
+    above = _above(_same(folder, "competing_funnel", 2, monkeypatch, spark))
+    assert above.count("Exchange") == 1 and "Join" not in above and "Scan" not in above
