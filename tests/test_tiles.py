@@ -118,3 +118,14 @@ def test_competing_funnel_keeps_no_pairs(spark, folder, monkeypatch):
     """Pairs are counted where they are found; only the counts are exchanged."""
     above = _above(_same(folder, "competing_funnel", 2, monkeypatch, spark))
     assert above.count("Exchange") == 1 and "Join" not in above and "Scan" not in above
+
+
+def test_competing_groups_reads_only_kept_pairs(spark, folder, monkeypatch):
+    """What the groups are merged from is what is left after all stages, found without a shuffle of pairs."""
+    from strata.plans import shape_queries
+
+    monkeypatch.setattr(tiles, "LEAST_BLOCKS", 2)
+    stages, _, _ = shape_queries._stages(spark, folder)
+    assert _found_last(stages["kept"]) and {r["passed"] for r in stages["kept"].collect()} == {5}
+    members = [m for r in catalog.QUERIES["competing_groups"](spark, folder).collect() for m in r["members"]]
+    assert members and len(members) == len(set(members))
