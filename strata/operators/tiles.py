@@ -1,12 +1,15 @@
-"""Similar vocabularies, judged where they are found: blocks of symbols meet two by two in tiles, and no pair is shuffled or kept."""
+"""Similar vocabularies, judged where they are found: blocks of symbols, each written once, meet two by two in tiles, and no pair is shuffled or kept."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +19,10 @@ from strata.operators.postings import SHORT, _short_pairs, cosine_kernel, label_
 from strata.operators.similarity import df_most
 from strata.runtime import Stage
 
-BLOCK_ROWS, LEAST_BLOCKS = 1 << 16, 5
-"""Symbols of a block, and the fewest blocks; a symbol travels once for each block."""
+BLOCK_ROWS, LEAST_BLOCKS = 1 << 14, 5
+"""Symbols of a block, and the fewest blocks; a symbol is written once and read once for each block."""
 
-LIST_ROWS, ENTRIES, PAIRS, LINES, TERMS = 256, 1 << 16, 1 << 20, 256, 1 << 20
+LIST_ROWS, ENTRIES, PAIRS, LINES, TERMS = 256, 1 << 14, 1 << 18, 256, 1 << 18
 """What a tile looks at together: entries of a long list, entries of short lists, pairs, their first ends, and elements of their second ends."""
 
 STAGED = "a bigint, b bigint, cos double, a_cos double, n_shared bigint, share double, passed int"
@@ -36,11 +39,11 @@ def shape_labels(symbols: DataFrame, stage: Stage) -> DataFrame:
 
 
 def staged_pairs(symbols: DataFrame, weights: DataFrame, n: int, calls: tuple[DataFrame, DataFrame] | None, cfg: Config = Config(), least: int = 1) -> DataFrame:
-    """(a, b, cos, a_cos, n_shared, share, passed): see ``clustering.competing_pairs``. Everything that decides on a pair travels with its symbols."""
+    """(a, b, cos, a_cos, n_shared, share, passed): see ``clustering.competing_pairs``. Everything that decides on a pair is written with its symbols. ``weights`` are read more than once and not kept here."""
     stage = Stage(symbols.sparkSession, "pairs")
     if least > 1:
         symbols = symbols.where("file IS NOT NULL AND NOT coalesce(is_test, false)")
-    flat = stage.keep(weights.select(F.col("id").alias("rep"), F.lit(1.0).alias("n"), F.col("term").alias("label"), "w"), "vectors")
+    flat = weights.select(F.col("id").alias("rep"), F.lit(1.0).alias("n"), F.col("term").alias("label"), "w")
     place = F.array_position(F.array(*map(F.lit, LOW_SIGNAL_TERMS)), F.col("label"))
     own = flat.groupBy("rep").agg(F.count("*").alias("terms"), F.sum("w").alias("mass"), F.sum(F.when(place > 0, F.pow(F.lit(2.0), place - 1)).otherwise(0.0)).cast("bigint").alias("low"))
     if least > 1:
@@ -50,31 +53,47 @@ def staged_pairs(symbols: DataFrame, weights: DataFrame, n: int, calls: tuple[Da
     if calls:
         out, members = calls
         rows = rows.join(members.select(F.col("id").alias("rep"), F.col("grp").alias("own")), "rep", "left").join(out.groupBy(F.col("src").alias("rep")).agg(F.collect_list("grp").alias("out")), "rep", "left")
-    rows = stage.keep(rows, "rows")
-    blocks = max(LEAST_BLOCKS, -(-rows.count() // BLOCK_ROWS))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int"))
+    whole = stage.keep(rows, "rows")
+    blocks = max(LEAST_BLOCKS, -(-whole.count() // BLOCK_ROWS))
+    rows = whole.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int"))
     if calls:
-        # Who calls a group travels with the first symbol of the group in each block.
+        # Who calls a group is written with the first symbol of the group in each block.
         step = members.join(out.select(F.col("src").alias("id"), F.col("grp").alias("own")), "id").select("own", "grp").distinct()
         into = step.groupBy("own").agg(F.collect_list("grp").alias("into"))
         heads = rows.where("own IS NOT NULL").groupBy("block", "own").agg(F.min("rep").alias("rep")).join(into, "own", "left")
         none = F.array().cast("array<bigint>")
         rows = rows.join(heads.select("rep", F.concat(F.array("own"), F.coalesce("into", none)).alias("into")), "rep", "left")
-    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-    met = met.withColumn("tile", (F.col("x") * blocks - (F.col("x") * (F.col("x") - 1) / 2).cast("int") + F.col("y") - F.col("x")).cast("int"))
-    met = met.withColumn("right", F.col("block") > F.col("other")).withColumn("same", F.col("x") == F.col("y")).drop("block", "other", "x", "y")
+    files = _by_number(stage.keep(rows.repartitionById(blocks, F.col("block")).drop("block"), "blocks"))
+    stage.drop(whole)
+    of = [(x, y) for x in sorted(files) for y in sorted(files) if x <= y]
     most, known = df_most(n), calls is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if held:
-            t = pa.Table.from_batches(held)
-            del held
-            number = t.column("tile").to_numpy()
-            for tile in np.unique(number):
-                yield from Tile(t.filter(pa.array(number == tile)), known, cfg).pairs(most, least)
-
-    return met.repartitionById(blocks * (blocks + 1) // 2, F.col("tile")).mapInArrow(run, STAGED)
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                x, y = of[k]
+                sides = [_side(files[x], False, x == y)] + ([_side(files[y], True, False)] if x != y else [])
+                yield from Tile(pa.concat_tables(sides), known, cfg).pairs(most, least)
+
+    return symbols.sparkSession.range(0, len(of), 1, max(len(of), 1)).mapInArrow(run, STAGED)
+
+
+def _by_number(kept: DataFrame) -> dict[int, list[str]]:
+    """The files of a kept table by the partition they were written from."""
+    files: dict[int, list[str]] = {}
+    for uri in sorted(kept.inputFiles()):
+        files.setdefault(int(re.search(r"part-(\d+)-[^/]*$", uri)[1]), []).append(uri)
+    return files
+
+
+def _side(uris: list[str], right: bool, same: bool) -> pa.Table:
+    """The rows of a block, read from the shared folder by whatever file system holds it."""
+    parts = []
+    for system, path in map(fs.FileSystem.from_uri, uris):
+        with system.open_input_file(path) as f:
+            parts.append(pq.ParquetFile(f).read(use_threads=False))
+    t = pa.concat_tables(parts)
+    return t.append_column("right", pa.array(np.full(t.num_rows, right))).append_column("same", pa.array(np.full(t.num_rows, same)))
 
 
 class Lists:

@@ -114,6 +114,15 @@ def test_vocab_quality_pairs_does_not_shuffle_pairs(spark, folder, monkeypatch):
     assert _found_last(_same(folder, "vocab_quality_pairs", 1, monkeypatch, spark))
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vocab_quality_pairs_writes_symbols_once(spark, folder, monkeypatch):
+    """However many blocks there are, no copy of a symbol is shuffled for each of them."""
+    assert "Exchange" not in _plan(_same(folder, "vocab_quality_pairs", 6, monkeypatch, spark))
+
+
 def test_competing_funnel_keeps_no_pairs(spark, folder, monkeypatch):
     """Pairs are counted where they are found; only the counts are exchanged."""
     above = _above(_same(folder, "competing_funnel", 2, monkeypatch, spark))
