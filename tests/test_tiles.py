@@ -129,6 +129,11 @@ def test_competing_funnel_keeps_no_pairs(spark, folder, monkeypatch):
     assert above.count("Exchange") == 1 and "Join" not in above and "Scan" not in above
 
 
+def test_competing_funnel_writes_symbols_once(spark, folder, monkeypatch):
+    """Besides the counts nothing is exchanged: no copy of a symbol for each block."""
+    assert _plan(_same(folder, "competing_funnel", 6, monkeypatch, spark)).split("Initial Plan")[0].count("Exchange") == 1
+
+
 def test_competing_groups_reads_only_kept_pairs(spark, folder, monkeypatch):
     """What the groups are merged from is what is left after all stages, found without a shuffle of pairs."""
     from strata.plans import shape_queries
