@@ -1,27 +1,31 @@
 """Clusters of symbols: exact and near shapes, competing vocabularies, deprecated twins and families.
 
 The best-first merges depend on the order of their pairs. A merge never crosses a
-connected component of the pairs, so each component is merged in a task of its own; only
-a component has to fit in a task, not the pairs.
+connected component of the pairs, so each component is merged in one task; only
+a component has to fit in a task, not the pairs. Of competing symbols just the symbols
+of a component have to fit: their pairs are written once, best first, and read in that order.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.config import REP_RELAX, Config
 from strata.functions.dates import classify
 from strata.functions.text import base_name, is_dunder
-from strata.operators.components import components
+from strata.operators.components import components, local_stars
 from strata.runtime import Stage
 from strata.operators.postings import label_vectors
-from strata.operators.similarity import label_weights, near_pairs, prefix_join, top_shared, shared_terms
-from strata.operators.tiles import staged_pairs
+from strata.operators.similarity import label_weights, near_pairs, pair_cosines, prefix_join, top_shared, shared_terms
+from strata.operators.tiles import batches_of, by_number, staged_pairs
 
 
 def _cos(a: dict, b: dict) -> float:
@@ -183,15 +187,139 @@ def competing_stages(symbols: DataFrame, weights: DataFrame, n: int, calls: tupl
     return {name: staged.where(F.col("passed") > k) for k, name in enumerate(STAGES) if k + 1 >= least}
 
 
-def competing_groups(kept: DataFrame, weights: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """(cluster, members, b_max, a_at_best, terms): groups of competing symbols, merged best first on their vocabularies."""
-    vec = weights.groupBy("id").agg(F.collect_list("term").alias("k"), F.collect_list("w").alias("w"))
-    none = kept.select(F.col("a").alias("id"), F.col("a").alias("grp")).limit(0)
-    m = Stage(kept.sparkSession, "competing").keep(_merged(kept.select("a", "b", F.col("cos").alias("score")), none, vec, REP_RELAX * cfg.theta_b).select("id", "cluster"), "merged")
-    inside = kept.join(m.select(F.col("id").alias("a"), "cluster"), "a").join(m.select(F.col("id").alias("b"), F.col("cluster").alias("other")), "b").where("cluster = other")
-    best = inside.groupBy("cluster").agg(F.max(F.struct("cos", "a", "b", "a_cos")).alias("p")).select("cluster", F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.col("p.cos").alias("b_max"), F.col("p.a_cos").alias("a_at_best"))
+BANDS, BATCH, LINKS, NODES = 256, 1 << 13, 1 << 20, 1 << 18
+"""Files of the pairs by falling cosine, pairs looked at together, links held before they are reduced to stars, and symbols from which a further task merges."""
+
+
+def competing_groups(kept: DataFrame, symbols: DataFrame, weights: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """(cluster, members, b_max, a_at_best, terms): groups of competing symbols, merged best first on their vocabularies.
+
+    The pairs (a, b, cos) are found once, written by falling cosine and read by the merges in that order; no join reads them.
+    """
+    spark, stage = kept.sparkSession, Stage(kept.sparkSession, "competing")
+    band = F.floor((1 - F.col("cos")) / F.lit(1 - cfg.theta_b) * BANDS).cast("int")
+    ranked = kept.select("a", "b", "cos").repartitionById(BANDS, F.greatest(F.lit(0), F.least(F.lit(BANDS - 1), band))).sortWithinPartitions(F.desc("cos"), "a", "b")
+    ranked = stage.keep(ranked, "ranked")
+    comp = stage.keep(components(ranked.select("a", "b").coalesce(spark.sparkContext.defaultParallelism).mapInArrow(_stars, "a bigint, b bigint")), "components")
+    vec = weights.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("e"))
+    nodes = comp.join(vec, "id", "left").select("root", "id", F.col("e.term").alias("k"), F.col("e.w").alias("w"))
+    files = by_number(ranked)
+    uris, least = [u for k in sorted(files) for u in files[k]], REP_RELAX * cfg.theta_b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield from merge_ranked(pa.Table.from_batches(held).sort_by("id"), lambda: batches_of(uris, BATCH), least)
+
+    tasks = max(1, -(-comp.count() // NODES))
+    best = stage.keep(nodes.repartition(tasks, "root").mapInArrow(run, "cluster bigint, members array<bigint>, a bigint, b bigint, b_max double"), "merged")
+    stage.drop(ranked)
+    ends = best.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    shape = pair_cosines(best.select("a", "b", "cluster"), label_vectors(symbols.join(ends, "id", "left_semi")), "cluster").select("cluster", F.col("cos").alias("a_at_best"))
     terms = top_shared(shared_terms(best, weights), 8).groupBy("a", "b").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("terms"))
-    return m.groupBy("cluster").agg(F.array_sort(F.collect_list("id")).alias("members")).join(best, "cluster").join(terms, ["a", "b"]).select("cluster", "members", "b_max", "a_at_best", "terms")
+    return best.join(shape, "cluster").join(terms, ["a", "b"]).select("cluster", "members", "b_max", "a_at_best", "terms")
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that connect the same ids as those given: one for each id at most."""
+    held, n = [], 0
+
+    def reduced() -> tuple[np.ndarray, np.ndarray]:
+        ids, root = local_stars(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        return ids[ids != root], root[ids != root]
+
+    for b in batches:
+        held.append((b.column("a").to_numpy(), b.column("b").to_numpy()))
+        n += b.num_rows
+        if n >= LINKS:
+            held, n = [reduced()], 0
+    if held:
+        yield from pa.table(dict(zip("ab", map(pa.array, reduced()), strict=True))).to_batches()
+
+
+def merge_ranked(nodes: pa.Table, pairs: Callable[[], Iterator[pa.RecordBatch]], least: float) -> Iterator[pa.RecordBatch]:
+    """The sets of two or more of ``merge_best_first``, of single symbols to start with, and the pair of each with the greatest (cos, a, b).
+
+    ``nodes`` (id, k, w) ascend by id and hold all of some components; ``pairs`` gives (a, b, cos)
+    of these and other components in the order of the merge, as often as it is called. Pairs are never held beyond a batch.
+    """
+    ids = nodes.column("id").to_numpy()
+    sizes = pc.fill_null(pc.list_value_length(nodes.column("k")), 0).to_numpy()
+    at = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+    terms = pc.list_flatten(nodes.column("k"))
+    term = pc.index_in(terms, pc.unique(terms)).to_numpy().astype(np.int64)
+    w = pc.list_flatten(nodes.column("w")).to_numpy()
+    length = np.sqrt(np.bincount(np.repeat(np.arange(len(ids)), sizes), w * w, len(ids)))
+    w = w / np.repeat(np.where(length > 0, length, 1.0), sizes)
+    width = int(term.max()) + 1 if len(term) else 1
+    order = np.argsort(np.repeat(np.arange(len(ids)), sizes) * width + term)
+    term, w = term[order], w[order]
+    home, rep, members = np.arange(len(ids)), np.arange(len(ids)), [[k] for k in range(len(ids))]
+
+    def flat(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the elements of each row, ascending, and their weights."""
+        of = np.repeat(np.arange(len(rows)), sizes[rows])
+        where = np.arange(len(of)) - np.repeat(np.cumsum(sizes[rows]) - sizes[rows], sizes[rows]) + np.repeat(at[rows], sizes[rows])
+        return of * width + term[where], w[where]
+
+    def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        (p, u), (q, v) = flat(x), flat(y)
+        if not len(q):
+            return np.zeros(len(x))
+        place = np.minimum(np.searchsorted(q, p), len(q) - 1)
+        hit = q[place] == p
+        return np.bincount(p[hit] // width, u[hit] * v[place[hit]], len(x))
+
+    def known() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        last = np.inf
+        for b in pairs():
+            a, b, cos = (b.column(c).to_numpy() for c in ("a", "b", "cos"))
+            if len(cos) and (cos[0] > last or (np.diff(cos) > 0).any()):
+                raise ValueError("pairs do not come by falling cosine")
+            last = cos[-1] if len(cos) else last
+            i, j = (np.minimum(np.searchsorted(ids, c), len(ids) - 1) for c in (a, b))
+            own = (ids[i] == a) & (ids[j] == b)
+            yield i[own], j[own], cos[own]
+
+    vectors: dict[int, dict] = {}
+
+    def vector(k: int) -> dict:
+        if k not in vectors:
+            vectors[k] = dict(zip(term[at[k] : at[k + 1]].tolist(), w[at[k] : at[k + 1]].tolist(), strict=True))
+        return vectors[k]
+
+    for i, j, _ in known():
+        apart = home[i] != home[j]
+        i, j = i[apart], j[apart]
+        x, y = home[i], home[j]
+        good = cosines(rep[x], rep[y]) >= least
+        changed: set[int] = set()
+        for p, q, r, s, ok in zip(i.tolist(), j.tolist(), x.tolist(), y.tolist(), good.tolist(), strict=True):
+            if r in changed or s in changed:  # as the batch began, it was otherwise
+                r, s = int(home[p]), int(home[q])
+                ok = r != s and _cos(vector(int(rep[r])), vector(int(rep[s]))) >= least
+            if ok:
+                stays = rep[r] if len(members[r]) >= len(members[s]) else rep[s]
+                changed |= {r, s}
+                if len(members[r]) < len(members[s]):
+                    r, s = s, r
+                home[members[s]] = r
+                members[r] += members[s]
+                members[s] = []
+                rep[r] = stays
+    best: dict[int, tuple[float, int, int]] = {}
+    top = np.full(len(ids), -np.inf)
+    for i, j, cos in known():
+        x = home[i]
+        for k in np.flatnonzero((x == home[j]) & (cos >= top[x])).tolist():
+            h, pair = int(x[k]), (float(cos[k]), int(i[k]), int(j[k]))
+            if h not in best or pair > best[h]:
+                best[h], top[h] = pair, pair[0]
+    for found in (list(best.items())[k : k + BATCH] for k in range(0, len(best), BATCH)):
+        sets = [ids[sorted(members[h])] for h, _ in found]
+        columns = [[int(m[0]) for m in sets], [m.tolist() for m in sets], [int(ids[p[1]]) for _, p in found], [int(ids[p[2]]) for _, p in found], [p[0] for _, p in found]]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["cluster", "members", "a", "b", "b_max"])
 
 
 def grow_families(units: pd.DataFrame, links: list[tuple[int, int]], cfg: Config) -> list[dict]:

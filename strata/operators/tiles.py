@@ -63,7 +63,7 @@ def staged_pairs(symbols: DataFrame, weights: DataFrame, n: int, calls: tuple[Da
         heads = rows.where("own IS NOT NULL").groupBy("block", "own").agg(F.min("rep").alias("rep")).join(into, "own", "left")
         none = F.array().cast("array<bigint>")
         rows = rows.join(heads.select("rep", F.concat(F.array("own"), F.coalesce("into", none)).alias("into")), "rep", "left")
-    files = _by_number(stage.keep(rows.repartitionById(blocks, F.col("block")).drop("block"), "blocks"))
+    files = by_number(stage.keep(rows.repartitionById(blocks, F.col("block")).drop("block"), "blocks"))
     stage.drop(whole)
     of = [(x, y) for x in sorted(files) for y in sorted(files) if x <= y]
     most, known = df_most(n), calls is not None
@@ -78,7 +78,7 @@ def staged_pairs(symbols: DataFrame, weights: DataFrame, n: int, calls: tuple[Da
     return symbols.sparkSession.range(0, len(of), 1, max(len(of), 1)).mapInArrow(run, STAGED)
 
 
-def _by_number(kept: DataFrame) -> dict[int, list[str]]:
+def by_number(kept: DataFrame) -> dict[int, list[str]]:
     """The files of a kept table by the partition they were written from."""
     files: dict[int, list[str]] = {}
     for uri in sorted(kept.inputFiles()):
@@ -86,13 +86,16 @@ def _by_number(kept: DataFrame) -> dict[int, list[str]]:
     return files
 
 
-def _side(uris: list[str], right: bool, same: bool) -> pa.Table:
-    """The rows of a block, read from the shared folder by whatever file system holds it."""
-    parts = []
+def batches_of(uris: list[str], rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows of files, in their order, read from the shared folder by whatever file system holds it."""
     for system, path in map(fs.FileSystem.from_uri, uris):
         with system.open_input_file(path) as f:
-            parts.append(pq.ParquetFile(f).read(use_threads=False))
-    t = pa.concat_tables(parts)
+            yield from pq.ParquetFile(f).iter_batches(rows, use_threads=False)
+
+
+def _side(uris: list[str], right: bool, same: bool) -> pa.Table:
+    """The rows of a block."""
+    t = pa.Table.from_batches(batches_of(uris, 1 << 16))
     return t.append_column("right", pa.array(np.full(t.num_rows, right))).append_column("same", pa.array(np.full(t.num_rows, same)))
 
 

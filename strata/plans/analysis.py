@@ -77,7 +77,7 @@ def analyze(spark: SparkSession, root: str, cfg: Config = Config()) -> Analysis:
     phase("calls")
     stages = stage.keep(clustering.competing_pairs(symbols, weights, n, calls, cfg), "staged")
     kept = stages.where("passed = 5")
-    competing = stage.keep(clustering.competing_groups(kept, weights, cfg), "competing")
+    competing = stage.keep(clustering.competing_groups(kept, symbols, weights, cfg), "competing")
     phase("competing")
     old = None
     if anchor is not None:

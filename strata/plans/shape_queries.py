@@ -135,9 +135,8 @@ def competing_funnel(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def competing_groups(spark: SparkSession, d: str) -> DataFrame:
     """Best-first groups of competing symbols; SQL cannot state the merge, a plain merge in the tests does."""
-    stages, w, _ = _stages(spark, d)
-    kept = Stage(spark, "competing").keep(stages["kept"], "kept")
-    return clustering.competing_groups(kept, w, CFG).select("cluster", "members", F.round("b_max", 9).alias("b_max"), F.round("a_at_best", 9).alias("a_at_best"), "terms")
+    stages, w, s = _stages(spark, d)
+    return clustering.competing_groups(stages["kept"], s, w, CFG).select("cluster", "members", F.round("b_max", 9).alias("b_max"), F.round("a_at_best", 9).alias("a_at_best"), "terms")
 
 
 _CENTROID = f"""{TFIDF},

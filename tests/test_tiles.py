@@ -143,3 +143,42 @@ def test_competing_groups_reads_only_kept_pairs(spark, folder, monkeypatch):
     assert _found_last(stages["kept"]) and {r["passed"] for r in stages["kept"].collect()} == {5}
     members = [m for r in catalog.QUERIES["competing_groups"](spark, folder).collect() for m in r["members"]]
     assert members and len(members) == len(set(members))
+
+
+def test_ranked_merge_holds_no_pairs(monkeypatch):
+    """Pairs that come in small batches, those of other components among them, are merged as all of them at once would be."""
+    from strata.operators import clustering
+
+    monkeypatch.setattr(clustering, "BATCH", 4)
+    r = np.random.default_rng(11)
+    n = 60
+    vec = {3 * k: dict(zip(("abcdefgh"[t] for t in sorted(r.choice(8, 3, replace=False))), r.uniform(0.2, 1, 3).tolist(), strict=True)) for k in range(n)}
+    pairs = sorted(((round(float(r.uniform(0.5, 1)), 1), 3 * int(a), 3 * int(b)) for a in range(n) for b in range(a + 1, n) if a % 2 == b % 2 and r.random() < 0.3), key=lambda p: (-p[0], *p[1:]))
+    low, made, refused = clustering.merge_best_first(list(vec), [], pairs, {i: clustering._unit(v.keys(), list(v.values())) for i, v in vec.items()}, 0.6)
+    want = {}
+    for i, c in low.items():
+        want.setdefault(c, []).append(i)
+    want = {c: (m, *max(p for p in pairs if {p[1], p[2]} <= set(m))) for c, m in want.items() if len(m) > 1}
+    got = {}
+    for part in (0, 1):
+        ids = [i for i in vec if i // 3 % 2 == part]
+        nodes = pa.table({"id": ids, "k": [list(vec[i]) for i in ids], "w": [list(vec[i].values()) for i in ids]})
+        batches = lambda: (pa.RecordBatch.from_arrays([pa.array(c) for c in (a, b, cos)], names=["a", "b", "cos"]) for k in range(0, len(pairs), 4) for cos, a, b in [zip(*pairs[k : k + 4], strict=True)])
+        for batch in clustering.merge_ranked(nodes, batches, 0.6):
+            got |= {p["cluster"]: (p["members"], p["b_max"], p["a"], p["b"]) for p in batch.to_pylist()}
+    assert got == want and made and refused
+
+
+def test_competing_groups_joins_no_pairs(spark, folder, monkeypatch):
+    """The pairs are written once, in the order of the merge, and merged in more than one task with the same result; only their best are joined."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from strata.operators import clustering
+
+    joined = []
+    join = DataFrame.join
+    monkeypatch.setattr(DataFrame, "join", lambda self, other, *a, **k: joined.append(self.columns + other.columns) or join(self, other, *a, **k))
+    plain = sorted(catalog.QUERIES["competing_groups"](spark, folder).collect())
+    assert plain and joined and not any({"a", "b", "cos"} <= set(c) and "a_cos" in c for c in joined)
+    monkeypatch.setattr(clustering, "NODES", 7)
+    assert sorted(catalog.QUERIES["competing_groups"](spark, folder).collect()) == plain
