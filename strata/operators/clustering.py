@@ -187,7 +187,7 @@ def competing_stages(symbols: DataFrame, weights: DataFrame, n: int, calls: tupl
     return {name: staged.where(F.col("passed") > k) for k, name in enumerate(STAGES) if k + 1 >= least}
 
 
-BANDS, BATCH, LINKS, NODES = 256, 1 << 13, 1 << 20, 1 << 18
+BANDS, BATCH, LINKS, NODES = 64, 1 << 13, 1 << 20, 1 << 18
 """Files of the pairs by falling cosine, pairs looked at together, links held before they are reduced to stars, and symbols from which a further task merges."""
 
 

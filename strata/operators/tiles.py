@@ -73,7 +73,8 @@ def staged_pairs(symbols: DataFrame, weights: DataFrame, n: int, calls: tuple[Da
             for k in batch.column("id").to_pylist():
                 x, y = of[k]
                 sides = [_side(files[x], False, x == y)] + ([_side(files[y], True, False)] if x != y else [])
-                yield from Tile(pa.concat_tables(sides), known, cfg).pairs(most, least)
+                if all(side is not None for side in sides):
+                    yield from Tile(pa.concat_tables(sides), known, cfg).pairs(most, least)
 
     return symbols.sparkSession.range(0, len(of), 1, max(len(of), 1)).mapInArrow(run, STAGED)
 
@@ -93,9 +94,12 @@ def batches_of(uris: list[str], rows: int) -> Iterator[pa.RecordBatch]:
             yield from pq.ParquetFile(f).iter_batches(rows, use_threads=False)
 
 
-def _side(uris: list[str], right: bool, same: bool) -> pa.Table:
-    """The rows of a block."""
-    t = pa.Table.from_batches(batches_of(uris, 1 << 16))
+def _side(uris: list[str], right: bool, same: bool) -> pa.Table | None:
+    """The rows of a block, if it has any."""
+    held = list(batches_of(uris, 1 << 16))
+    if not held:
+        return None
+    t = pa.Table.from_batches(held)
     return t.append_column("right", pa.array(np.full(t.num_rows, right))).append_column("same", pa.array(np.full(t.num_rows, same)))
 
 

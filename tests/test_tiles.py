@@ -182,3 +182,12 @@ def test_competing_groups_joins_no_pairs(spark, folder, monkeypatch):
     assert plain and joined and not any({"a", "b", "cos"} <= set(c) and "a_cos" in c for c in joined)
     monkeypatch.setattr(clustering, "NODES", 7)
     assert sorted(catalog.QUERIES["competing_groups"](spark, folder).collect()) == plain
+
+
+@pytest.mark.parametrize("n", [0, 2])
+def test_blocks_without_symbols(spark, tmp_path, n):
+    """Fewer symbols than blocks, or none that may pair."""
+    spark.createDataFrame([(i, f"f{i}.py", f"N{i}.m", 1, (0, 9), 5, False, [], i, None, dict.fromkeys(("a", "b", "c", "d", f"e{i % 2 * n // 9}"), 1), None) for i in range(n)], SYMBOLS).coalesce(1).write.parquet(f"{tmp_path}/symbols.parquet")
+    got = {r["stage"]: r["pairs"] for r in catalog.QUERIES["competing_funnel"](spark, str(tmp_path)).collect()}
+    assert set(got.values()) == {n // 2}
+    assert len(catalog.QUERIES["competing_groups"](spark, str(tmp_path)).collect()) == n // 2
